@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, mixing, quality_rules
+from sparkloom.llm import exact_dedup, mixing, quality_rules, sanitise
 from sparkloom.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.sanitise(load(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(sanitise.joined(F.col("base")), 256).alias("base_sha256"), sanitise.joined(F.col("spans")).alias("spans"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"), keep="largest")
 
@@ -29,6 +36,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pii": op2_pii,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
