@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, mixing, quality_rules, sanitise
+from sparkloom.llm import exact_dedup, mixing, piece_lattice, quality_rules, sanitise, token_counts
 from sparkloom.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,22 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(sanitise.joined(F.col("base")), 256).alias("base_sha256"), sanitise.joined(F.col("spans")).alias("spans"))
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("fitting_pieces") < F.col("n_pieces")).alias("over_limit"), "n_pieces", "fitting_pieces")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_lattice.encode(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"), keep="largest")
 
@@ -37,6 +53,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_pii": op2_pii,
+    "op4_token_counts": op4_token_counts,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
