@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, mixing, piece_lattice, quality_rules, sanitise, token_counts
+from sparkloom.llm import exact_dedup, mixing, piece_lattice, quality_rules, sanitise, substring_dedup, token_counts
 from sparkloom.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(load(spark, sf_dir, "documents"), width=35)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"), keep="largest")
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op2_pii": op2_pii,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
