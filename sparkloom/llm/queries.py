@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, mixing, piece_lattice, quality_rules, sanitise, substring_dedup, token_counts
+from sparkloom.llm import exact_dedup, mixing, near_dedup, piece_lattice, quality_rules, sanitise, substring_dedup, token_counts
 from sparkloom.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(load(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.sanitise(load(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda x: x["k"])
@@ -56,6 +60,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_pii": op2_pii,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
