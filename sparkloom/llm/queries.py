@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, mixing, near_dedup, piece_lattice, quality_rules, sanitise, substring_dedup, token_counts
+from sparkloom.llm import exact_dedup, mixing, near_dedup, piece_lattice, quality_rules, sanitise, substring_dedup, token_counts, toxicity
 from sparkloom.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_pii": op2_pii,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {

@@ -82,10 +82,16 @@ class Words:
         after[offsets[1:][offsets[1:] > 0] - 1] = True
         start, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
         letters = Sums([t[raw] for t in _BYTES])
+        self.letters, self.start, self.end = letters, start, end
         self.hashes = [letters.of(start, end, half) for half in (0, 1)]
         self.first = np.searchsorted(start, offsets)
         self.sums = Sums(self.hashes)
 
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of the first bytes of the words that have so many."""
+        word = np.flatnonzero(self.end - self.start >= size)
+        return word, self.letters.of(self.start[word], self.start[word] + size, 0)
+
     def documents(self) -> tuple[np.ndarray, np.ndarray]:
         """Both halves of each document's hash."""
         return self.sums.of(self.first[:-1], self.first[1:], 0), self.sums.of(self.first[:-1], self.first[1:], 1)
