@@ -56,8 +56,9 @@ def position_of(offset: Column, target: Column, slope: Column) -> Column:
     return F.when((target > 0) & (offset <= target), F.lit(2.0) * x / (b + root))
 
 
-def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, share: float = 1.5, most_repeats: int = 2, buckets: int = 4096, seed: int = 17) -> DataFrame:
-    """A row a document: id_col, source, size, source_size, target, positions (one for each time it is read, ascending), key.
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, share: float = 1.5, most_repeats: int = 2, buckets: int = 4096, seed: int = 17, carry: dict[str, Column] | None = None) -> DataFrame:
+    """A row a document: id_col, source, size, source_size, target, positions (one for each time it is read, ascending), key,
+    and narrow columns to carry along.
 
     A pass reads a document whole if the middle of its words lies within the target, so a source's words differ from its
     target by at most half a document.
@@ -66,7 +67,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text), F.lit(seed))
     # Never null, and in order of code points with null last.
     name = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
-    rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), name.alias("name"), n_words(text).alias("size"), key.alias("key"))
+    rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), name.alias("name"), n_words(text).alias("size"), key.alias("key"), *[c.alias(k) for k, c in (carry or {}).items()])
     # The upper bits of the key, so that a bucket is a range of keys.
     rows = cut(rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - (buckets - 1).bit_length()).cast("int")), "sizes")
     filled = cut(rows.groupBy("name", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
@@ -81,7 +82,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     middle = F.col("begin") + F.sum("size").over(within) - F.col("size") / 2
     placed = placed.withColumn("middle", middle)
     each = F.array(*[position_of(F.col("middle") + k * F.col("source_size"), F.col("target"), F.col("slope")) for k in range(most_repeats)])
-    return placed.select(id_col, "source", "size", "source_size", "target", F.filter(each, lambda p: p.isNotNull()).alias("positions"), "key")
+    return placed.select(id_col, "source", "size", "source_size", "target", F.filter(each, lambda p: p.isNotNull()).alias("positions"), "key", *(carry or {}))
 
 
 def in_order(mix: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, mixing, near_dedup, piece_lattice, quality_rules, sanitise, substring_dedup, token_counts, toxicity
-from sparkloom.llm.common import load
+from sparkloom.llm import exact_dedup, html_extraction, mixing, near_dedup, piece_lattice, quality_rules, sanitise, substring_dedup, token_counts, toxicity
+from sparkloom.llm.common import load, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +24,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(sanitise.joined(F.col("base")), 256).alias("base_sha256"), sanitise.joined(F.col("spans")).alias("spans"))
 
 
-def tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(load(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_pii": op2_pii,
+    "op3_html": op3_html,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,

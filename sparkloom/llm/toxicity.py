@@ -183,6 +183,22 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, fields).withColumnRenamed("id", id_col)
 
 
+def without(docs: DataFrame, chain: Chain, category: str, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text the chain doesn't put into a category."""
+    spark = docs.sparkSession
+    small_batches(spark, 1000)
+    held, which = spark.sparkContext.broadcast((chain.names, chain.models, chain.limits)), chain.names.index(category)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, models, limits = held.value
+        own = Chain(names, models, limits, np.zeros((0, 0)))
+        for batch in batches:
+            for part, texts in pieces(batch, "_judged"):
+                yield part.filter(pa.array(own.predict(texts)[:, which] < limits[which])).select(range(part.num_columns - 1))
+
+    return docs.withColumn("_judged", text_or_empty(text_col)).mapInArrow(run, docs.schema)
+
+
 #: The categories of the table `labels`, in the chain's order.
 CATEGORIES: dict[str, Callable[[], Column]] = {
     "low_quality": lambda: (F.col("quality") == 0),
@@ -190,8 +206,12 @@ CATEGORIES: dict[str, Callable[[], Column]] = {
 }
 
 
+def learn_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_rows: int = 6_000) -> Chain:
+    return learn(docs, labels, {k: c() for k, c in CATEGORIES.items()}, id_col, text_col, max_rows=max_rows)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_rows: int = 6_000) -> DataFrame:
     """A row a document: id_col, p_low_quality, p_toxic, toxic, kept."""
-    chain = learn(docs, labels, {k: c() for k, c in CATEGORIES.items()}, id_col, text_col, max_rows=max_rows)
+    chain = learn_labels(docs, labels, id_col, text_col, max_rows=max_rows)
     scored = score(docs, chain, id_col, text_col)
     return scored.select(id_col, "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"), (~F.col("is_toxic")).alias("kept"))
