@@ -16,23 +16,24 @@ every text without the mark itself, which decodes to a space as in the library;
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import LONGEST, Vocabulary
 from sparkloom.llm.common import small_batches, text_or_empty
+from sparkloom.llm.wordhash import pieces
 
 MARK = "▁"
-KEPT = 400_000
-#: A newline is in no piece, so it is a word of its own.
-WORD = regex.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+KEPT = 1_000_000
+#: A newline is in no piece, so it is a word of its own. Within this module a space stands for the mark.
+WORD = re.compile(" *[^ \n]+| +|\n")
 
 
 class PieceVocabulary(Vocabulary):
@@ -42,14 +43,14 @@ class PieceVocabulary(Vocabulary):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.text = [model.id_to_piece(i).replace(MARK, " ") for i in range(model.get_piece_size())]
         self.bytes_from = next(i for i in range(len(self.text)) if model.is_byte(i))
         plain = [i for i in range(len(self.text)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.of_text = {self.text[i]: i for i in plain}
         self.halves: dict[int, tuple[int, int]] = {}
         raw = [b""] * len(self.text)
         for i in plain:
-            raw[i] = self.text[i].replace(MARK, " ").encode()
+            raw[i] = self.text[i].encode()
         for b in range(256):
             raw[self.bytes_from + b] = bytes([b])
         self.raw = raw
@@ -97,58 +98,94 @@ class PieceVocabulary(Vocabulary):
             return [token]
         return [self.bytes_from + b for b in chr(token - self.unknown).encode("utf-8", "surrogatepass")]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        short = [w for w in words if len(w) <= LONGEST]
-        flat = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        offsets = np.concatenate(([0], np.cumsum([len(w) for w in short]))).astype(np.int64)
-        last, back = (x.tolist() for x in self.prefixes(flat, offsets))
-        done = {}
-        for w, start, end in zip(short, offsets.tolist(), offsets[1:].tolist(), strict=False):
-            path, at = [], end - 1
-            while at >= start:
-                path.append(last[at])
-                at -= back[at]
-            done[w] = [i for t in reversed(path) for i in self.out(t)]
-        return [done[w] if len(w) <= LONGEST else [i for t in self.merged([ord(c) for c in w]) for i in self.out(t)] for w in words]
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Each word's ids: the path back from its last symbol, for all words step by step."""
+        short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
+        flat = np.frombuffer("".join([words[i] for i in short]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum([len(words[i]) for i in short]))).astype(np.int64)
+        last, back = self.prefixes(flat, offsets)
+        at, word, start = offsets[1:] - 1, np.arange(len(short)), offsets[:-1]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(at):
+            found.append((word, last[at]))
+            at = at - back[at]
+            on = at >= start
+            at, word, start = at[on], word[on], start[on]
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        if found:
+            word, tok = (np.concatenate([f[i] for f in reversed(found)]) for i in (0, 1))
+            order = np.argsort(word, kind="stable")
+            word, tok = word[order], tok[order]
+            for i, part in zip(short, np.split(tok.astype(np.int32), np.cumsum(np.bincount(word, minlength=len(short)))[:-1]), strict=True):
+                out[i] = part
+            for w in np.unique(word[tok >= self.unknown]).tolist():
+                i = short[w]
+                out[i] = np.array([x for t in out[i].tolist() for x in self.out(t)], np.int32)
+        for i, w in enumerate(words):
+            if len(w) > LONGEST:
+                out[i] = np.array([x for t in self.merged([ord(c) for c in w]) for x in self.out(t)], np.int32)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.raw.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-@cache
-def vocabulary(path: str) -> tuple[PieceVocabulary, dict[str, list[int]]]:
-    """The vocabulary of a file and the ids of words met so far: one a worker."""
-    return PieceVocabulary(path), {}
+class Known:
+    """Ids of words met so far, in one array: word w's are flat[first[w]:first[w + 1]]."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def add(self, words: list[str], ids: list[np.ndarray]) -> None:
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate([self.flat, *ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
-def encode_texts(path: str, texts: list[str]) -> list[list[int]]:
-    vocab, known = vocabulary(path)
-    if len(known) > KEPT:
-        known.clear()
-    cut = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-    new = list(set().union(*cut).difference(known))
-    known.update(zip(new, vocab.encode_words(new), strict=True))
-    return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in cut]
+
+@cache
+def vocabulary(path: str) -> tuple[PieceVocabulary, Known, pa.Array]:
+    """The vocabulary of a file, the words met so far and the pieces' bytes: one a worker."""
+    v = PieceVocabulary(path)
+    return v, Known(), pa.array(v.raw, pa.binary())
+
+
+def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first): text t's ids are ids[first[t]:first[t + 1]]."""
+    vocab, known, _ = vocabulary(path)
+    if len(known.index) > KEPT:
+        known.__init__()
+    cut = [WORD.findall(" " + (t.replace(MARK, " ") if MARK in t else t)) if t else [] for t in texts]
+    flat = list(chain.from_iterable(cut))
+    new = list(set(flat).difference(known.index))
+    if new:
+        known.add(new, vocab.encode_words(new))
+    word = np.fromiter(map(known.index.__getitem__, flat), np.int64, len(flat))
+    sizes = (known.first[1:] - known.first[:-1])[word]
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    ids = known.flat[np.repeat(known.first[word] - before[:-1], sizes) + np.arange(before[-1])]
+    return ids, before[np.concatenate([[0], np.cumsum([len(ws) for ws in cut])]).astype(np.int64)]
+
+
+def same_text(path: str, ids: np.ndarray, first: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Whether each text's ids decode to it, by the bytes of the pieces."""
+    taken = vocabulary(path)[2].take(pa.array(ids))
+    data = bytes(taken.buffers()[2] or b"")
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1][first].tolist() if len(ids) else [0] * len(first)
+    return np.array([data[a:b] == (b" " + t.encode("utf-8", "surrogatepass") if t else b"") for t, a, b in zip(texts, ends, ends[1:], strict=False)], bool)
 
 
 def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [i for i, f in enumerate(batch.schema) if f.name != "text"]
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            at = 0
-            while at < len(texts):  # so much text at a time that a worker's memory stays bounded
-                end, size = at + 1, len(texts[at])
-                while end < len(texts) and size + len(texts[end]) < 2_000_000:
-                    size += len(texts[end])
-                    end += 1
-                ids = encode_texts(path, texts[at:end])
-                vocab = vocabulary(path)[0]
-                sound = [vocab.decode(x) == t for x, t in zip(ids, texts[at:end], strict=True)]
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(ids, pa.list_(pa.int32())), pa.array(sound)], names=[*[batch.schema.field(i).name for i in keep], "ids", "round_trip"])
-                at = end
+            for part, own in pieces(batch, "text", 1 << 21):  # so much text at a time that a worker's memory stays bounded
+                texts = own.to_pylist()
+                ids, first = encode_texts(path, texts)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], lists, pa.array(same_text(path, ids, first, texts))], names=[*[batch.schema.field(i).name for i in keep], "ids", "round_trip"])
 
     return run
 
@@ -177,15 +214,15 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 def lattice(words: DataFrame, path: str, word_col: str = "word") -> DataFrame:
     """The pieces of a table of words, relationally: a row a distinct word, word and toks (unknown + code point where no piece is).
 
-    Words carry their space marks. A word of n symbols has at most n * 16 substrings.
+    A space stands for the mark. A word of n symbols has at most n * 16 substrings.
     """
     spark, vocab = words.sparkSession, vocabulary(path)[0]
-    pieces = spark.createDataFrame([(p, i) for p, i in vocab.of_text.items() if vocab.reachable[i]], "piece string, tok long")
+    table = spark.createDataFrame([(p, i) for p, i in vocab.of_text.items() if vocab.reachable[i]], "piece string, tok long")
     distinct = words.select(F.col(word_col).alias("word")).where(F.length("word") > 0).distinct()
     spans = distinct.withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
     spans = spans.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocab.longest), F.length("word") - F.col("s")))))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("k")))
-    joined = spans.join(F.broadcast(pieces), "piece", "left").where(F.col("tok").isNotNull() | (F.col("k") == 1))
+    joined = spans.join(F.broadcast(table), "piece", "left").where(F.col("tok").isNotNull() | (F.col("k") == 1))
     edges = joined.select("word", "s", (F.col("s") + F.col("k")).alias("e"), F.coalesce("tok", F.lit(vocab.unknown) + F.conv(F.hex(F.encode("piece", "UTF-32BE")), 16, 10).cast("long")).alias("tok"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
