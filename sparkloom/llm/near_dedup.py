@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ _U = np.uint64
 #: Signature values in a band, and those that one step of the sequential test looks at.
 ROWS = 6
 STEP = 30
-#: Members of a bucket in one block of the exhaustive comparison.
-BLOCK = 256
+#: Members of a bucket, and shingles of theirs, in one block of the exhaustive comparison.
+BLOCK = 1024
+BLOCK_SHINGLES = 400_000
 
 NODES = "id long, n long, s1 long, s2 long, bands array<long>, sig binary"
 TEXTS = "s1 long, s2 long, text string"
@@ -45,7 +47,8 @@ def bands_for(threshold: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold**ROWS))
 
 
-def least_matches(steps: list[int], threshold: float, miss: float) -> list[int]:
+@cache
+def least_matches(steps: tuple[int, ...], threshold: float, miss: float) -> list[int]:
     """For each number of compared values, the fewest matches with which P(similarity >= threshold) is miss or more.
 
     The prior is uniform; a byte of two different minima is equal once in 256.
@@ -135,7 +138,7 @@ def _survive(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.
     """Rows of a and b that no step of the sequential test drops."""
     if not len(a):
         return np.zeros(0, bool)
-    steps = [*range(STEP, a.shape[1], STEP), a.shape[1]]
+    steps = (*range(STEP, a.shape[1], STEP), a.shape[1])
     left, done, matches = np.arange(len(a)), 0, np.zeros(len(a), np.int64)
     for n, need in zip(steps, least_matches(steps, threshold, miss), strict=True):
         matches[left] += (a[left, done:n] == b[left, done:n]).sum(axis=1)
@@ -156,22 +159,41 @@ def _compare(threshold: float, miss: float) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def _across(threshold: float, miss: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs within blocks of bucket members (structs v, label, sig) with different labels that the test lets through."""
+def _across(width: int, percent: int, miss: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links within blocks of bucket members (key; structs v, label, own, sig, bands, text) between different labels.
+
+    A pair is looked at in the first bucket that it shares, and where its two blocks meet. What the sequential test lets
+    through is confirmed on the full sets at once, so that only links leave.
+    """
+    threshold = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = pa.struct([("s1", pa.int64()), ("s2", pa.int64())])
         for batch in batches:
-            for members in batch.column(0):
+            for key, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 flat = members.values
-                v, sig = flat.field(0), _matrix(flat.field(2))
-                lab = flat.field(1)
+                v, lab, own = flat.field(0), flat.field(1), np.asarray(flat.field(2))
+                sig, bands = _matrix(flat.field(3)), np.asarray(flat.field(4).flatten()).reshape(len(flat), -1)
                 labels = np.unique(np.stack([np.asarray(lab.field(0)), np.asarray(lab.field(1))], 1), axis=0, return_inverse=True)[1].ravel()
-                first = least_matches([min(STEP, sig.shape[1])], threshold, miss)[0]
+                apart = own.min() != own.max()
+                first = least_matches((min(STEP, sig.shape[1]),), threshold, miss)[0]
+                doc, hashes = shingles(flat.field(5), width)
+                n = np.bincount(doc, minlength=len(flat))
+                begin = np.cumsum(n) - n
                 for i in range(len(sig) - 1):
                     near = np.flatnonzero((sig[i + 1 :, :STEP] == sig[i, :STEP]).sum(axis=1) >= first) + i + 1
-                    near = near[labels[near] != labels[i]]
+                    near = near[(labels[near] != labels[i]) & ((own[near] != own[i]) | (not apart))]
+                    if not len(near):
+                        continue
+                    near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == key]
+                    near = near[100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])]
                     near = near[_survive(np.broadcast_to(sig[i], (len(near), sig.shape[1])), sig[near], threshold, miss)]
+                    if not len(near):
+                        continue
+                    mine, size = hashes[begin[i] : begin[i] + n[i]], n[near]
+                    theirs = hashes[np.repeat(begin[near] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                    shared = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, theirs), n[i] - 1)] == theirs, np.cumsum(size) - size, dtype=np.int64)
+                    near = near[100 * shared >= percent * (n[i] + size - shared)]
                     if len(near):
                         yield pa.RecordBatch.from_arrays([v.take(pa.array(np.full(len(near), i))).cast(node), v.take(pa.array(near)).cast(node)], names=["a", "b"])
 
@@ -252,17 +274,19 @@ class _Search:
         pairs = buckets.join(hubs, "key").where("v != hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b"))
         return pairs.distinct()
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of distinct pairs (a, b), tested or not, that are links by their full sets."""
-        pairs = cut(pairs, "survivors")
-        ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    def texts(self, ends: DataFrame) -> DataFrame:
+        """v -> text for nodes (column a): one pass over the documents, behind a bitmap of the nodes' least identifiers."""
         ids = self.nodes.join(ends, F.col("v") == F.col("a"), "left_semi").select("least_id")
         wide = bits.width_for(ids.count(), 8)
         cell = F.pmod(F.xxhash64(F.col("least_id")), F.lit(1 << wide))
         wanted = self.spark.sparkContext.broadcast(bits.bitmap(ids.select(cell.alias("cell")).distinct(), F.col("cell"), wide))
         rows = self.rows.select(F.pmod(F.xxhash64("id"), F.lit(1 << wide)).alias("cell"), "text")
-        texts = rows.mapInArrow(_texts_of(self.width, wanted, wide), TEXTS).groupBy(F.struct("s1", "s2").alias("v")).agg(F.first("text").alias("text"))
-        texts = cut(texts, "texts")
+        return cut(rows.mapInArrow(_texts_of(self.width, wanted, wide), TEXTS).groupBy(F.struct("s1", "s2").alias("v")).agg(F.first("text").alias("text")), "texts")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Those of distinct pairs (a, b) that are links by their full sets."""
+        pairs = cut(pairs, "survivors")
+        texts = self.texts(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
         both = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
         node = "struct<s1:bigint,s2:bigint>"
         return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.width, self.percent), f"a {node}, b {node}"), "links")
@@ -276,17 +300,21 @@ class _Search:
         return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_compare(self.percent / 100, self.miss), f"a {node}, b {node}")
 
     def across(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components within buckets, tested."""
-        named = buckets.join(labels, "v", "left").select("key", "v", "size", F.coalesce("label", "v").alias("label"))
-        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        open_ = named.join(split, "key", "left_semi").join(self.nodes.select("v", "sig"), "v")
-        n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("v"), n_blocks).cast("int")
-        dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        blocks = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("v", "label", "sig")).alias("members"))
+        """Links between different components within buckets."""
+        named = buckets.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
+        named = named.join(self.nodes.select("v", "n"), "v")
+        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("lo != hi")
+        n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        open_ = cut(named.join(split.select("key", n_blocks.alias("n_blocks")), "key").drop("n"), "open")
+        texts = self.texts(open_.select(F.col("v").alias("a")).distinct())
+        full = open_.join(self.nodes.select("v", "sig", "bands"), "v").join(texts, "v")
+        dealt = full.withColumn("own", F.pmod(F.xxhash64("v"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        blocks = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("v", "label", "own", "sig", "bands", "text")).alias("members"))
         node = "struct<s1:bigint,s2:bigint>"
-        found = blocks.where(F.size("members") > 1).select("members").mapInArrow(_across(self.percent / 100, self.miss), f"a {node}, b {node}")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        small_batches(self.spark, 16)
+        found = cut(blocks.where(F.size("members") > 1).select("key", "members").mapInArrow(_across(self.width, self.percent, self.miss), f"a {node}, b {node}"), "across")
+        small_batches(self.spark, 1000)
+        return found
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -295,9 +323,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = search.buckets()
     links = search.confirmed(search.tested(search.hub_pairs(buckets)))
     labels = components(links)
-    rest = cut(search.across(buckets, labels), "across")
+    rest = search.across(buckets, labels)
     if not rest.isEmpty():
-        labels = components(links.unionByName(search.confirmed(rest)))
+        labels = components(links.unionByName(rest))
     named = search.nodes.select("v", "least_id").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     first = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_node = cut(named.join(first, "label").select("v", "component_id"), "members")
