@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 #: Words that tell names of organisations apart no further, and their suffixes.
 GENERIC_TOKENS = ["of", "the", "and", "for", "a", "in", "institute", "university", "college", "foundation", "network", "initiative", "project", "program", "alliance", "association", "council", "group", "lab", "labs", "camp", "team", "fund", "trust", "society", "collective", "coalition", "centre", "center"]
@@ -63,7 +64,7 @@ def token_overlap(a: Column, b: Column) -> tuple[Column, Column]:
     return F.when(short == 0, 0.0).otherwise(n / short), F.when(short == 0, 0).otherwise(n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_value(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -92,7 +93,7 @@ def jaro_winkler_value(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - insertions and deletions between the sorted tokens as a share of both lengths."""
 
@@ -280,7 +281,7 @@ def multi_term_score(text: Column, words: list[str]) -> Column:
     return sum(hits[1:], hits[0]) / F.lit(float(len(used))) if used else F.lit(0.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_hash(c: pd.Series) -> pd.Series:
     """BLAKE2b-256 of JSON with sorted keys and no spaces; null for what isn't JSON."""
 
@@ -293,7 +294,7 @@ def canonical_json_hash(c: pd.Series) -> pd.Series:
     return c.map(one)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def evidence_found(snippet: pd.Series, text: pd.Series) -> pd.Series:
     """Whether a run of at least four fifths of a snippet's words stands in a text, case and spacing aside."""
 

@@ -41,7 +41,7 @@ def entity_rules(name: Column, kind: Column) -> dict[str, Column]:
 
 def split_lists(df: DataFrame, name: str, confidence: str, kinds: Sequence[str] | None = None, kind: str = "entity_type", most: int = 5, least: float = 0.75) -> DataFrame:
     """Rows whose name lists several ("A, B and C") as a row an item, if sure enough and not too many; others unchanged."""
-    items = F.filter(F.transform(F.split(F.col(name), r"\s*,\s*(?:and\s+)?|\s+and\s+|\s*&\s*"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(F.col(name), r"\s*,\s*(?:and\s+)?|\s+and\s+|\s*&\s*"), lambda x: F.trim(x)), lambda x: x != "")
     fits = (F.size(items) > 1) & (F.size(items) <= most) & (F.coalesce(F.col(confidence), F.lit(0.0)) >= least)
     if kinds is not None:
         fits = fits & F.col(kind).isin(list(kinds))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
+from sparkloom.operators.graph import _cut as cut
 from sparkloom.operators.graph import follow
 
 #: Least similarity for a fuzzy and a semantic match by type.
@@ -123,7 +124,8 @@ def resolve(mentions: DataFrame, registry: DataFrame, tiers: Sequence[str] = ("e
     known = registry if follow_merges else live(registry)
     left, found = mentions, None
     for name in tiers:
-        hit = TIERS[name](left, known) if name != "fuzzy" else fuzzy(left, known, vetoes=vetoes)
+        # Written, as each tier is read twice: as result, and to take its mentions out.
+        hit = cut(TIERS[name](left, known) if name != "fuzzy" else fuzzy(left, known, vetoes=vetoes))
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit.select("mention_id"), "mention_id", "left_anti")
     assert found is not None

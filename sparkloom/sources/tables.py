@@ -108,4 +108,4 @@ def with_(names: str, body: str) -> str:
     """SQL that starts from the named relations; names may be followed by `recursive`."""
     parts = names.split()
     head = "WITH RECURSIVE " if "recursive" in parts else "WITH "
-    return head + ",\n".join(CTES[n] for n in parts if n != "recursive") + "\n" + body
+    return head + ",\n".join(CTES[n] for n in parts if n != "recursive") + body if body.startswith(",") else head + ",\n".join(CTES[n] for n in parts if n != "recursive") + "\n" + body

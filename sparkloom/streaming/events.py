@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def read_events(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
@@ -37,13 +39,13 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "int")).parquet(f"{at}/out")
+    return spark.read.schema(stream.schema if mode == "append" else StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{at}/out")
 
 
 def with_expiry(events: DataFrame, queued: str = "queued_at", remote: Column | None = None, local_hours: int = 24, remote_hours: int = 72) -> DataFrame:
     """expires_at: a day after queueing, three for remote events."""
     hours = F.when(F.coalesce(remote, F.lit(False)), remote_hours).otherwise(local_hours) if remote is not None else F.lit(local_hours)
-    return events.withColumn("expires_at", F.timestamp_seconds(F.unix_timestamp(queued) + hours * 3600))
+    return events.withColumn("expires_at", F.timestamp_micros(F.unix_micros(queued) + hours.cast("long") * 3_600_000_000))
 
 
 def idempotent(events: DataFrame, keys: list[str], ts: str, delay: str = "1 day") -> DataFrame:
@@ -77,7 +79,8 @@ def versions(events: DataFrame) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         version, current = state.get if state.exists else (0, None)
         rows = []
-        for e in pd.concat(list(batches)).sort_values(["ts", "event_type"]).itertuples():
+        given = [b for b in batches if len(b)]
+        for e in pd.concat(given).sort_values(["ts", "event_type"]).itertuples() if given else ():
             if e.event_type == "FORGET":
                 if current is not None:
                     rows.append((key[0], version, current, e.ts, "superseded"))
