@@ -223,7 +223,7 @@ def lattice(words: DataFrame, path: str, word_col: str = "word") -> DataFrame:
     spans = spans.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocab.longest), F.length("word") - F.col("s")))))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("k")))
     joined = spans.join(F.broadcast(table), "piece", "left").where(F.col("tok").isNotNull() | (F.col("k") == 1))
-    edges = joined.select("word", "s", (F.col("s") + F.col("k")).alias("e"), F.coalesce("tok", F.lit(vocab.unknown) + F.conv(F.hex(F.encode("piece", "UTF-32BE")), 16, 10).cast("long")).alias("tok"))
+    edges = joined.select("word", "s", (F.col("s") + F.col("k")).alias("e"), F.coalesce("tok", F.lit(vocab.unknown) + F.conv(F.hex(F.encode("piece", "UTF-32")), 16, 10).cast("long")).alias("tok"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)[0]

@@ -71,7 +71,7 @@ def fit(doc: np.ndarray, bin_: np.ndarray, y: np.ndarray, earlier: np.ndarray, r
     """Logistic regression over the FEATURES bins whose presence differs most, in standard errors, between classes."""
     n, pos = len(y), int(y.sum())
     if pos in (0, n):
-        rate = (pos + 0.5) / (n + 1)
+        rate = (pos + 0.5) / (n + 2)
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))))
     all_ = np.bincount(bin_, minlength=BINS)
     ones = np.bincount(bin_, y[doc], minlength=BINS)
@@ -158,10 +158,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     """A chain over categories, each a Column over labels that is 0, 1 or null."""
     flags = labels.select(F.col(id_col).alias("_id"), *[c.cast("int").alias(k) for k, c in categories.items()]).dropna()
     sample = flags.groupBy("_id").agg(*[F.max(k).alias(k) for k in categories]).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    known = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id"))  # max_rows rows at most
-    rows = known.groupBy("_id").agg(F.min(text_or_empty(text_col)).alias("_text"), *[F.max(sample[k]).alias(k) for k in categories]).toPandas()
+    known = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))  # max_rows rows at most
+    rows = known.groupBy("_id").agg(F.min("_text").alias("_text"), *[F.max(k).alias(k) for k in categories]).toPandas()
     rows = rows.sort_values("_id")
-    return train(rows["_text"].tolist(), rows[list(categories)].to_numpy().reshape(len(rows), -1), list(categories))
+    return train(rows["_text"].tolist(), rows[list(categories)].to_numpy(np.int64).reshape(len(rows), len(categories)), list(categories))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
