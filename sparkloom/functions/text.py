@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -191,11 +192,22 @@ def query_variants(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(low), F.array_compact(bare), short, one))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda that names an expression would compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def grams(tokens: Column, size: int) -> Column:
+    """Runs of so many tokens, as arrays."""
+    runs = lambda ts: F.filter(F.transform(ts, lambda _, i: F.slice(ts, i + 1, F.lit(size))), lambda g: F.size(g) == size)
+    return let(tokens, runs)
+
+
 def ngram_patterns(c: Column) -> Column:
     """Words of three letters or more, and their adjacent pairs and triples."""
     ws = F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+"), lambda w: F.length(w) >= 3)
-    of = lambda k: F.transform(F.filter(F.transform(ws, lambda _, i: F.slice(ws, i + 1, F.lit(k))), lambda g: F.size(g) == k), lambda g: F.array_join(g, " "))
-    return F.concat(ws, of(2), of(3))
+    joined = lambda gs: F.transform(gs, lambda g: F.array_join(g, " "))
+    return let(ws, lambda w: F.concat(w, joined(grams(w, 2)), joined(grams(w, 3))))
 
 
 def deterministic_uri(name: Column, kind: Column) -> Column:

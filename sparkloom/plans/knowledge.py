@@ -571,7 +571,7 @@ def retrieval_metrics(s: SparkSession, d: str) -> DataFrame:
 @query("Q18_evidence_recall")
 def evidence_recall(s: SparkSession, d: str) -> DataFrame:
     """Benchmark passages found in documents: candidates share the passage's first eight words, a text's every eight words."""
-    grams = lambda x: F.transform(F.filter(F.transform(x, lambda _, i: F.slice(x, i + 1, F.lit(8))), lambda g: F.size(g) == 8), lambda g: F.xxhash64(g))
+    grams = lambda x: F.transform(T.grams(x, 8), lambda g: F.xxhash64(g))
     b = t.table(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(grams(T.terms(c("text"))))).alias("g"))
     docs = t.table(s, d, "documents")
     pairs = docs.select("doc_id", F.explode(F.array_distinct(grams(T.terms(c("text"))))).alias("g")).join(b.select("item_id", "g"), "g").select("item_id", "doc_id").distinct()
