@@ -228,7 +228,7 @@ def _backward(dout: np.ndarray, kept: list, w: np.ndarray, live: np.ndarray, n_i
     return dx, dw, db
 
 
-def train(n: int = 4000, epochs: int = 6, seed: int = 7, size: int = 64) -> dict[str, np.ndarray]:
+def train(n: int = 9000, epochs: int = 8, seed: int = 7, size: int = 64) -> dict[str, np.ndarray]:
     pages, labels = samples(n, seed)
     model = initial(seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
