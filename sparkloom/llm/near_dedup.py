@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bits
-from sparkloom.llm.common import cut, small_batches, text_or_empty
+from sparkloom.llm.common import cut, lookup, small_batches, text_or_empty
 from sparkloom.llm.wordhash import Words, mix, pieces, signed
 
 _U = np.uint64
@@ -240,9 +240,11 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut(ends.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("least")).select("v", F.least("v", "least").alias("label")), "labels")
     while True:
         heard = ends.join(labels.select(F.col("v").alias("a"), "label"), "a").groupBy(F.col("b").alias("v")).agg(F.min("label").alias("heard"))
-        told = labels.join(heard, "v").select("v", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        above = told.select(F.col("v").alias("label"), F.col("label").alias("above"))
-        told = cut(told.join(above, "label").select("v", "old", F.least("label", "above").alias("label")), "labels")
+        told = cut(labels.join(heard, "v").select("v", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "told")
+        # Labels in use are few beside nodes, and one may name a third of them: looked up, not joined by key.
+        used = told.select(F.col("label").alias("v")).distinct()
+        above = told.join(used, "v", "left_semi").select(F.col("v").alias("label"), F.col("label").alias("above"))
+        told = cut(lookup(told, above, ["label"]).select("v", "old", F.least("label", "above").alias("label")), "labels")
         if told.where("old != label").isEmpty():
             return told.select("v", "label")
         labels = told.drop("old")
