@@ -22,14 +22,15 @@ def read_events(spark: SparkSession, sf_dir: str, table: str = "events") -> Data
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives for all data now available, exactly once, in files of the shared folder."""
-    spark, at = stream.sparkSession, _shared(stream.sparkSession)
+    spark, at = stream.sparkSession, shared_folder(stream.sparkSession)
     if mode == "append":
         query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/out")
     else:  # each batch's changes; the last word on a key is in the highest batch
