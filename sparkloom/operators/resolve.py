@@ -76,8 +76,14 @@ def cross_type(mentions: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def block_keys(norm: Column) -> Column:
-    """Blocks of a name: the first three letters of each token. Names in no common block aren't compared."""
-    return F.array_distinct(F.transform(T.tokens(norm), lambda t: F.substring(t, 1, 3)))
+    """Blocks of a name; names in no common block aren't compared.
+
+    A token of up to eight letters gives its first three. A longer one gives its first five with its last two, and all but
+    its last two: a slip in its last letters keeps the second, one in its middle the first.
+    """
+    stem = lambda t: F.substring(t, F.lit(1), F.length(t) - 2)
+    keys = lambda t: F.when(F.length(t) <= 8, F.array(F.substring(t, 1, 3))).otherwise(F.array(F.concat(F.substring(t, 1, 5), F.lit("~"), F.right(t, F.lit(2))), F.concat(stem(t), F.lit("*"))))
+    return F.array_distinct(F.flatten(F.transform(T.tokens(norm), keys)))
 
 
 def blocked_pairs(mentions: DataFrame, registry: DataFrame) -> DataFrame:

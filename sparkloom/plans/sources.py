@@ -30,9 +30,9 @@ def code(s: SparkSession, d: str) -> DataFrame:
     return files.withColumn("language", F.lit(readers.LANGUAGES["py"]))
 
 
-@query("S8_wiki", "SELECT n_nationkey, concat('In ', r_name, '.') AS plain, CASE WHEN n_nationkey = 0 THEN concat(upper(substr(r_name, 1, 1)), replace(substr(r_name, 2), '_', ' ')) END AS redirect FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 0")
+@query("S8_wiki", "SELECT n_nationkey, concat('In ', r_name, '.') AS plain, NULL::VARCHAR AS redirect FROM nation JOIN region ON n_regionkey = r_regionkey")
 def wiki(s: SparkSession, d: str) -> DataFrame:
-    n = t.table(s, d, "nation").where("n_nationkey > 0").join(F.broadcast(t.table(s, d, "region")), c("n_regionkey") == c("r_regionkey"))
+    n = t.table(s, d, "nation").join(F.broadcast(t.table(s, d, "region")), c("n_regionkey") == c("r_regionkey"))
     markup = F.concat(F.lit("In [[region|"), "r_name", F.lit("]].{{stub}}<ref>x</ref>[[Category:Places]]"))
     return readers.wiki_pages(n, c("n_name"), markup, ("n_nationkey",)).select("n_nationkey", "plain", "redirect")
 
