@@ -6,21 +6,13 @@ reached are taken out by an anti-join, and lineage is cut by a written table whe
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read again."""
-    spark: SparkSession = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/graph-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from sparkloom.session import cut
 
 
 def directed(edges: DataFrame, direction: str = "both", predicate: str | None = None) -> DataFrame:
@@ -43,7 +35,7 @@ def bfs(steps: DataFrame, roots: DataFrame, depth: int, keep: Callable[[DataFram
         new = reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
         if keep is not None:
             new = keep(new)
-        frontier = _cut(new) if d % 2 == 0 else new
+        frontier = cut(new) if d % 2 == 0 else new
         seen = seen.unionByName(frontier)
     return seen
 
@@ -71,7 +63,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 8, direc
     for d in range(1, max_depth + 1):
         grown = frontier.join(steps, F.col("node") == F.col("src")).withColumn("_rn", F.row_number().over(one)).where("_rn = 1")
         grown = grown.select("source", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), F.lit(d).alias("length"))
-        frontier = _cut(grown.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
+        frontier = cut(grown.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
         if frontier.isEmpty():
             break
@@ -130,13 +122,13 @@ def symmetric(edges: DataFrame, predicates: list[str]) -> DataFrame:
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node, component (its least node). Each round takes the least label nearby, then that label's own label."""
-    ends = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    ends = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(rounds):
         heard = ends.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))
         told = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
         above = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        told = _cut(told.join(above, "component", "left").select("node", "old", F.least("component", F.coalesce("above", "component")).alias("component")))
+        told = cut(told.join(above, "component", "left").select("node", "old", F.least("component", F.coalesce("above", "component")).alias("component")))
         labels = told.drop("old")
         if told.where("old != component").isEmpty():
             break
@@ -148,14 +140,14 @@ def label_propagation(weighted: DataFrame, rounds: int = 20) -> DataFrame:
 
     A node's own label counts with its heaviest edge, which keeps two-sided graphs from swapping labels forever.
     """
-    both = _cut(weighted.select("a", "b", "weight").unionByName(weighted.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    both = cut(weighted.select("a", "b", "weight").unionByName(weighted.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     own = both.groupBy(F.col("a").alias("node")).agg(F.max("weight").alias("weight"))
     for r in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node"), "label").agg(F.sum("weight").alias("weight"))
         votes = votes.unionByName(labels.join(own, "node").select("node", "label", "weight")).groupBy("node", "label").agg(F.sum("weight").alias("weight"))
         best = Window.partitionBy("node").orderBy(F.col("weight").desc(), "label")
-        new = _cut(votes.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("node", "label"))
+        new = cut(votes.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("node", "label"))
         if r % 3 == 2 and new.join(labels.withColumnRenamed("label", "old"), "node").where("label != old").isEmpty():
             return new
         labels = new
@@ -252,7 +244,7 @@ def flows(calls: DataFrame, entries: DataFrame, depth: int = 10, branch: int = 4
         done.append(onward.where(stop & (F.size("path") >= 2)).select("entry", "path"))
         live = onward.where(~stop).select("entry", F.explode("onward").alias("t"), "path").select("entry", F.array_append("path", F.col("t")).alias("path"))
         if k % 3 == 0:
-            live = _cut(live)
+            live = cut(live)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
-from sparkloom.operators.graph import _cut as cut
 from sparkloom.operators.graph import follow
+from sparkloom.session import cut
 
 #: Least similarity for a fuzzy and a semantic match by type.
 FUZZY = {"Person": 0.92, "Organization": 0.90, "Location": 0.93, "Product": 0.90}

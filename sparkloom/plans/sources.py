@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.resolve import live
 from sparkloom.plans.registry import query
+from sparkloom.session import shared_folder
 from sparkloom.sources import readers, sinks
 from sparkloom.sources import tables as t
 from sparkloom.sources.tables import with_
-from sparkloom.streaming.events import shared_folder
 
 c = F.col
 
@@ -24,7 +24,7 @@ def feed(s: SparkSession, d: str) -> DataFrame:
 @query("S7_code_files", "SELECT n_nationkey, 'python' AS language FROM nation")
 def code(s: SparkSession, d: str) -> DataFrame:
     """Nations' keys as code files, written and read again as a tree."""
-    at = shared_folder(s)
+    at = shared_folder(s, "sink")
     t.table(s, d, "nation").select(F.concat(F.lit("x = "), c("n_nationkey").cast("string")).alias("value")).write.text(at)
     files = s.read.text(at).select(F.regexp_extract("value", r"x = (\d+)", 1).cast("int").alias("n_nationkey"))
     return files.withColumn("language", F.lit(readers.LANGUAGES["py"]))
@@ -57,14 +57,14 @@ def metadata(s: SparkSession, d: str) -> DataFrame:
 
 @query("S12_csv", "SELECT p_partkey, concat(p_name, ', \"', p_type, '\"') AS name FROM part")
 def csv(s: SparkSession, d: str) -> DataFrame:
-    at = shared_folder(s)
+    at = shared_folder(s, "sink")
     sinks.write_csv(t.table(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("name")), at)
     return sinks.read_csv(s, at, "p_partkey long, name string")
 
 
 @query("S13_jsonl", "SELECT vec_id, len(embedding)::INTEGER AS n, label FROM embeddings")
 def jsonl(s: SparkSession, d: str) -> DataFrame:
-    at = shared_folder(s)
+    at = shared_folder(s, "sink")
     sinks.write_jsonl(t.table(s, d, "embeddings"), at)
     return sinks.read_jsonl(s, at, "vec_id long, embedding array<float>, label int").select("vec_id", F.size("embedding").alias("n"), "label")
 

@@ -5,7 +5,6 @@ Each function takes and returns a streaming DataFrame, and works on a batch one
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from sparkloom.session import shared_folder
+
 
 def read_events(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """The events table as a stream of files."""
@@ -22,15 +23,9 @@ def read_events(spark: SparkSession, sf_dir: str, table: str = "events") -> Data
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
-
-
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives for all data now available, exactly once, in files of the shared folder."""
-    spark, at = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     if mode == "append":
         query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/out")
     else:  # each batch's changes; the last word on a key is in the highest batch
@@ -92,7 +87,8 @@ def versions(events: DataFrame) -> DataFrame:
                 version, current = version + 1, e.content_hash
                 rows.append((key[0], version, current, e.ts, "written"))
         state.update((version, current))
-        yield pd.DataFrame(rows, columns=["rid", "version", "content_hash", "valid_from", "change"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["rid", "version", "content_hash", "valid_from", "change"])
 
     return events.groupBy("rid").applyInPandasWithState(run, VERSIONS, "version long, current string", "append", GroupStateTimeout.NoTimeout)
 
