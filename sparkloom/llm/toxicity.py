@@ -29,6 +29,8 @@ BINS = 1 << 20
 BEGINNINGS = (4, 5, 6)
 FEATURES = 2048
 FOLDS = 4
+#: Texts of the sample that must have a feature.
+LEAST = 3
 
 
 def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -67,17 +69,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(doc: np.ndarray, bin_: np.ndarray, y: np.ndarray, earlier: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> Linear:
+def fit(doc: np.ndarray, bin_: np.ndarray, y: np.ndarray, earlier: np.ndarray, rounds: int = 250, ridge: float = 1e-4) -> Linear:
     """Logistic regression over the FEATURES bins whose presence differs most, in standard errors, between classes."""
     n, pos = len(y), int(y.sum())
     if pos in (0, n):
         rate = (pos + 0.5) / (n + 2)
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))))
     all_ = np.bincount(bin_, minlength=BINS)
-    ones = np.bincount(bin_, y[doc], minlength=BINS)
+    ones = np.bincount(bin_[y[doc] > 0], minlength=BINS)
     p = all_ / n
     z = np.abs(ones / pos - (all_ - ones) / (n - pos)) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / pos + 1 / (n - pos)))
-    z[all_ < 3] = 0
+    z[all_ < LEAST] = 0
     bins = np.flatnonzero(z >= 4.0)
     bins = bins[np.argsort(-z[bins], kind="stable")][:FEATURES]
     index = np.full(BINS, -1, np.int64)
@@ -115,17 +117,20 @@ class Chain:
 
 
 def best_limit(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap between probabilities at which F1 is best; 0.5 without both classes."""
+    """The middle of the widest gap between log-odds among those where F1 is within 0.002 of the best; 0.5 without both
+    classes."""
     if y.sum() in (0, len(y)):
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     f1[:-1][p[order][1:] == p[order][:-1]] = -1
-    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    above, below = p[order][best], np.append(p[order], 0.0)[best + 1]
+    best = np.flatnonzero(f1 >= f1.max() - 0.002)
+    odds = np.clip(np.append(p[order], 0.0), 1e-6, 1 - 1e-6)
+    odds = np.log(odds / (1 - odds))
+    above, below = odds[best], odds[best + 1]
     at = int(np.argmax(above - below))
-    return float((above[at] + below[at]) / 2)
+    return float(sigmoid((above[at] + below[at]) / 2))
 
 
 def train(texts: Sequence[str], labels: np.ndarray, names: Sequence[str]) -> Chain:
@@ -136,7 +141,12 @@ def train(texts: Sequence[str], labels: np.ndarray, names: Sequence[str]) -> Cha
         d, b = features(own)
         found.append(((d + at).astype(np.int32), b.astype(np.int32)))
         at += len(part)
+    # Bins that fewer than LEAST texts have are never chosen, and are most of them.
+    common = sum((np.bincount(b, minlength=BINS) for _, b in found), np.zeros(BINS, np.int64)) >= LEAST
+    for k, (d, b) in enumerate(found):
+        found[k] = (d[keep := common[b]], b[keep])
     doc, bin_ = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int32)]) for i in (0, 1))
+    del found, batch
     fold = mix(np.arange(n, dtype=np.uint64)) % np.uint64(FOLDS)
     models, limits, earlier = [], [], np.zeros((n, 0))
     for c in range(len(names)):
@@ -144,7 +154,7 @@ def train(texts: Sequence[str], labels: np.ndarray, names: Sequence[str]) -> Cha
         held = np.zeros(n)
         for k in range(FOLDS):
             out, rest = fold == k, fold != k
-            place = np.cumsum(rest) - 1
+            place = (np.cumsum(rest) - 1).astype(np.int32)
             inside = rest[doc]
             m = fit(place[doc[inside]], bin_[inside], y[rest], earlier[rest])
             held[out] = sigmoid(m.logits(doc, bin_, earlier))[out]
