@@ -18,6 +18,7 @@ gives an empty result; further columns are ignored; a null identifier is kept.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,12 +35,12 @@ SEED = 8
 CELL_BITS = 30
 
 FIRST = pa.schema([("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("c0", pa.int32()), ("c1", pa.int32())])
-SECOND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("seed", pa.int64()), ("a", pa.int32()), ("m", pa.int32()), ("text", pa.string())])
+SECOND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("seed", pa.int64()), ("a", pa.int32()), ("m", pa.int32()), ("packed", pa.binary())])
 OPEN = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("p", pa.int32()), ("open", pa.bool_())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
+    names = {pa.binary(): "binary", pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -101,17 +102,23 @@ def _suspects(width: int, rows: object, shift: int) -> Callable[[Iterator[pa.Rec
                 end = a + m - 1 + width
                 yield _nulls(SECOND, len(a), t1=signed(t1[doc]), t2=signed(t2[doc]), h1=signed(ws.sums.of(a, end, 0)), h2=signed(ws.sums.of(a, end, 1)), seed=signed(seed), a=pa.array((a - ws.first[doc]).astype(np.int32)), m=pa.array(m.astype(np.int32)))
                 has = np.unique(doc)
-                yield _nulls(SECOND, len(has), t1=signed(t1[has]), t2=signed(t2[has]), text=texts.take(pa.array(has)).cast(pa.string()))
+                yield _nulls(SECOND, len(has), t1=signed(t1[has]), t2=signed(t2[has]), packed=pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts.take(pa.array(has)).to_pylist()], pa.binary()))
 
     return run
 
 
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its packed texts as a column text. Packed, they take less room in files and shuffles."""
+    texts = [zlib.decompress(x).decode("utf-8", "surrogatepass") for x in batch.column(batch.schema.get_field_index("packed")).to_pylist()]
+    return batch.append_column("text", pa.array(texts, pa.string()))
+
+
 def _windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The windows of a text's spans: columns t1, t2, text and spans (a, m, open)."""
+    """The windows of a text's spans: columns t1, t2, packed and spans (a, m, open)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch, "text"):
+            for part, texts in pieces(_unpacked(batch), "text"):
                 ws = Words(texts)
                 col = part.column(part.schema.get_field_index("spans"))
                 doc = np.repeat(np.arange(len(part)), np.asarray(col.value_lengths()).astype(np.int64))
@@ -127,15 +134,15 @@ def _windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _without(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What stays of a text without its runs of repeated windows: columns t1, t2, text and runs (a, m)."""
+    """What stays of a text without its runs of repeated windows: columns t1, t2, packed and runs (a, m)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(batch.schema.get_field_index(c)) for c in ("t1", "t2")]
-            texts, runs = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "runs"))
+            texts, runs = (batch.column(batch.schema.get_field_index(c)) for c in ("packed", "runs"))
             removed, shas = [], []
             for text, own in zip(texts, runs, strict=True):
-                ws = text.as_py().encode("utf-8", "surrogatepass").split()
+                ws = zlib.decompress(text.as_py()).split()
                 flat = own.values
                 a, m = np.asarray(flat.field(0)), np.asarray(flat.field(1))
                 edge = np.zeros(len(ws) + 1, np.int64)
@@ -152,7 +159,7 @@ def _without(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 35) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents, copied, texts, runs): what `dedup` needs, and of use by itself.
 
-    documents: id, t1, t2 (a hash of the words), n_words, sha. copied: t1, t2 of texts with copies. texts: t1, t2, text of
+    documents: id, t1, t2 (a hash of the words), n_words, sha. copied: t1, t2 of texts with copies. texts: t1, t2, packed (zlib) of
     texts with suspected windows. runs: t1, t2, a, m: m windows from word a on start elsewhere as well.
     """
     spark = docs.sparkSession
@@ -168,8 +175,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         twice = cells.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
         merged.append(bits.bitmap(twice, F.col("cell"), wide))
     second = cut(rows.select("text").mapInArrow(_suspects(width, spark.sparkContext.broadcast(merged), shift), _ddl(SECOND)), "suspects")
-    found = second.where(F.col("text").isNull()).drop("text")
-    texts = second.where(F.col("text").isNotNull()).groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    found = second.where(F.col("packed").isNull()).drop("packed")
+    texts = second.where(F.col("packed").isNotNull()).groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
 
     copied = cut(documents.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")).where("n >= 2").drop("n"), "copied")
     place = F.struct("t1", "t2", "a", "m")
