@@ -240,6 +240,16 @@ def test_disclosing_terms_go(spark):  # noqa: ANN001
     assert not got[600]["spans"] and not got[0]["spans"]
 
 
+def test_entities_of_one_text_disclose(spark):  # noqa: ANN001
+    r = random.Random(4)
+    plain = [(k, f"{prose(r, 30)} often") for k in range(400)]
+    told = [(500, f"{prose(r, 20)} often Quillfeather writes from quill@example.org and 10.1.2.3")]
+    got = {x["doc_id"]: x for x in sanitise.sanitise(spark.createDataFrame(rows(plain + told), SCHEMA)).collect()}
+    kinds = {x["m"]: x["k"] for x in got[500]["spans"]}
+    assert kinds["Quillfeather"] == 4 and kinds["quill@example.org"] == 0 and "often" not in kinds
+    assert not got[0]["spans"]
+
+
 def test_token_counts(docs, texts, none):  # noqa: ANN001
     from tokenizers import Tokenizer
 
