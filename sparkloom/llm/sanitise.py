@@ -9,8 +9,8 @@ generalised to a placeholder otherwise. All of it is DataFrame expressions.
 Entities with the same posting list are one class (count and two 64-bit xor signatures of the texts that hold them), so a
 page of a thousand addresses that is copied makes one class, not a thousand pairs a term. Copies of a text are folded to
 one row with a weight before anything is paired. An entity of a single text counts as any other: all entities that only
-this text holds are one class, which its terms are paired with once. Entities in more than 2 ** -min_bits of all documents
-are public, not protected.
+this text holds are one class, which its terms are paired with once. However many copies or texts hold an entity, it is
+protected; only one that all rows hold, in several different texts, has no information (IC 0) that a term could give away.
 
 Defined results: a null or empty text has no spans; offsets are code points, end exclusive; repeated rows count as often
 as they come; an empty table gives an empty result; further columns are ignored; a null identifier is kept.
@@ -91,13 +91,13 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, alpha: float, sure: float, min_bits: float) -> DataFrame:
+def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, alpha: float, sure: float) -> DataFrame:
     """key -> removed, generalised (arrays of terms). found: rows with key, text and base, for documents that hold entities; docs: a column text."""
     # Copies of a text become one row with a weight.
     texts = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.first("text").alias("text"), F.first("base").alias("base")), "texts")
     held = texts.select("key", "w", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     classes = held.groupBy("entity").agg(F.sum("w").alias("df_e"), F.count(F.lit(1)).alias("texts"), F.bit_xor(F.xxhash64("key")).alias("x1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x2"))
-    classes = classes.where(F.log2(F.lit(float(n_docs)) / F.col("df_e")) >= min_bits)
+    classes = classes.where((F.col("texts") == 1) | (F.col("df_e") < n_docs))
     # Tables are written before joins whose keys may be hot: both sides are then plain shuffles, which can be split.
     classes = cut(classes.select("entity", F.concat_ws(":", "texts", "x1", "x2").alias("class"), "df_e"), "entities")
     of_text = cut(held.join(classes, "entity").select("key", "class", "df_e").distinct(), "classes")
@@ -133,14 +133,14 @@ def redact(text: Column, spans: Column) -> Column:
     return let(clear, lambda xs: F.concat(F.array_join(F.transform(xs, part(xs)), ""), tail(xs)))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, alpha: float = 0.9, sure: float = 0.9, min_bits: float = 6.0) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, alpha: float = 0.9, sure: float = 0.9) -> DataFrame:
     """A row a document: id_col, base and spans (arrays of s, k, e, m), text (null where no span was found)."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     holds = F.size("base") > 0
     rows = cut(rows.select(id_col, "base", F.when(holds, F.sha2("text", 256)).alias("key"), F.when(holds, F.col("text")).alias("text")), "base")
     found = rows.where(F.col("key").isNotNull())
-    flagged = disclosing_terms(found, docs.select(text.alias("text")), rows.count(), alpha=alpha, sure=sure, min_bits=min_bits)
+    flagged = disclosing_terms(found, docs.select(text.alias("text")), rows.count(), alpha=alpha, sure=sure)
     told = lookup(found, flagged, ["key"])
     none = F.array().cast("array<string>")
     added = F.concat(_of_terms(F.col("text"), F.coalesce("removed", none), 4, F.col("base")), _of_terms(F.col("text"), F.coalesce("generalised", none), 5, F.col("base")))

@@ -250,6 +250,17 @@ def test_entities_of_one_text_disclose(spark):  # noqa: ANN001
     assert not got[0]["spans"]
 
 
+def test_copies_and_small_tables_are_protected(spark):  # noqa: ANN001
+    r = random.Random(6)
+    told = f"{prose(r, 20)} Quillfeather writes from quill@example.org"
+    spans = lambda texts: [{x["m"] for x in row["spans"] if x["k"] > 3} for row in sanitise.sanitise(spark.createDataFrame(rows(list(enumerate(texts))), SCHEMA)).orderBy("doc_id").collect()]
+    plain = [prose(r, 30) for _ in range(200)]
+    assert all("Quillfeather" in x for x in spans([told] * 100 + plain)[:100])  # a hot group of copies
+    assert "Quillfeather" in spans([told, *plain[:3]])[0]  # a small table
+    assert "Quillfeather" in spans([told])[0]
+    assert not any(spans([f"{t} mail us@example.org" for t in plain[:20]]))  # in every text: no information
+
+
 def test_token_counts(docs, texts, none):  # noqa: ANN001
     from tokenizers import Tokenizer
 
