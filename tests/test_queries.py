@@ -10,6 +10,7 @@ import pytest
 from sparkloom.plans import catalog
 from sparkloom.plans.knowledge import _document_events
 from sparkloom.operators import temporal
+from sparkloom.sources import tables as t
 
 
 def shown(v) -> str:  # noqa: ANN001
@@ -45,3 +46,29 @@ def test_stream_versions_equal_batch(spark, sf):  # noqa: ANN001
     stream = catalog.QUERIES["X6_versions"](spark, sf).where("change = 'written'")
     key = lambda df: sorted((r["rid"], r["version"], r["content_hash"]) for r in df.collect())
     assert key(stream) == key(batch)
+
+
+def test_betweenness_takes_all_sources_and_edges(spark, sf):  # noqa: ANN001
+    near: dict[str, set[str]] = {}
+    for r in t.edges(spark, sf).collect():
+        near.setdefault(r["subject"], set()).add(r["object"])
+        near.setdefault(r["object"], set()).add(r["subject"])
+    want = dict.fromkeys(near, 0.0)
+    for source in near:
+        dist, paths, order = {source: 0}, {source: 1}, [source]
+        for u in order:
+            for v in near[u]:
+                if v not in dist:
+                    dist[v], paths[v] = dist[u] + 1, 0
+                    order.append(v)
+                if dist[v] == dist[u] + 1:
+                    paths[v] += paths[u]
+        delta = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in near[v]:
+                if dist[u] == dist[v] - 1:
+                    delta[u] += paths[u] / paths[v] * (1 + delta[v])
+            want[v] += delta[v] if v != source else 0
+    got = {r["node"]: r["betweenness"] for r in catalog.QUERIES["G12_betweenness"](spark, sf).collect()}
+    assert len(got) > 0 and set(got) <= set(want)
+    assert all(abs(got.get(k, 0.0) - v) < 1e-3 for k, v in want.items())
