@@ -163,8 +163,9 @@ def entry_points(s: SparkSession, d: str) -> DataFrame:
 
 @query("G18_flows")
 def flows(s: SparkSession, d: str) -> DataFrame:
-    entries = _calls(s, d).groupBy(c("source").alias("entry")).agg(F.count(F.lit(1)).alias("n")).orderBy(c("n").desc(), "entry").limit(10).select("entry")
-    return graph.flows(_calls(s, d), entries, depth=4, branch=3).select("entry", F.array_join("path", ">").alias("path"))
+    """With the reference's limits: 200 entries, ten nodes a trace, four calls a node."""
+    entries = _calls(s, d).groupBy(c("source").alias("entry")).agg(F.count(F.lit(1)).alias("n")).orderBy(c("n").desc(), "entry").limit(200).select("entry")
+    return graph.flows(_calls(s, d), entries, depth=10, branch=4).select("entry", F.array_join("path", ">").alias("path"))
 
 
 @query("G19_impact", f"WITH RECURSIVE {CALLS}, r(node, depth) AS (SELECT 'p7', 0 UNION SELECT source, depth + 1 FROM r JOIN calls ON target = node WHERE depth < 2) SELECT node, min(depth) AS depth, CASE WHEN min(depth) = 1 THEN 'high' ELSE 'medium' END AS risk FROM r GROUP BY 1 HAVING min(depth) > 0")

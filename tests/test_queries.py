@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from sparkloom.plans import catalog
-from sparkloom.plans.knowledge import _document_events
+from sparkloom.plans.knowledge import CALLS, _document_events
 from sparkloom.operators import temporal
 from sparkloom.sources import tables as t
 
@@ -72,3 +72,23 @@ def test_betweenness_takes_all_sources_and_edges(spark, sf):  # noqa: ANN001
     got = {r["node"]: r["betweenness"] for r in catalog.QUERIES["G12_betweenness"](spark, sf).collect()}
     assert len(got) > 0 and set(got) <= set(want)
     assert all(abs(got.get(k, 0.0) - v) < 1e-3 for k, v in want.items())
+
+
+def test_flows_have_the_limits_of_the_reference(spark, sf, duck):  # noqa: ANN001
+    onward: dict[str, list[str]] = {}
+    for a, b in sorted(duck.sql(f"WITH {CALLS} SELECT source, target FROM calls").fetchall()):
+        onward.setdefault(a, []).append(b)
+    want = set()
+
+    def trace(path: list[str]) -> None:
+        new = [x for x in onward.get(path[-1], [])[:4] if x not in path]
+        if len(path) >= 2 and (len(path) == 10 or not new):
+            want.add(">".join(path))
+        elif new:
+            for x in new:
+                trace([*path, x])
+
+    for entry in sorted(onward, key=lambda x: (-len(onward[x]), x))[:200]:
+        trace([entry])
+    got = [r["path"] for r in catalog.QUERIES["G18_flows"](spark, sf).collect()]
+    assert sorted(got) == sorted(want)
