@@ -90,9 +90,32 @@ def follow(pointers: DataFrame, max_hops: int = 10) -> DataFrame:
     return out.select("node", "final", (F.size("trail") - 1).alias("hops"))
 
 
+def chain_ends(pointers: DataFrame) -> DataFrame:
+    """node -> final over pointers (node, next): the end of the whole chain, however long; on a cycle, or into one, the cycle's
+    least node.
+
+    Pointers are doubled until none is open. Only open ones look up others, so that an end many nodes share is no hot key.
+    """
+    to = F.coalesce("next", "node")
+    known = cut(pointers.select("node", to.alias("at"), F.least(F.col("node"), to).alias("low"), F.col("next").isNull().alias("done")))
+    n = left = known.where("NOT done").count()
+    hops = lambda: known.select(F.col("node").alias("at"), F.col("at").alias("onward"), F.col("low").alias("low_on"), F.col("done").alias("done_on"))
+    reach = 1
+    # What is still open after as many hops as there are pointers is on a cycle.
+    while left and reach <= n:
+        moved = known.where("NOT done").join(hops(), "at", "left")
+        moved = moved.select("node", F.coalesce("onward", "at").alias("at"), F.least("low", "low_on").alias("low"), F.coalesce("done_on", F.lit(True)).alias("done"))
+        known, reach = cut(known.where("done").unionByName(moved)), 2 * reach
+        left = known.where("NOT done").count()
+    ended = known.where("done").select("node", F.col("at").alias("final"))
+    if not left:
+        return ended
+    return ended.unionByName(known.where("NOT done").select("node", "at").join(hops().select("at", "low_on").distinct(), "at").select("node", F.col("low_on").alias("final")))
+
+
 def chain_origin(versions: DataFrame) -> DataFrame:
     """id -> origin over versions (id, supersedes): the first of its chain."""
-    f = follow(versions.select(F.col("id").alias("node"), F.col("supersedes").alias("next")), 32)
+    f = chain_ends(versions.select(F.col("id").alias("node"), F.col("supersedes").alias("next")))
     return f.select(F.col("node").alias("id"), F.col("final").alias("origin"))
 
 
@@ -100,7 +123,7 @@ def chain_head(versions: DataFrame) -> DataFrame:
     """id -> head: the latest of its chain."""
     back = versions.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("node"), F.col("id").alias("next"))
     rows = versions.select(F.col("id").alias("node")).join(back, "node", "left")
-    return follow(rows, 32).select(F.col("node").alias("id"), F.col("final").alias("head"))
+    return chain_ends(rows).select(F.col("node").alias("id"), F.col("final").alias("head"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -42,6 +42,15 @@ def test_chains(spark):  # noqa: ANN001
     assert {r["id"]: r["head"] for r in graph.chain_head(v).collect()} == dict.fromkeys(["v1", "v2", "v3"], "v3")
 
 
+def test_whole_chains(spark):  # noqa: ANN001
+    long = [(k, k - 1 if k else None) for k in range(100)] + [(201, 202), (202, 203), (203, 201), (204, 203), (300, 299)]
+    v = spark.createDataFrame(long, "id long, supersedes long")
+    origin = {r["id"]: r["origin"] for r in graph.chain_origin(v).collect()}
+    assert origin == dict.fromkeys(range(100), 0) | dict.fromkeys(range(201, 205), 201) | {300: 299}
+    head = {r["id"]: r["head"] for r in graph.chain_head(v.where("id < 200")).collect()}
+    assert head == dict.fromkeys(range(100), 99)
+
+
 def test_random_graphs(spark):  # noqa: ANN001
     r = random.Random(1)
     pairs = sorted({tuple(sorted((f"n{r.randrange(40):02}", f"n{r.randrange(40):02}"))) for _ in range(45)})
