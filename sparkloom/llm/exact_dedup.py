@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, small_batches, text_or_empty
+from sparkloom.llm.common import batches_of, cut, text_or_empty
 
 PREFIX = 24
 RUNS = "pid int, run long, id long, n long, keep long, stays boolean, sha string, first_text string, last_text string"
@@ -86,12 +86,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keep: "smallest" or "largest" identifier of equal texts stays. normalise: a Column function, identity if None.
     """
-    small_batches(docs.sparkSession, 1000)
     text = text_or_empty(text_col)
     text = normalise(text) if normalise else text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("sha", F.sha2("text", 256)).withColumn("head", F.substring("text", 1, PREFIX))
     ordered = rows.repartitionByRange("head", "sha", "id").sortWithinPartitions("head", "sha", "text", "id").select("id", "text", "sha")
-    runs = cut(ordered.mapInArrow(_scan(keep == "smallest"), RUNS), "runs")
+    with batches_of(docs.sparkSession, 1000):
+        runs = cut(ordered.mapInArrow(_scan(keep == "smallest"), RUNS), "runs")
 
     # Two rows a partition: its first and its last run, with their texts.
     first = runs.where(F.col("first_text").isNotNull()).select("pid", "first_text", F.col("n").alias("first_n"), F.col("keep").alias("first_keep"))

@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small_batches
-from sparkloom.llm.wordhash import Words
+from sparkloom.llm.wordhash import Words, pieces
 
 PATH, WORDS, NUMBERS = 256, 64, 8
+#: Blocks whose vectors are made at a time, and time steps whose gates are: a page of any length takes bounded room for these.
+CHUNK = 4096
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 #: Fixed values of HTML: tags that end a block of text, tags without content, tags whose content isn't text, and tags
@@ -134,13 +135,10 @@ def _bins(names: tuple[str, ...]) -> np.ndarray:
     return np.array([zlib.crc32(x.encode()) % PATH for x in dict.fromkeys(names)], np.int64)
 
 
-def vectors(pages: list[list[Block]]) -> np.ndarray:
-    """A row a block, all pages' blocks one after the other."""
-    flat = [b for p in pages for b in p]
+def _rows(flat: list[Block], place: np.ndarray) -> np.ndarray:
+    """A vector a block; place: where each one lies on its page, from 0 to 1."""
     n = len(flat)
     x = np.zeros((n, PATH + WORDS + NUMBERS), np.float32)
-    if not n:
-        return x
     if _bins.cache_info().currsize > 50_000:
         _bins.cache_clear()
     for i, (_, names, _) in enumerate(flat):
@@ -150,7 +148,6 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
     bag = np.bincount(np.repeat(np.arange(n), size) * WORDS + (ws.hashes[0] >> np.uint64(58)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
     x[:, PATH : PATH + WORDS] = bag / np.maximum(np.sqrt((bag * bag).sum(axis=1, keepdims=True)), 1)
     chars = np.array([len(t) for t, _, _ in flat])
-    place = np.concatenate([np.linspace(0, 1, len(p)) for p in pages if p])
     depth = np.array([len(names) for _, names, _ in flat])
     x[:, -NUMBERS:] = np.stack([
         np.log1p(chars) / 8, np.log1p(size) / 6, np.array([k for _, _, k in flat]) / np.maximum(chars, 1), place,
@@ -159,14 +156,23 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
     return x
 
 
+def vectors(pages: list[list[Block]], then: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
+    """A row a block, all pages' blocks one after the other; `then` is applied to CHUNK rows at a time."""
+    flat = [b for p in pages for b in p]
+    place = np.concatenate([np.zeros(0), *[np.linspace(0, 1, len(p)) for p in pages if p]])
+    cuts = range(0, len(flat), CHUNK)
+    return np.concatenate([then(_rows(flat[a : a + CHUNK], place[a : a + CHUNK])) for a in cuts] or [then(np.zeros((0, PATH + WORDS + NUMBERS), np.float32))])
+
+
 def lstm(x: np.ndarray, w: np.ndarray, b: np.ndarray, live: np.ndarray) -> np.ndarray:
     """Hidden states (time, pages, hidden) for inputs (time, pages, features); pages that have ended keep their state."""
     hidden = w.shape[1] // 4
     h, c = np.zeros((x.shape[1], hidden), np.float32), np.zeros((x.shape[1], hidden), np.float32)
-    pre = x @ w[: x.shape[2]] + b
     out = np.zeros((*x.shape[:2], hidden), np.float32)
     for t in range(len(x)):
-        g = pre[t] + h @ w[x.shape[2] :]
+        if t % CHUNK == 0:
+            pre = x[t : t + CHUNK] @ w[: x.shape[2]] + b
+        g = pre[t % CHUNK] + h @ w[x.shape[2] :]
         i, f, o = (1 / (1 + np.exp(-g[:, k * hidden : (k + 1) * hidden])) for k in range(3))
         fresh = f * c + i * np.tanh(g[:, 3 * hidden :])
         on = live[t][:, None]
@@ -198,7 +204,7 @@ def label(pages: list[list[Block]], model: dict[str, np.ndarray]) -> list[np.nda
             to += 1
         group = [pages[i] for i in order[at:to]]
         sizes = np.array([len(p) for p in group])
-        x = np.tanh(vectors(group) @ model["w_in"] + model["b_in"])
+        x = vectors(group, lambda rows: np.tanh(rows @ model["w_in"] + model["b_in"]))
         ahead, behind, live, _ = padded(x, sizes)
         h1 = lstm(ahead, model["w_f"], model["b_f"], live)
         h2 = lstm(behind, model["w_b"], model["b_b"], live)
@@ -224,15 +230,15 @@ def main_texts(pages: list[str], model: dict[str, np.ndarray]) -> list[str]:
 def _extractor(model: dict[str, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = main_texts(batch.column(batch.num_columns - 1).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
+            for part, htmls in pieces(batch, batch.num_columns - 1):  # by bytes, as pages may be long
+                texts = main_texts(htmls.to_pylist(), model)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "text"])
 
     return run
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:
     """A row a page: id_col, the carried columns, text."""
-    small_batches(pages.sparkSession, 200)
     kinds = dict(pages.dtypes)
     rows = pages.select(id_col, *carry, F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *carry))

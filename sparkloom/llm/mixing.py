@@ -10,7 +10,7 @@ Offsets are running sums over a whole source. They are taken in two steps, withi
 source and over the ranges' totals, so a source that holds a third of all rows is summed by thousands of tasks.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents of size 0 are taken
-for 0 words; repeated rows are separate documents of the mix; no documents give an empty result.
+for 0 words; repeated rows are separate documents of the mix; no documents give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,23 +25,35 @@ WEIGHTS = (3, 1, 2)
 SLOPES = (0.5, -0.5, 0.0)
 
 
+#: What `curriculum` returns beside the identifier and what it carries.
+COLUMNS = ("source", "size", "source_size", "target", "positions", "key", "name", "bucket")
+
+
+def ranked(sizes: DataFrame) -> DataFrame:
+    """A row a source with its rank by name, from 0. Names are dealt out by ranges and numbered within these; only the ranges'
+    totals, one row a partition, meet in one task."""
+    dealt = cut(sizes.repartitionByRange("name").withColumn("part", F.spark_partition_id()), "ranges")
+    begun = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("begin", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1
+    return dealt.withColumn("rank", within).join(F.broadcast(begun), "part").withColumn("rank", F.col("begin") + F.col("rank")).drop("part", "n", "begin")
+
+
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most_repeats: int = 2) -> DataFrame:
     """Targets in words: name, source_size, rank, target. sizes: a row a source (name, source_size).
 
-    A source's target is weight times one level, or its cap if that is less; the level spends the whole share. Sources in
-    order of cap by weight: those before the first that stays under its cap are full.
+    A source's target is weight times one level, or its cap if that is less; the level spends the whole share. It is raised
+    until no further source is above its cap: each round is one aggregate over the sources, of which one row returns.
     """
-    by_name = Window.orderBy("name")
-    weight = F.get(F.array(*[F.lit(w) for w in weights]), F.col("rank") % len(weights))
-    s = sizes.withColumn("rank", (F.row_number().over(by_name) - 1).cast("int")).withColumn("weight", weight.cast("double"))
-    s = s.withColumn("cap", F.col("source_size").cast("double") * most_repeats).withColumn("ratio", F.col("cap") / F.col("weight"))
-    fill = Window.orderBy("ratio", "rank")
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    s = s.withColumn("open_level", F.when(F.col("ratio") > F.col("level"), F.col("level")))
-    s = s.withColumn("final", F.first("open_level", ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return s.select("name", "source_size", "rank", F.coalesce(F.least(F.col("cap"), F.col("final") * F.col("weight")), F.col("cap")).alias("target"))
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights)).cast("int"))
+    s = cut(ranked(sizes).withColumns({"weight": weight, "cap": F.col("source_size") * most_repeats}), "sources")
+    level, full = 0.0, -1
+    while True:
+        above = F.lit(full >= 0) & (F.col("cap") <= F.lit(level) * F.col("weight"))
+        n, spent, open_, total = s.agg(F.count_if(above), F.sum(F.when(above, F.col("cap")).otherwise(0)), F.sum(F.when(above, 0).otherwise(F.col("weight"))), F.sum("source_size")).first()
+        if not open_ or n == full:
+            break
+        level, full = (total * share - spent) / open_, n
+    return s.select("name", "source_size", "rank", F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("weight")).alias("target") if open_ else F.col("cap").cast("double").alias("target"))
 
 
 def position_of(offset: Column, target: Column, slope: Column) -> Column:
@@ -72,7 +84,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - (buckets - 1).bit_length()).cast("int")), "sizes")
     filled = cut(rows.groupBy("name", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
     sizes = filled.groupBy("name").agg(F.sum("bucket_size").alias("source_size"))
-    slope = F.get(F.array(*[F.lit(float(s)) for s in slopes]), F.col("rank") % len(slopes))
+    slope = F.get(F.array(*[F.lit(float(s)) for s in slopes]), (F.col("rank") % len(slopes)).cast("int"))
     targets = source_targets(sizes, weights=weights, share=share, most_repeats=most_repeats).withColumn("slope", slope)
     earlier = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begun = filled.withColumn("begin", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
@@ -85,6 +97,11 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return placed.select(id_col, "source", "size", "source_size", "target", F.filter(each, lambda p: p.isNotNull()).alias("positions"), "key", *(carry or {}))
 
 
+def by_position(mix: DataFrame) -> DataFrame:
+    """The documents by the first position at which each is read, dealt out by ranges of it; those that aren't read come last."""
+    return mix.withColumn("first_position", F.get("positions", F.lit(0))).orderBy(F.col("first_position").asc_nulls_last(), "key")
+
+
 def in_order(mix: DataFrame) -> DataFrame:
     """The mix: a row for each time a document is read, by training position, dealt out by ranges of it."""
     return mix.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", "key")

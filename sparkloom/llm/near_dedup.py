@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bits
-from sparkloom.llm.common import cut, lookup, small_batches, text_or_empty
+from sparkloom.llm.common import batches_of, cut, lookup, text_or_empty
 from sparkloom.llm.wordhash import Words, mix, pieces, signed
 
 _U = np.uint64
@@ -93,7 +93,7 @@ def sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return doc, hashes, n, halves[0], halves[1]
 
 
-def _signer(width: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _signer(width: int, bands: int, carried: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     count = bands * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,9 @@ def _signer(width: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 blobs = pa.array([row.tobytes() for row in sig], pa.binary())
                 ids = part.column(part.schema.get_field_index("id"))
                 none = pa.nulls(len(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, signed(n), empty_or(empty, none, signed(s1)), empty_or(empty, none, signed(s2)), lists, blobs], names=["id", "n", "s1", "s2", "bands", "sig"])
+                extra = [f"c{k}" for k in range(carried)]
+                own = [part.column(part.schema.get_field_index(c)) for c in extra]
+                yield pa.RecordBatch.from_arrays([ids, signed(n), empty_or(empty, none, signed(s1)), empty_or(empty, none, signed(s2)), lists, blobs, *own], names=["id", "n", "s1", "s2", "bands", "sig", *extra])
 
     return run
 
@@ -253,26 +255,33 @@ def components(links: DataFrame) -> DataFrame:
 class _Search:
     """One run over one table; holds what its steps share."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, miss: float):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, miss: float, carry: tuple[str, ...] = ()):
         self.spark: SparkSession = docs.sparkSession
-        small_batches(self.spark, 1000)
         self.width, self.percent, self.miss = width, percent, miss
         self.rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-        signed_rows = cut(self.rows.mapInArrow(_signer(width, bands_for(percent / 100, miss)), NODES), "signatures")
+        extra, kinds = [f"c{k}" for k in range(len(carry))], dict(docs.dtypes)
+        read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, extra, strict=True)])
+        schema = ", ".join([NODES, *[f"{k} {kinds[c]}" for c, k in zip(carry, extra, strict=True)]])
+        with batches_of(self.spark, 1000):
+            signed_rows = cut(read.mapInArrow(_signer(width, bands_for(percent / 100, miss), len(carry)), schema), "signatures")
         v = F.when(F.col("s1").isNotNull(), F.struct("s1", "s2")).alias("v")
-        self.documents = signed_rows.select("id", "n", v)
+        self.documents = signed_rows.select("id", "n", v, *extra)
         nodes = signed_rows.where("s1 IS NOT NULL").groupBy(v).agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         self.nodes = cut(nodes, "nodes")
 
     def buckets(self) -> DataFrame:
-        """key, v, size for buckets with two members or more."""
+        """key, v, size for buckets with two members or more.
+
+        What is joined by a key that may be hot is written first, here and below: both sides of the join are then plain
+        shuffles, whose large partitions adaptive execution splits.
+        """
         all_ = self.nodes.select("v", F.explode("bands").alias("key"))
-        shared = all_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
+        shared = cut(all_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size >= 2"), "shared")
         return cut(all_.join(shared, "key"), "buckets")
 
     def hub_pairs(self, buckets: DataFrame) -> DataFrame:
-        known = buckets.groupBy("v").agg(F.sum("size").alias("meets"))
-        hubs = buckets.join(known, "v").groupBy("key").agg(F.max_by("v", F.struct("meets", "v")).alias("hub"))
+        known = cut(buckets.groupBy("v").agg(F.sum("size").alias("meets")), "meets")
+        hubs = cut(buckets.join(known, "v").groupBy("key").agg(F.max_by("v", F.struct("meets", "v")).alias("hub")), "hubs")
         pairs = buckets.join(hubs, "key").where("v != hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b"))
         return pairs.distinct()
 
@@ -283,15 +292,18 @@ class _Search:
         cell = F.pmod(F.xxhash64(F.col("least_id")), F.lit(1 << wide))
         wanted = self.spark.sparkContext.broadcast(bits.bitmap(ids.select(cell.alias("cell")).distinct(), F.col("cell"), wide))
         rows = self.rows.select(F.pmod(F.xxhash64("id"), F.lit(1 << wide)).alias("cell"), "text")
-        return cut(rows.mapInArrow(_texts_of(self.width, wanted, wide), TEXTS).groupBy(F.struct("s1", "s2").alias("v")).agg(F.first("text").alias("text")), "texts")
+        with batches_of(self.spark, 1000):
+            return cut(rows.mapInArrow(_texts_of(self.width, wanted, wide), TEXTS).groupBy(F.struct("s1", "s2").alias("v")).agg(F.first("text").alias("text")), "texts")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs (a, b) that are links by their full sets."""
-        pairs = cut(pairs, "survivors")
+        with batches_of(self.spark, 1000):
+            pairs = cut(pairs, "survivors")
         texts = self.texts(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
         both = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
         node = "struct<s1:bigint,s2:bigint>"
-        return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.width, self.percent), f"a {node}, b {node}"), "links")
+        with batches_of(self.spark, 1000):
+            return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.width, self.percent), f"a {node}, b {node}"), "links")
 
     def tested(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) whose sizes allow a link and that pass the sequential test."""
@@ -304,24 +316,25 @@ class _Search:
     def across(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
         """Links between different components within buckets."""
         named = buckets.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
-        named = named.join(self.nodes.select("v", "n"), "v")
+        named = cut(named.join(self.nodes.select("v", "n"), "v"), "named")
         split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("lo != hi")
         n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-        open_ = cut(named.join(split.select("key", n_blocks.alias("n_blocks")), "key").drop("n"), "open")
+        split = cut(split.select("key", n_blocks.alias("n_blocks")), "split")
+        open_ = cut(named.join(split, "key").drop("n"), "open")
         texts = self.texts(open_.select(F.col("v").alias("a")).distinct())
         full = open_.join(self.nodes.select("v", "sig", "bands"), "v").join(texts, "v")
         dealt = full.withColumn("own", F.pmod(F.xxhash64("v"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         blocks = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("v", "label", "own", "sig", "bands", "text")).alias("members"))
         node = "struct<s1:bigint,s2:bigint>"
-        small_batches(self.spark, 16)
-        found = cut(blocks.where(F.size("members") > 1).select("key", "members").mapInArrow(_across(self.width, self.percent, self.miss), f"a {node}, b {node}"), "across")
-        small_batches(self.spark, 1000)
-        return found
+        compared = blocks.where(F.size("members") > 1).select("key", "members").mapInArrow(_across(self.width, self.percent, self.miss), f"a {node}, b {node}")
+        with batches_of(self.spark, 16):
+            return cut(compared, "across")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """A row a document: id_col, n_shingles, component_id, kept (whether it names its component)."""
-    search = _Search(docs, id_col, text_col, width, percent, miss)
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, miss: float = 1e-6, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row a document: id_col, n_shingles, component_id, kept (whether it names its component), component (two hashes that
+    tell components apart, also those of one identifier; null without shingles), and the carried columns."""
+    search = _Search(docs, id_col, text_col, width, percent, miss, carry)
     buckets = search.buckets()
     links = search.confirmed(search.tested(search.hub_pairs(buckets)))
     labels = components(links)
@@ -329,8 +342,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
     named = search.nodes.select("v", "least_id").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    named = cut(named, "named")
     first = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_node = cut(named.join(first, "label").select("v", "component_id"), "members")
-    alone = search.documents.where("v IS NULL").withColumn("component_id", F.col("id"))
-    grouped = search.documents.where("v IS NOT NULL").join(of_node, "v", "left").unionByName(alone)
-    return grouped.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # Labels may be hot: one may name a third of the nodes. Nodes alone in their component need no look-up.
+    shared = lookup(named.where("label != v"), first.join(named.where("label != v").select("label").distinct(), "label"), ["label"])
+    own = named.where("label = v").join(first, "label")
+    of_node = cut(shared.select("v", "label", "component_id").unionByName(own.select("v", "label", "component_id")), "members")
+    alone = search.documents.where("v IS NULL").withColumns({"component_id": F.col("id"), "label": F.col("v")})
+    grouped = search.documents.where("v IS NOT NULL").join(of_node, "v", "left").unionByName(alone, allowMissingColumns=True)
+    extra = [F.col(f"c{k}").alias(c) for k, c in enumerate(carry)]
+    return grouped.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("label").alias("component"), *extra)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import LONGEST, Vocabulary
-from sparkloom.llm.common import small_batches, text_or_empty
+from sparkloom.llm.common import text_or_empty
 from sparkloom.llm.wordhash import pieces
 
 MARK = "▁"
@@ -192,7 +192,6 @@ def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id_col, ids, round_trip (whether decoding the ids gives the text back)."""
-    small_batches(docs.sparkSession, 500)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(_encoder(path), f"`{id_col}` {kind}, ids array<int>, round_trip boolean")
@@ -207,7 +206,6 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             texts = [vocab.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    small_batches(encoded.sparkSession, 500)
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {dict(encoded.dtypes)[id_col]}, text string")
 
 

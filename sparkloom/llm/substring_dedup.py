@@ -2,11 +2,14 @@
 
 Every window of `width` words is represented by its seed, the SEED words within it whose hash is least. Equal windows
 have equal seeds, so a seed's count is never below a window's. First pass: each partition sketches its seeds into a
-count-min sketch of two rows; the sketches are merged by adding up cells, and what stays of them is one bit a cell,
-"twice or more", in bitmaps of a fixed width. Second pass: only windows whose seed both rows estimate as repeated are
-looked at, and these are grouped exactly, by 128-bit hashes: neighbouring windows with one seed form a span, spans with
-equal words are grouped as one row each, and the windows of spans that stand alone are grouped window by window with those
-of the spans that share a seed with them. Overestimates cost work only; no repeated window is lost.
+count-min sketch of two rows, whose width grows with the bytes of all texts; a partition's sketch leaves it as pages of
+touched cells, and pages of all partitions are merged by adding up cells, page by page. Second pass: only windows whose
+seed both rows estimate as repeated are looked at. Merged pages up to `widest` cells a row are kept as one bit a cell,
+"twice or more", in bitmaps that every task gets; those of a wider sketch stay dealt out, and the windows' cells are
+joined to the cells counted twice or more. The suspected windows are grouped exactly, by 128-bit hashes: neighbouring
+windows with one seed form a span, spans with equal words are grouped as one row each, and the windows of spans that stand
+alone are grouped window by window with those of the spans that share a seed with them. Overestimates cost work only; no
+repeated window is lost.
 
 Texts with equal words share all results, so they are worked on once: if there are two or more, each window of one starts
 in the other as well.
@@ -27,15 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bits
-from sparkloom.llm.common import cut, small_batches, text_or_empty
+from sparkloom.llm.common import batches_of, cut, text_or_empty
 from sparkloom.llm.wordhash import Words, mix, pieces, signed
 
 SEED = 8
-#: Bits of a cell before the sketch's width is known.
-CELL_BITS = 30
+#: Bytes of text a cell of the sketch, cells of a page as a power of two, and seeds that a partition sketches at a time.
+BYTES_A_CELL = 16
+PAGE = 20
+HELD = 1 << 20
 
-FIRST = pa.schema([("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("c0", pa.int32()), ("c1", pa.int32())])
-SECOND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("seed", pa.int64()), ("a", pa.int32()), ("m", pa.int32()), ("packed", pa.binary())])
+FIRST = pa.schema([("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("row", pa.int32()), ("page", pa.int64()), ("cells", pa.binary())])
+SECOND = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("seed", pa.int64()), ("a", pa.int32()), ("m", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64()), ("packed", pa.binary())])
 OPEN = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("p", pa.int32()), ("open", pa.bool_())])
 
 
@@ -68,13 +73,23 @@ def spans(ws: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return p[a], np.diff(np.append(a, len(p))), doc[p[a]], seeds[least[p[a]]]
 
 
-def _cells(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - CELL_BITS)
-    return (mix(seed) >> shift).astype(np.int32), (mix(seed ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> shift).astype(np.int32)
+def _cells(seed: np.ndarray, wide: int, row: int) -> np.ndarray:
+    """The cells of seeds in a row of 2 ** wide cells."""
+    return (mix(seed ^ np.uint64(0xA5A5A5A5A5A5A5A5 * row)) >> np.uint64(64 - wide)).astype(np.int64)
 
 
-def _sketch(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pages(seeds: list[np.ndarray], wide: int) -> Iterator[pa.RecordBatch]:
+    """A sketch of seeds: for each row and page the touched cells, four bytes each; the lowest bit says twice or more."""
+    for row in (0, 1):
+        cells, n = np.unique(_cells(np.concatenate(seeds), wide, row), return_counts=True)
+        held = (((cells & ((1 << PAGE) - 1)) << 1) | (n > 1)).astype("<u4")
+        pages, first = np.unique(cells >> PAGE, return_index=True)
+        yield _nulls(FIRST, len(pages), row=pa.array(np.full(len(pages), row, np.int32)), page=pa.array(pages), cells=pa.array([x.tobytes() for x in np.split(held, first[1:])], pa.binary()))
+
+
+def _sketch(width: int, wide: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, held = [], 0
         for batch in batches:
             for part, texts in pieces(batch, "text"):
                 ws = Words(texts)
@@ -82,27 +97,74 @@ def _sketch(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 sha = [hashlib.sha256(b" ".join(t.encode("utf-8", "surrogatepass").split())).hexdigest() for t in texts.to_pylist()]
                 ids = part.column(part.schema.get_field_index("id"))
                 yield _nulls(FIRST, len(part), id=ids, t1=signed(t1), t2=signed(t2), n_words=signed(np.diff(ws.first)), sha=pa.array(sha, pa.string()))
-                c0, c1 = _cells(spans(ws, width)[3])
-                yield _nulls(FIRST, len(c0), c0=pa.array(c0), c1=pa.array(c1))
+                seeds.append(spans(ws, width)[3])
+                held += len(seeds[-1])
+                if held >= HELD:
+                    yield from _pages(seeds, wide)
+                    seeds, held = [], 0
+        if held:
+            yield from _pages(seeds, wide)
 
     return run
 
 
-def _suspects(width: int, rows: object, shift: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _merge(as_bits: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pages, in order, added up: row, page and the cells counted twice or more, as bits or as four bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = rows.value
+        key, count = None, np.zeros(1 << PAGE, np.uint8)
+
+        def done() -> pa.RecordBatch:
+            hot = np.packbits(count > 1, bitorder="little") if as_bits else np.flatnonzero(count > 1).astype("<u4")
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([hot.tobytes()], pa.binary())], names=["row", "page", "hot"])
+
         for batch in batches:
-            for part, texts in pieces(batch, "text"):
+            for *at, cells in zip(*batch.columns, strict=True):
+                now = tuple(x.as_py() for x in at)
+                if now != key:
+                    if key is not None:
+                        yield done()
+                    key = now
+                    count[:] = 0
+                own = np.frombuffer(cells.as_py(), "<u4")
+                count[own >> 1] = np.minimum(count[own >> 1] + 1 + (own & 1), 2)
+        if key is not None:
+            yield done()
+
+    return run
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells counted twice or more, a row each."""
+    for batch in batches:
+        for row, page, hot in zip(*batch.columns, strict=True):
+            cells = (page.as_py() << PAGE) + np.frombuffer(hot.as_py(), "<u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), row.as_py(), np.int32)), pa.array(cells)], names=["row", "cell"])
+
+
+def _packed(t1: np.ndarray, t2: np.ndarray, texts: pa.Array) -> dict[str, pa.Array]:
+    return {"t1": signed(t1), "t2": signed(t2), "packed": pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts.to_pylist()], pa.binary())}
+
+
+def _suspects(width: int, wide: int, rows: object | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The spans whose cells both bitmaps have, and the packed texts that hold them; without bitmaps all spans with their cells,
+    and all packed texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in pieces(batch, "text"):
                 ws = Words(texts)
                 a, m, doc, seed = spans(ws, width)
-                c0, c1 = _cells(seed)
-                hot = bits.test(maps[0], c0 >> shift) & bits.test(maps[1], c1 >> shift)
-                a, m, doc, seed = a[hot], m[hot], doc[hot], seed[hot]
+                c0, c1 = (_cells(seed, wide, row) for row in (0, 1))
+                if rows is not None:
+                    hot = bits.test(rows.value[0], c0) & bits.test(rows.value[1], c1)
+                    a, m, doc, seed, c0, c1 = (x[hot] for x in (a, m, doc, seed, c0, c1))
                 t1, t2 = ws.documents()
                 end = a + m - 1 + width
-                yield _nulls(SECOND, len(a), t1=signed(t1[doc]), t2=signed(t2[doc]), h1=signed(ws.sums.of(a, end, 0)), h2=signed(ws.sums.of(a, end, 1)), seed=signed(seed), a=pa.array((a - ws.first[doc]).astype(np.int32)), m=pa.array(m.astype(np.int32)))
+                cells = {} if rows is not None else {"c0": pa.array(c0), "c1": pa.array(c1)}
+                yield _nulls(SECOND, len(a), t1=signed(t1[doc]), t2=signed(t2[doc]), h1=signed(ws.sums.of(a, end, 0)), h2=signed(ws.sums.of(a, end, 1)), seed=signed(seed), a=pa.array((a - ws.first[doc]).astype(np.int32)), m=pa.array(m.astype(np.int32)), **cells)
                 has = np.unique(doc)
-                yield _nulls(SECOND, len(has), t1=signed(t1[has]), t2=signed(t2[has]), packed=pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts.take(pa.array(has)).to_pylist()], pa.binary()))
+                yield _nulls(SECOND, len(has), **_packed(t1[has], t2[has], texts.take(pa.array(has))))
 
     return run
 
@@ -156,27 +218,48 @@ def _without(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 35) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def sketched(rows: DataFrame, width: int, wide: int, as_bits: bool) -> tuple[DataFrame, DataFrame]:
+    """(documents, pages): what is known of each document, and the merged sketch."""
+    with batches_of(rows.sparkSession, 1000):
+        first = cut(rows.mapInArrow(_sketch(width, wide), _ddl(FIRST)), "sketch")
+    dealt = first.where(F.col("page").isNotNull()).select("row", "page", "cells").repartition("row", "page").sortWithinPartitions("row", "page")
+    with batches_of(rows.sparkSession, 100):
+        pages = cut(dealt.mapInArrow(_merge(as_bits), "row int, page long, hot binary"), "pages")
+    return first.where(F.col("t1").isNotNull()).drop("row", "page", "cells"), pages
+
+
+def suspects(rows: DataFrame, pages: DataFrame, width: int, wide: int, as_bits: bool) -> tuple[DataFrame, DataFrame]:
+    """(found, texts): the spans whose seeds the sketch has twice or more, and the packed texts that hold them."""
+    spark, maps = rows.sparkSession, None
+    if as_bits:
+        merged = [np.zeros(max(1 << wide, 1 << PAGE) // 8, np.uint8) for _ in (0, 1)]
+        for p in pages.toLocalIterator():
+            at = p["page"] << PAGE >> 3
+            merged[p["row"]][at : at + (1 << PAGE >> 3)] = np.frombuffer(p["hot"], np.uint8)
+        maps = spark.sparkContext.broadcast(merged)
+    with batches_of(spark, 1000):
+        second = cut(rows.select("text").mapInArrow(_suspects(width, wide, maps), _ddl(SECOND)), "suspects")
+    found, texts = second.where(F.col("packed").isNull()).drop("packed"), second.where(F.col("packed").isNotNull())
+    if not as_bits:
+        hot = cut(pages.mapInArrow(_listed, "row int, cell long"), "hot")
+        for row, c in enumerate(("c0", "c1")):
+            found = found.join(hot.where(F.col("row") == row).select(F.col("cell").alias(c)), c, "left_semi")
+        found = cut(found, "found")
+        texts = texts.join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
+    return found.drop("c0", "c1"), texts.groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 35, widest: int = bits.WIDEST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents, copied, texts, runs): what `dedup` needs, and of use by itself.
 
     documents: id, t1, t2 (a hash of the words), n_words, sha. copied: t1, t2 of texts with copies. texts: t1, t2, packed (zlib) of
     texts with suspected windows. runs: t1, t2, a, m: m windows from word a on start elsewhere as well.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    first = cut(rows.mapInArrow(_sketch(width), _ddl(FIRST)), "sketch")
-    documents, cells = first.where(F.col("t1").isNotNull()).drop("c0", "c1"), first.where(F.col("c0").isNotNull())
-    wide = min(CELL_BITS, bits.width_for(cells.count()))
-    shift = CELL_BITS - wide
-    merged = []
-    for c in ("c0", "c1"):
-        cell = F.shiftright(c, shift).alias("cell")
-        twice = cells.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-        merged.append(bits.bitmap(twice, F.col("cell"), wide))
-    second = cut(rows.select("text").mapInArrow(_suspects(width, spark.sparkContext.broadcast(merged), shift), _ddl(SECOND)), "suspects")
-    found = second.where(F.col("packed").isNull()).drop("packed")
-    texts = second.where(F.col("packed").isNotNull()).groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wide = max(PAGE, (size // BYTES_A_CELL).bit_length())
+    documents, pages = sketched(rows, width, wide, wide <= widest)
+    found, texts = suspects(rows, pages, width, wide, wide <= widest)
 
     copied = cut(documents.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")).where("n >= 2").drop("n"), "copied")
     place = F.struct("t1", "t2", "a", "m")
@@ -193,9 +276,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return documents, copied, texts, runs
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 35) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 35, widest: int = bits.WIDEST) -> DataFrame:
     """A row a document: id_col, n_words, n_removed, kept_sha256 (of its kept words joined by spaces)."""
-    documents, copied, texts, runs = repeated_windows(docs, id_col, text_col, width=width)
+    documents, copied, texts, runs = repeated_windows(docs, id_col, text_col, width=width, widest=widest)
     own = runs.join(copied.select("t1", "t2"), ["t1", "t2"], "left_anti").groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "m")).alias("runs"))
     cleaned = texts.join(own, ["t1", "t2"]).mapInArrow(_without(width), "t1 long, t2 long, n_removed long, kept_sha string")
     nothing = hashlib.sha256(b"").hexdigest()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import LONGEST, Vocabulary
-from sparkloom.llm.common import small_batches, text_or_empty
+from sparkloom.llm.common import text_or_empty
 
 #: Words whose counts a worker keeps.
 KEPT = 1_000_000
@@ -165,7 +165,6 @@ def _counter(path: str, limit: int):
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 2048) -> DataFrame:
     """A row a document: id_col, n_bytes, n_tokens, n_pieces (its words), fitting_pieces (its leading words within limit tokens)."""
-    small_batches(docs.sparkSession, 1000)
     text = text_or_empty(text_col)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

@@ -5,11 +5,21 @@ beginnings (stems of inflected words). Each model after the first also reads the
 it. In training these come from models that haven't seen the row (out of fold), as they do in use.
 
 Models are fitted by numpy on the driver, on the `max_rows` labelled documents with the least hashes of their
-identifiers: a bounded sample. Prediction covers every document, in Arrow batches, with weights of a fixed size.
+identifiers: a bounded sample, of which the driver gets bins of features, no texts. Prediction covers every document, in
+Arrow batches, with weights of a fixed size.
+
+A document is put into a category from a probability on that is chosen on the out-of-fold probabilities. It has to hold
+for the final model as well: where it does not, a half is tried, and where the labels show no signal at all (the
+out-of-fold order of the classes is no better than chance could give, or no feature tells them apart) nothing is put into
+the category.
+
+Of the table `labels` the chain takes what is there: low quality first, then toxic.
 
 Defined results: a null or empty text has no features and is judged by the models' offsets; a category with one class
-only among the sample gets that class's rate; documents without labels are only predicted; a label that is null or whose
-document is missing is left out; repeated rows are judged alike; an empty table gives an empty result.
+only among the sample is given to no document; documents without labels are only predicted; a label that is null or whose
+document is missing is left out; several labels of one document count as the greatest; of several texts under one
+identifier the smallest is learned from; repeated rows are judged alike; further columns, whatever their names, are
+carried by `without` and ignored elsewhere; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small_batches, text_or_empty
+from sparkloom.llm.common import inner, text_or_empty
 from sparkloom.llm.wordhash import Words, mix, pieces
 
 BINS = 1 << 20
@@ -35,7 +45,7 @@ LEAST = 3
 
 def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, bin) in order; only bins that are wanted, if given."""
-    ws = Words(texts, lower=True)
+    ws = Words(texts, lower=True, starts=BEGINNINGS)
     doc = np.repeat(np.arange(len(texts)), np.diff(ws.first))
     docs, bins = [doc], [ws.hashes[0]]
     for size in BEGINNINGS:
@@ -116,16 +126,34 @@ class Chain:
         return out
 
 
+#: Standard errors by which the out-of-fold order of the classes must beat chance.
+SIGNAL = 3.0
+#: The limit of a category that no document is put into.
+NEVER = 2.0
+
+
+def has_signal(p: np.ndarray, y: np.ndarray) -> bool:
+    """Whether rows of class 1 stand above the others by the rank-sum test."""
+    n, pos = len(y), int(y.sum())
+    if pos in (0, n):
+        return False
+    _, place, count = np.unique(p, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]  # ties share their middle rank
+    above = (rank[y > 0].sum() - pos * (pos + 1) / 2) / (pos * (n - pos)) - 0.5
+    return above >= SIGNAL * np.sqrt((n + 1) / (12 * pos * (n - pos)))
+
+
+def f1(flag: np.ndarray, y: np.ndarray) -> float:
+    return 2 * float((flag & (y > 0)).sum()) / max(1, int(flag.sum()) + int(y.sum()))
+
+
 def best_limit(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap between log-odds among those where F1 is within 0.002 of the best; 0.5 without both
-    classes."""
-    if y.sum() in (0, len(y)):
-        return 0.5
+    """The middle of the widest gap between log-odds among those where F1 is within 0.002 of the best."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][p[order][1:] == p[order][:-1]] = -1
-    best = np.flatnonzero(f1 >= f1.max() - 0.002)
+    scores = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    scores[:-1][p[order][1:] == p[order][:-1]] = -1
+    best = np.flatnonzero(scores >= scores.max() - 0.002)
     odds = np.clip(np.append(p[order], 0.0), 1e-6, 1 - 1e-6)
     odds = np.log(odds / (1 - odds))
     above, below = odds[best], odds[best + 1]
@@ -133,20 +161,24 @@ def best_limit(p: np.ndarray, y: np.ndarray) -> float:
     return float(sigmoid((above[at] + below[at]) / 2))
 
 
-def train(texts: Sequence[str], labels: np.ndarray, names: Sequence[str]) -> Chain:
-    """labels: a column of 0 and 1 for each name."""
-    n = len(texts)
-    batch, found, at = pa.record_batch([pa.array(texts, pa.string())], names=["text"]), [], 0
-    for part, own in pieces(batch, "text"):
-        d, b = features(own)
-        found.append(((d + at).astype(np.int32), b.astype(np.int32)))
-        at += len(part)
-    # Bins that fewer than LEAST texts have are never chosen, and are most of them.
-    common = sum((np.bincount(b, minlength=BINS) for _, b in found), np.zeros(BINS, np.int64)) >= LEAST
-    for k, (d, b) in enumerate(found):
-        found[k] = (d[keep := common[b]], b[keep])
-    doc, bin_ = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int32)]) for i in (0, 1))
-    del found, batch
+def limit_for(held: np.ndarray, final: np.ndarray, y: np.ndarray) -> float:
+    """The limit by the out-of-fold probabilities, if it is as good for the final model's on the same rows, else a half; NEVER
+    without signal, or if flagging everything would be as good."""
+    if not has_signal(held, y) or final.min() == final.max():
+        return NEVER
+    everything = f1(np.ones(len(y), bool), y)
+    limit = best_limit(held, y)
+    least = f1(held >= limit, y)
+    if least <= everything:
+        return NEVER
+    if f1(final >= limit, y) >= least:
+        return limit
+    return 0.5 if f1(final >= 0.5, y) > everything else NEVER
+
+
+def train(doc: np.ndarray, bin_: np.ndarray, labels: np.ndarray, names: Sequence[str]) -> Chain:
+    """doc, bin_: distinct (row of labels, bin); labels: a column of 0 and 1 for each name."""
+    n = len(labels)
     fold = mix(np.arange(n, dtype=np.uint64)) % np.uint64(FOLDS)
     models, limits, earlier = [], [], np.zeros((n, 0))
     for c in range(len(names)):
@@ -159,26 +191,39 @@ def train(texts: Sequence[str], labels: np.ndarray, names: Sequence[str]) -> Cha
             m = fit(place[doc[inside]], bin_[inside], y[rest], earlier[rest])
             held[out] = sigmoid(m.logits(doc, bin_, earlier))[out]
         models.append(fit(doc, bin_, y, earlier))
-        limits.append(best_limit(held, y))
+        limits.append(limit_for(held, sigmoid(models[-1].logits(doc, bin_, earlier)), y) if n else NEVER)
         earlier = np.column_stack([earlier, held])
     return Chain(list(names), models, limits, earlier)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns behind the text, and the text's bins as four bytes each."""
+    for batch in batches:
+        for part, texts in pieces(batch, 0):
+            doc, bin_ = features(texts)
+            cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+            bins = [bin_[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(bins, pa.binary())], names=[*part.schema.names[1:], "bins"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", *, max_rows: int = 6_000) -> Chain:
     """A chain over categories, each a Column over labels that is 0, 1 or null."""
-    flags = labels.select(F.col(id_col).alias("_id"), *[c.cast("int").alias(k) for k, c in categories.items()]).dropna()
-    sample = flags.groupBy("_id").agg(*[F.max(k).alias(k) for k in categories]).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    known = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))  # max_rows rows at most
-    rows = known.groupBy("_id").agg(F.min("_text").alias("_text"), *[F.max(k).alias(k) for k in categories]).toPandas()
-    rows = rows.sort_values("_id")
-    return train(rows["_text"].tolist(), rows[list(categories)].to_numpy(np.int64).reshape(len(rows), len(categories)), list(categories))
+    flag = [f"y{k}" for k in range(len(categories))]
+    flags = labels.select(F.col(id_col).alias("id"), *[c.cast("int").alias(k) for k, c in zip(flag, categories.values(), strict=True)]).dropna()
+    sample = flags.groupBy("id").agg(*[F.max(k).alias(k) for k in flag]).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    known = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), F.col("doc") == F.col("id"))  # max_rows rows at most
+    rows = known.groupBy("id").agg(F.min("text").alias("text"), *[F.max(k).alias(k) for k in flag]).select("text", "id", *flag)
+    kind = dict(rows.dtypes)["id"]
+    found = rows.mapInArrow(_packed, f"id {kind}, {', '.join(f'{k} int' for k in flag)}, bins binary").orderBy("id").collect()
+    own = [np.frombuffer(r["bins"], "<i4") for r in found]
+    doc, bin_ = np.repeat(np.arange(len(own), dtype=np.int32), list(map(len, own))), np.concatenate([np.zeros(0, "<i4"), *own])
+    keep = (np.bincount(bin_, minlength=BINS) >= LEAST)[bin_]  # others are never chosen, and are most of them
+    return train(doc[keep], bin_[keep], np.array([[r[k] for k in flag] for r in found], np.int64).reshape(len(found), len(flag)), list(categories))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id_col, p_<category> for each, is_<category> for each."""
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
-    held = spark.sparkContext.broadcast((chain.names, chain.models, chain.limits))
+    held = docs.sparkSession.sparkContext.broadcast((chain.names, chain.models, chain.limits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, models, limits = held.value
@@ -195,18 +240,17 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 def without(docs: DataFrame, chain: Chain, category: str, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text the chain doesn't put into a category."""
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
-    held, which = spark.sparkContext.broadcast((chain.names, chain.models, chain.limits)), chain.names.index(category)
+    held, which = docs.sparkSession.sparkContext.broadcast((chain.names, chain.models, chain.limits)), chain.names.index(category)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, models, limits = held.value
         own = Chain(names, models, limits, np.zeros((0, 0)))
         for batch in batches:
-            for part, texts in pieces(batch, "_judged"):
+            for part, texts in pieces(batch, batch.num_columns - 1):
                 yield part.filter(pa.array(own.predict(texts)[:, which] < limits[which])).select(range(part.num_columns - 1))
 
-    return docs.withColumn("_judged", text_or_empty(text_col)).mapInArrow(run, docs.schema)
+    judged = inner(docs.columns, "judged")[0]
+    return docs.withColumn(judged, text_or_empty(text_col)).mapInArrow(run, docs.schema)
 
 
 #: The categories of the table `labels`, in the chain's order.
