@@ -24,10 +24,13 @@ def session(name: str = "loom", cores: str = "*", shuffle_partitions: int | None
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir, or where that is unset (tests) below a folder of our own; removed at the end."""
+    """A new place below spark.checkpoint.dir, or where that is unset (local sessions, as in tests) below a folder of our own; removed at the end."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = base or "file:///tmp/checkpoints"
         _roots[app] = f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _roots[app])
     return f"{_roots[app]}/{name}-{uuid.uuid4().hex[:12]}"
