@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,54 +66,105 @@ def token_overlap(a: Column, b: Column) -> tuple[Column, Column]:
     return F.when(short == 0, 0.0).otherwise(n / short), F.when(short == 0, 0).otherwise(n)
 
 
+#: Names up to this length are compared many at a time.
+LONGEST = 64
+
+
+def _codes(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, a name a row, 0 beyond its end; and lengths."""
+    size = np.array([len(x) for x in names], np.int64)
+    wide = max(1, int(size.max(initial=0)))
+    flat = np.array(names, dtype=f"<U{wide}") if len(names) else np.zeros(0, "<U1")
+    return np.frombuffer(flat.tobytes(), np.uint32).reshape(len(names), wide), size
+
+
+def jaro_winkler_values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaro similarity with the prefix boost always applied and half transpositions as fractions; a and b are arrays of names.
+
+    All pairs go through the positions together: a step looks at one position of each first name and of each second one.
+    """
+    x, lx = _codes(a)
+    y, ly = _codes(b)
+    n, rows = len(x), np.arange(len(x))
+    reach = np.maximum(np.maximum(lx, ly) // 2 - 1, 0)
+    used, hit = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+    far = int(reach.max(initial=0))
+    for i in range(x.shape[1]):
+        for j in range(max(0, i - far), min(y.shape[1], i + far + 1)):
+            ok = (x[:, i] == y[:, j]) & ~hit[:, i] & ~used[:, j] & (i < lx) & (j < ly) & (abs(i - j) <= reach)
+            hit[:, i] |= ok
+            used[:, j] |= ok
+    m = hit.sum(axis=1)
+    wide = max(1, int(m.max(initial=0)))
+    left, right = np.zeros((n, wide), np.uint32), np.zeros((n, wide), np.uint32)
+    for codes, marks, out in ((x, hit, left), (y, used, right)):
+        r, c = np.nonzero(marks)
+        out[r, (np.cumsum(marks, axis=1) - 1)[r, c]] = codes[r, c]
+    moved = (left != right).sum(axis=1)
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / np.maximum(lx, 1) + m / np.maximum(ly, 1) + (m - moved / 2) / some) / 3, 0.0)
+    first = min(4, x.shape[1], y.shape[1])
+    same = (x[:, :first] == y[:, :first]) & (np.arange(first) < np.minimum(lx, ly)[:, None])
+    prefix = np.cumprod(same, axis=1).sum(axis=1)
+    out = jaro + prefix * 0.1 * (1 - jaro)
+    out[(lx == ly) & (rows >= 0) & np.array([p == q for p, q in zip(a, b, strict=True)], bool)] = 1.0
+    return out
+
+
+def token_sort_value(x: str, y: str) -> float:
+    """1 - insertions and deletions between the sorted tokens as a share of both lengths.
+
+    The longest common subsequence is counted with a bit a character: a carry runs through each row of the table at once.
+    """
+    x, y = (" ".join(sorted(s.split())) for s in (x, y))
+    total = len(x) + len(y)
+    if not total:
+        return 1.0
+    at: dict[str, int] = {}
+    for k, ch in enumerate(x):
+        at[ch] = at.get(ch, 0) | (1 << k)
+    whole = (1 << len(x)) - 1
+    row = whole
+    for ch in y:
+        met = row & at.get(ch, 0)
+        row = ((row + met) | (row - met)) & whole
+    return 2 * (len(x) - row.bit_count()) / total
+
+
+def _pairwise(score: Callable[[np.ndarray, np.ndarray], np.ndarray], a: pd.Series, b: pd.Series) -> pd.Series:
+    """score over the distinct pairs of two columns; null where either is."""
+    out = np.full(len(a), np.nan)
+    known = (a.notna() & b.notna()).to_numpy()
+    if known.any():
+        place, pairs = pd.factorize(pd.MultiIndex.from_arrays([a[known], b[known]]))
+        left, right = (np.array(pairs.get_level_values(k), object) for k in (0, 1))
+        values = np.concatenate([score(left[k : k + 20_000], right[k : k + 20_000]) for k in range(0, len(left), 20_000)])
+        out[known] = values[place]
+    return pd.Series(out).astype("Float64").where(known) if not known.all() else pd.Series(out)
+
+
+def _jaro_winkler(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Long names, which would widen every row, one by one."""
+    long = np.array([max(len(x), len(y)) > LONGEST for x, y in zip(a, b, strict=True)], bool)
+    out = np.zeros(len(a))
+    out[~long] = jaro_winkler_values(a[~long], b[~long])
+    for k in np.flatnonzero(long):
+        out[k] = jaro_winkler_values(a[k : k + 1], b[k : k + 1])[0]
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_value(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _pairwise(_jaro_winkler, a, b)
 
 
 def jaro_winkler_value(a: str, b: str) -> float:
-    """Jaro similarity with the prefix boost always applied and half transpositions as fractions."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
-    left: list[str] = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == ch:
-                taken[j] = True
-                left.append(ch)
-                break
-    if not left:
-        return 0.0
-    right = [ch for ch, t in zip(b, taken, strict=True) if t]
-    m, moved = len(left), sum(x != y for x, y in zip(left, right, strict=True))
-    jaro = (m / len(a) + m / len(b) + (m - moved / 2) / m) / 3
-    same = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + same * 0.1 * (1 - jaro)
+    return float(jaro_winkler_values(np.array([a], object), np.array([b], object))[0])
 
 
 @F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """1 - insertions and deletions between the sorted tokens as a share of both lengths."""
-
-    def one(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        x, y = (" ".join(sorted(s.split())) for s in (x, y))
-        total = len(x) + len(y)
-        if not total:
-            return 1.0
-        row = [0] * (len(y) + 1)
-        for ch in x:
-            diagonal = 0
-            for j, other in enumerate(y, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if ch == other else max(row[j], row[j - 1])
-        return 2 * row[-1] / total
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _pairwise(lambda x, y: np.array([token_sort_value(p, q) for p, q in zip(x, y, strict=True)]), a, b)
 
 
 def phonetic(c: Column) -> Column:

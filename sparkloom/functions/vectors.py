@@ -38,31 +38,49 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, *, id_col: str = "
     return best if min_sim is None else best.where(F.col("score") > min_sim)
 
 
+#: Bytes of queries that are gathered and broadcast at a time.
+QUERY_BYTES = 256 << 20
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
     """For each query (query_id, query vec) the k most similar rows: query_id, id, score, rank.
 
-    Vectors stay where they are; each Arrow batch is multiplied with all queries (a stated, bounded set, broadcast) and
-    gives its own best k a query, so what is shuffled is k rows a query and batch.
+    Vectors stay where they are; each Arrow batch is multiplied with the queries and gives its own best k a query, so what is
+    shuffled is k rows a query and batch. Queries are measured first and dealt into blocks of QUERY_BYTES, each of which is
+    broadcast and takes a pass over the vectors.
     """
     spark = vectors.sparkSession
-    qs = queries.toPandas()
-    held = spark.sparkContext.broadcast((qs.iloc[:, 0].to_numpy(), np.stack([np.asarray(v, np.float64) for v in qs.iloc[:, 1]])))
-
-    def local(batches):  # noqa: ANN001, ANN202
-        ids, q = held.value
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        for pdf in batches:
-            m = np.stack([np.asarray(v, np.float64) for v in pdf[vec_col]])
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            own = pdf[id_col].to_numpy()
-            for at in range(0, len(q), block):
-                s = q[at : at + block] @ m.T
-                n = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :n]
-                rows = np.repeat(np.arange(len(s)), n)
-                yield pd.DataFrame({"query_id": ids[at : at + block][rows], "id": own[order.ravel()], "score": s[rows, order.ravel()]})
-
-    found = vectors.select(id_col, vec_col).mapInPandas(local, "query_id long, id long, score double")
+    ids_col, vecs_col = queries.columns[:2]
+    size = queries.agg(F.sum(8 * F.size(vecs_col) + 16)).first()[0] or 0
+    n_blocks = max(1, -(-size // QUERY_BYTES))
+
+    def local(held):  # noqa: ANN001, ANN202
+        def run(batches):  # noqa: ANN001, ANN202
+            ids, q = held.value
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            for pdf in batches:
+                m = np.stack([np.asarray(v, np.float64) for v in pdf[vec_col]])
+                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                own = pdf[id_col].to_numpy()
+                for at in range(0, len(q), block):
+                    s = q[at : at + block] @ m.T
+                    n = min(k, s.shape[1])
+                    order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :n]
+                    rows = np.repeat(np.arange(len(s)), n)
+                    yield pd.DataFrame({"query_id": ids[at : at + block][rows], "id": own[order.ravel()], "score": s[rows, order.ravel()]})
+
+        return run
+
+    found = None
+    for b in range(n_blocks):
+        qs = queries.where(F.pmod(F.xxhash64(ids_col), F.lit(n_blocks)) == b).select(ids_col, vecs_col).toPandas()
+        if not len(qs):
+            continue
+        held = spark.sparkContext.broadcast((qs.iloc[:, 0].to_numpy(), np.stack([np.asarray(v, np.float64) for v in qs.iloc[:, 1]])))
+        part = vectors.select(id_col, vec_col).mapInPandas(local(held), "query_id long, id long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, id long, score double")
     own = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
@@ -98,7 +116,7 @@ def mmr(cands: DataFrame, key: str, limit: int = 10, lam: float = 0.5, pool: int
         while len(chosen) < min(limit, len(pdf)):
             left = [i for i in range(len(pdf)) if i not in chosen]
             value = [lam * rel[i] - (1 - lam) * (sim[i, chosen].max() if chosen else 0.0) for i in left]
-            chosen.append(left[int(np.argmax(value))])
+            chosen.append(left[int(np.argmax(np.round(value, 12)))])  # equal values go by rank
         return pd.DataFrame({key: pdf[key].iloc[0], "id": pdf["id"].to_numpy()[chosen], "position": np.arange(1, len(chosen) + 1)})
 
     kind = dict(cands.dtypes)
@@ -118,7 +136,7 @@ def idds(cands: DataFrame, key: str, budget: int = 5, alpha: float = 0.5, pool:
         while left and len(chosen) < budget:
             n = max(1, len(left) - 1)
             value = [alpha * (sim[i, left].sum() - sim[i, i]) / n + (1 - alpha) * (1 - max(0.0, sim[i, chosen].max()) if chosen else 1.0) for i in left]
-            chosen.append(left.pop(int(np.argmax(value))))
+            chosen.append(left.pop(int(np.argmax(np.round(value, 12)))))
         return pd.DataFrame({key: pdf[key].iloc[0], "id": pdf["id"].to_numpy()[chosen], "position": np.arange(1, len(chosen) + 1)})
 
     kind = dict(cands.dtypes)

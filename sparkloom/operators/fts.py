@@ -31,21 +31,34 @@ class Index:
 
 
 def build_index(docs: DataFrame, id_col: str, text: Column, *, stemmed: bool = False) -> Index:
-    """A row for each document and term. Stop words are left out, positions count all terms."""
-    all_ = docs.select(id_col, T.terms(text).alias("_terms"))
-    each = all_.select(id_col, F.size("_terms").alias("length"), F.posexplode("_terms").alias("pos", "term")).where(~F.col("term").isin(STOP))
-    if stemmed:
-        each = each.withColumn("term", stem(F.col("term")))
-    postings = each.groupBy(id_col, "term", "length").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, id_col)
-
+    """A row for each document and term. Stop words are left out, positions count all terms.
 
-def scan(docs: DataFrame, id_col: str, text: Column, terms: Sequence[str]) -> Index:
-    """Postings for a query's few terms only, without building an index: no shuffle, a row a document and term."""
+    A document's terms are in one row already: its places are sorted by term within the row and cut where the term changes, so
+    nothing is shuffled. Identifiers are taken to be unique; rows of one identifier are separate documents.
+    """
+    stop = F.array(*[F.lit(w) for w in STOP])
+    places = lambda ts: F.array_sort(F.filter(F.transform(ts, lambda x, i: F.struct((stem(x) if stemmed else x).alias("t"), i.alias("i"), F.array_contains(stop, x).alias("s"))), lambda x: ~x["s"]))
+    starts = lambda xs: F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i)["t"] != F.get(xs, i - 1)["t"]))
+    run = lambda xs, a, b: F.struct(F.get(xs, a)["t"].alias("term"), (b - a).cast("long").alias("tf"), F.transform(F.slice(xs, a + 1, b - a), lambda x: x["i"]).alias("positions"))
+    cut_up = lambda xs: T.let(starts(xs), lambda at: F.transform(at, lambda a, k: run(xs, a, F.coalesce(F.get(at, k + 1), F.size(xs)))))
+    none = F.array().cast("array<struct<term:string,tf:bigint,positions:array<int>>>")
+    runs = T.let(places(F.col("_terms")), lambda xs: F.when(F.size(xs) == 0, none).otherwise(cut_up(xs)))
     all_ = docs.select(id_col, T.terms(text).alias("_terms"))
-    one = lambda t: F.struct(F.lit(t).alias("term"), F.filter(F.transform("_terms", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions"))
-    each = all_.select(id_col, F.size("_terms").alias("length"), F.inline(F.array(*[one(t) for t in terms]))).where(F.size("positions") > 0)
-    return Index(each.withColumn("tf", F.size("positions").cast("long")), id_col)
+    return Index(all_.select(id_col, F.size("_terms").alias("length"), F.inline(runs)).select(id_col, "term", "length", "tf", "positions"), id_col)
+
+
+def scan(docs: DataFrame, id_col: str, text: Column, terms: Sequence[str], *, prefixes: bool = False) -> Index:
+    """Postings for a query's few terms only, without building an index: no shuffle, a row a document and term. With prefixes
+    also those of all terms that begin with one of them, stop words aside."""
+    if not prefixes:
+        all_ = docs.select(id_col, T.terms(text).alias("_terms"))
+        one = lambda t: F.struct(F.lit(t).alias("term"), F.filter(F.transform("_terms", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("positions"))
+        each = all_.select(id_col, F.size("_terms").alias("length"), F.inline(F.array(*[one(t) for t in terms]))).where(F.size("positions") > 0)
+        return Index(each.withColumn("tf", F.size("positions").cast("long")), id_col)
+    fits = lambda x: F.exists(F.array(*[F.lit(t) for t in sorted(set(terms))]), lambda t: F.startswith(x, t)) & ~F.array_contains(F.array(*[F.lit(w) for w in STOP]), x)
+    hits = docs.select(id_col, F.filter(T.terms(text), fits).alias("_hits")).where(F.size("_hits") > 0)
+    each = lambda xs: F.transform(F.array_distinct(xs), lambda x: F.struct(x.alias("term"), (F.size(xs) - F.size(F.array_remove(xs, x))).cast("long").alias("tf")))
+    return Index(hits.select(id_col, F.inline(each(F.col("_hits")))), id_col)
 
 
 def match_all(index: Index, terms: Sequence[str]) -> DataFrame:

@@ -143,19 +143,21 @@ def symmetric(edges: DataFrame, predicates: list[str]) -> DataFrame:
     return edges.unionByName(flipped).dropDuplicates(["subject", "predicate", "object"])
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, component (its least node). Each round takes the least label nearby, then that label's own label."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node). Each round takes the least label nearby, then that label's own label, until nothing
+    changes. Tables are written before each join, so that both sides are plain shuffles whose hot keys can be split."""
     ends = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
+    while True:
         heard = ends.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))
-        told = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
-        above = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        told = cut(labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component")))
+        # A label that names itself has nothing above it, so only nodes whose label does are joined by it.
+        above = told.where("node != component").select(F.col("node").alias("component"), F.col("component").alias("above"))
+        above = cut(above.join(told.select("component").distinct(), "component", "left_semi"))
         told = cut(told.join(above, "component", "left").select("node", "old", F.least("component", F.coalesce("above", "component")).alias("component")))
         labels = told.drop("old")
         if told.where("old != component").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def label_propagation(weighted: DataFrame, rounds: int = 20) -> DataFrame:
@@ -177,6 +179,79 @@ def label_propagation(weighted: DataFrame, rounds: int = 20) -> DataFrame:
     return labels
 
 
+def local_moves(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """node, label over undirected edges (part, a, b, weight; a self-loop once): communities by moves that raise modularity.
+
+    Each round a node looks at its neighbours' communities and takes the one of greatest gain; half of the nodes, by a hash
+    that changes with the round, may move, so that neighbours don't swap for ever. Each part is a graph of its own.
+    """
+    both = cut(edges.select("part", "a", "b", "weight").unionByName(edges.select("part", F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    degree = both.groupBy("part", F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
+    two_m = degree.groupBy("part").agg(F.sum("k").alias("two_m"))
+    nodes = cut(degree.join(cut(two_m), "part"))
+    steps = cut(both.where("a != b").groupBy(F.col("a").alias("node"), F.col("b").alias("other")).agg(F.sum("weight").alias("weight")))
+    labels = nodes.select("node", F.col("node").alias("label"))
+    for r in range(rounds):
+        named = cut(nodes.join(labels, "node"))
+        totals = cut(named.groupBy("label").agg(F.sum("k").alias("total")))
+        near = steps.join(named.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        own = named.select("node", F.col("label").alias("own"), "k", "two_m")
+        near = cut(near.join(own, "node").join(totals, "label"))
+        gain = F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / F.col("two_m")
+        stay = own.join(totals.withColumnRenamed("label", "own"), "own").select("node", F.col("own").alias("label"), (-F.col("k") * (F.col("total") - F.col("k")) / F.col("two_m")).alias("gain"), "own")
+        rated = near.select("node", "label", gain.alias("gain"), "own").unionByName(stay).groupBy("node", "label", "own").agg(F.max("gain").alias("gain"))
+        here = F.max(F.when(F.col("label") == F.col("own"), F.col("gain")))
+        best = rated.groupBy("node", "own").agg(F.max_by("label", F.struct(F.round("gain", 9), F.col("label") == F.col("own"), -F.xxhash64("label"))).alias("best"), F.round(F.max("gain"), 9).alias("g"), F.round(here, 9).alias("h"))
+        may = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+        moved = cut(best.select("node", "own", F.when(may & (F.col("g") > F.col("h")), F.col("best")).otherwise(F.col("own")).alias("label"), (F.col("g") > F.col("h")).alias("would")))
+        labels = moved.select("node", "label")
+        if moved.where("would").isEmpty():
+            break
+    return labels
+
+
+def merged(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """edges (part, a, b, weight) between labels instead of nodes; edges within a label are its self-loop."""
+    named = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    return named.groupBy("part", F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.sum("weight").alias("weight"))
+
+
+def communities(edges: DataFrame, levels: int = 5, rounds: int = 12) -> DataFrame:
+    """node, label over undirected edges (part, a, b, weight): local moves, then moves of whole communities as nodes, until none
+    joins another. A community is named by one of its nodes."""
+    graph_ = cut(edges)
+    labels = up = cut(local_moves(graph_, rounds))
+    for _ in range(levels - 1):
+        graph_ = cut(merged(graph_, up))
+        up = cut(local_moves(graph_, rounds))
+        if up.where("node != label").isEmpty():
+            break
+        labels = cut(labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label")))
+    first = labels.groupBy("label").agg(F.min("node").alias("name"))
+    return labels.join(first, "label").select("node", F.col("name").alias("label"))
+
+
+def two_level_communities(weighted: DataFrame, least: int = 3) -> DataFrame:
+    """node, community, sub_community over undirected edges (a, b, weight): communities, and within each of `least` nodes or more
+    its own communities, all of them searched at once; a smaller one is its own only sub-community."""
+    edges = cut(weighted.where("a != b").select(F.lit("").alias("part"), "a", "b", "weight"))
+    top = cut(communities(edges).withColumnRenamed("label", "community"))
+    size = top.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    inside = edges.drop("part").join(top.select(F.col("node").alias("a"), F.col("community").alias("part")), "a").join(top.select(F.col("node").alias("b"), F.col("community").alias("other")), "b").where("part = other")
+    inside = inside.join(size.select(F.col("community").alias("part")), "part", "left_semi").select("part", "a", "b", "weight")
+    low = communities(inside).select("node", F.col("label").alias("sub"))
+    return top.join(low, "node", "left").select("node", "community", F.coalesce("sub", "community").alias("sub_community"))
+
+
+def community_names(membership: DataFrame, paths: DataFrame) -> DataFrame:
+    """label, name, nodes of communities of two nodes or more: the commonest folder of members' paths (node, path), ties by name."""
+    parts = F.split("path", "/")
+    folder = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.least(F.lit(2), F.size(parts) - 1)), "/")).otherwise("root")
+    votes = membership.join(paths.select("node", folder.alias("name")), "node").groupBy("label", "name").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("label").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("name"))
+    return membership.groupBy("label").agg(F.count(F.lit(1)).alias("nodes")).where("nodes >= 2").join(best, "label", "left").select("label", F.coalesce("name", F.lit("root")).alias("name"), "nodes")
+
+
 def cohesion(weighted: DataFrame, membership: DataFrame) -> DataFrame:
     """label, nodes, internal edges, cohesion: edges inside over pairs of members."""
     inside = weighted.join(membership.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(membership.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la = lb")
@@ -255,29 +330,48 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_edges: int = 5_000_000
     return parts.groupBy("node").agg(F.sum("part").alias("betweenness"))
 
 
-def flows(calls: DataFrame, entries: DataFrame, depth: int = 10, branch: int = 4) -> DataFrame:
+def flows(calls: DataFrame, entries: DataFrame, depth: int = 10, branch: int = 4, steps: int = 2000) -> DataFrame:
     """entry, path of traces along calls (source, target) from entries (entry): up to depth nodes, branch calls a node in
-    order of name, no node twice; a trace ends at a leaf, at the depth, or where every call would close a cycle."""
+    order of name, no node twice; a trace ends at a leaf, at the depth, or where every call would close a cycle.
+
+    An entry's paths are looked at level by level, in order, and no more than `steps` of them: those beyond are given up.
+    """
     own = Window.partitionBy("source").orderBy("target")
     # The first calls of a node are its branches; branching is a parameter of the trace, not a cut of the data.
-    steps = calls.select("source", "target").distinct().withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") <= branch)
-    nexts = steps.groupBy("source").agg(F.sort_array(F.collect_list("target")).alias("nexts"))
-    live = entries.select("entry", F.array("entry").alias("path"))
+    first = calls.select("source", "target").distinct().withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") <= branch)
+    nexts = cut(first.groupBy("source").agg(F.sort_array(F.collect_list("target")).alias("nexts")))
+    live = entries.select("entry", F.array("entry").alias("path"), F.lit(0).alias("used"))
+    level, whole = Window.partitionBy("entry").orderBy("path"), Window.partitionBy("entry")
     done: list[DataFrame] = []
     for k in range(1, depth + 1):
-        at = live.withColumn("source", F.element_at("path", -1)).join(nexts, "source", "left")
+        # A level has at most branch * steps paths an entry.
+        live = live.withColumns({"_rn": F.row_number().over(level) + F.col("used"), "_n": F.count(F.lit(1)).over(whole)}).where(F.col("_rn") <= steps)
+        at = live.withColumn("used", F.least(F.col("used") + F.col("_n"), F.lit(steps)).cast("int")).withColumn("source", F.element_at("path", -1)).join(nexts, "source", "left")
         onward = at.withColumn("onward", F.filter(F.coalesce("nexts", F.array().cast("array<string>")), lambda t: ~F.array_contains(F.col("path"), t)))
+        onward = cut(onward.select("entry", "path", "used", "onward"))
         stop = (F.size("onward") == 0) | F.lit(k == depth)
         done.append(onward.where(stop & (F.size("path") >= 2)).select("entry", "path"))
-        live = onward.where(~stop).select("entry", F.explode("onward").alias("t"), "path").select("entry", F.array_append("path", F.col("t")).alias("path"))
-        if k % 3 == 0:
-            live = cut(live)
+        live = onward.where(~stop).select("entry", F.explode("onward").alias("t"), "path", "used").select("entry", F.array_append("path", F.col("t")).alias("path"), "used")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out.distinct()
 
 
+def containments(members: DataFrame, group: str, key: str) -> DataFrame:
+    """inner, outer: groups all of whose keys another group has, over distinct members (group, key).
+
+    An outer group has the inner one's rarest key, so only the groups that share that key are compared.
+    """
+    sets = members.groupBy(group).agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    common = members.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rarest = members.join(common, key).groupBy(group).agg(F.min_by(key, F.struct("n", key)).alias("rarest"))
+    inner = cut(sets.join(rarest, group).select(F.col(group).alias("inner"), F.col("rarest").alias("k"), F.col("keys").alias("inner_keys")))
+    outer = cut(members.join(sets, group).select(F.col(group).alias("outer"), F.col(key).alias("k"), "keys"))
+    fits = (F.size("inner_keys") <= F.size("keys")) & (F.size(F.array_except("inner_keys", "keys")) == 0)
+    return inner.join(outer, "k").where((F.col("inner") != F.col("outer")) & fits).select("inner", "outer")
+
+
 def impact(calls: DataFrame, roots: DataFrame, direction: str = "up", depth: int = 5, exclude: Column | None = None) -> DataFrame:
     """node, depth, risk of what a change reaches over calls (source, target): callers (up) or callees (down)."""
     src, dst = ("target", "source") if direction == "up" else ("source", "target")

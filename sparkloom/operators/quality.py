@@ -49,6 +49,57 @@ def split_lists(df: DataFrame, name: str, confidence: str, kinds: Sequence[str]
     return df.select(*rest, F.explode(F.when(fits, items).otherwise(F.array(name))).alias(name)).select(*df.columns)
 
 
+def ontology_type(kind: Column, types: Mapping[str, str], prefixes: Sequence[str] = ("schema:", "https://schema.org/")) -> Column:
+    """A type without its namespace, in capitals with underscores, by its canonical name where the map has one; null and empty
+    ones stay."""
+    bare = F.trim(kind)
+    for prefix in prefixes:
+        bare = F.when(F.startswith(F.trim(kind), F.lit(prefix)), F.substring(F.trim(kind), len(prefix) + 1, 1 << 30)).otherwise(bare)
+    clean = F.replace(F.upper(bare), F.lit(" "), F.lit("_"))
+    named = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])[clean] if types else F.lit(None).cast("string")
+    return F.when(kind.isNull() | (kind == ""), kind).otherwise(F.coalesce(named, clean))
+
+
+def ontology_predicate(predicate: Column, names: Mapping[str, str]) -> Column:
+    """A predicate in lower case with underscores, without its namespace, by its canonical name where the map has one."""
+    clean = F.element_at(F.split(F.replace(F.lower(F.trim(predicate)), F.lit(" "), F.lit("_")), ":"), -1)
+    named = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[clean] if names else F.lit(None).cast("string")
+    return F.when(predicate.isNull() | (predicate == ""), predicate).otherwise(F.coalesce(named, clean))
+
+
+def routing(drafts: DataFrame, pools: DataFrame, broader: DataFrame) -> DataFrame:
+    """Drafts (draft, region, tags, start, end, value) against all pools (pool, region, tags, start, end, threshold, remaining):
+    draft, pool, region_score, tag_score, time_score, capacity_score, total, excludes, recommended.
+
+    30 for the same region, 15 for one that is broader or narrower (broader: narrow, wide); 25 by shared tags; 15 by the share of
+    the draft's days that the pool covers, all of it for a pool without dates; 20 by capacity. A pool without a common day, or
+    whose capacity is less than the value or none, is excluded. Rounded half to even. Pools are a stated set, of which a row with
+    all of them is joined to each draft.
+    """
+    linked = broader.select(F.col("narrow").alias("x"), F.col("wide").alias("y")).unionByName(broader.select(F.col("wide").alias("x"), F.col("narrow").alias("y")))
+    near = linked.groupBy(F.col("x").alias("region")).agg(F.collect_set("y").alias("near"))
+    every = pools.agg(F.collect_list(F.struct("pool", "region", "tags", "start", "end", "threshold", "remaining")).alias("pools"))
+    rows = drafts.join(near, "region", "left").join(F.broadcast(every)).withColumn("p", F.explode("pools")).drop("pools")
+    c, p = F.col, F.col("p")
+    none = F.array().cast("array<string>")
+    region = F.when(c("region") == p["region"], 30).when(F.array_contains(F.coalesce("near", none), p["region"]), 15).otherwise(0)
+    longest = F.greatest(F.size("tags"), F.size(p["tags"]))
+    tags = F.when((F.size("tags") > 0) & (F.size(p["tags"]) > 0), F.bround(25.0 * F.size(F.array_intersect("tags", p["tags"])) / longest)).otherwise(0)
+    dated = p["start"].isNotNull() & p["end"].isNotNull()
+    shared = F.datediff(F.least(c("end"), p["end"]), F.greatest(c("start"), p["start"]))
+    own = F.datediff("end", "start")
+    time = F.when(c("start").isNull() | c("end").isNull(), 0).when(~dated, 15).when(shared > 0, F.bround(15.0 * shared / F.when(own == 0, 1).otherwise(own))).otherwise(0)
+    apart = c("start").isNotNull() & c("end").isNotNull() & dated & (shared <= 0)
+    valued, left = c("value") > 0, F.coalesce(p["remaining"], F.lit(0.0))
+    toward = F.bround(20 * F.least(F.least(c("value") / p["threshold"], F.lit(1.0)) + 0.5, F.lit(1.0)))
+    fits = F.bround(20 * F.greatest(1 - c("value") / left, F.lit(0.3)))
+    capacity = F.when(valued & (left > 0) & (c("value") <= left), F.when(F.coalesce(p["threshold"], F.lit(0.0)) > 0, toward).otherwise(fits)).otherwise(0)
+    excludes = F.array_compact(F.array(F.when(apart, "outside_timeframe"), F.when(valued & (left > 0) & (c("value") > left), "exceeds_capacity"), F.when(valued & (left <= 0), "no_capacity")))
+    scored = rows.select("draft", p["pool"].alias("pool"), *[x.cast("long").alias(f"{n}_score") for n, x in (("region", region), ("tag", tags), ("time", time), ("capacity", capacity))], excludes.alias("excludes"))
+    total = c("region_score") + c("tag_score") + c("time_score") + c("capacity_score")
+    return scored.withColumn("total", total).withColumn("recommended", (c("total") >= 60) & (F.size("excludes") == 0))
+
+
 def type_guard(edges: DataFrame, rules: DataFrame, subject_type: str, object_type: str) -> DataFrame:
     """Edges with allowed: whether their predicate's rule (predicate, subject_types, object_types) admits both types."""
     ok = F.col("subject_types").isNotNull() & F.array_contains("subject_types", F.col(subject_type)) & F.array_contains("object_types", F.col(object_type))
@@ -95,18 +146,6 @@ def chunk_coverage(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     return n.join(hit, "rid", "left").select("rid", (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("coverage"))
 
 
-def citations_in_range(citations: DataFrame, chunks: DataFrame) -> DataFrame:
-    n = chunks.groupBy("rid").agg(F.max("index").alias("top"))
-    ok = (F.col("first") >= 0) & (F.col("last") <= F.col("top")) & (F.col("first") <= F.col("last"))
-    return citations.join(n, "rid", "left").groupBy("rid").agg(F.avg(F.when(ok, 1.0).otherwise(0.0)).alias("in_range"))
-
-
-def citation_support(span: Column, endpoint: Column) -> Column:
-    """The share of an endpoint's tokens in the cited span."""
-    te = F.array_distinct(T.tokens(endpoint))
-    return F.when(F.size(te) == 0, 0.0).otherwise(F.size(F.array_intersect(te, T.tokens(span))) / F.size(te))
-
-
 def concentration(rows: DataFrame, key: str, value: str, least: int = 1) -> DataFrame:
     """key, share of its most common value; null with fewer rows than least."""
     c = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.max("n").alias("top"), F.sum("n").alias("n"))

@@ -1,14 +1,16 @@
 """Entity resolution: tiers over mentions and a registry, vetoes, proposals, merges, supersession.
 
 Registry: uri, entity_text, entity_type, normalized_text, aliases (array), embedding (array, may be null), merged_into,
-occurrence_count. Mentions: mention_id, name, entity_type, embedding. Candidates are always found by an equi-join: names,
-aliases, or blocks of a name's shape; similarity is computed within blocks only.
+occurrence_count. Mentions: mention_id, name, entity_type, embedding. Candidates come from an equi-join on names, aliases or
+documents; the fuzzy tier compares all names of a type, tile by tile, behind a bound that loses no pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,6 @@ def resolve_live(entities: DataFrame, max_hops: int = 10) -> DataFrame:
     return follow(entities.select(F.col("uri").alias("node"), F.col("merged_into").alias("next")), max_hops).select(F.col("node").alias("uri"), F.col("final").alias("live_uri"))
 
 
-def pair_key(a: Column, b: Column) -> tuple[Column, Column]:
-    return F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")
-
-
 def without_vetoed(pairs: DataFrame, vetoes: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs that no veto (lo, hi) forbids, whatever their order."""
     v = vetoes.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
@@ -75,30 +73,94 @@ def cross_type(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     return m.join(one, "norm").select("mention_id", "uri", F.lit(0.95).alias("score"), F.lit("cross_type").alias("tier"))
 
 
-def block_keys(norm: Column) -> Column:
-    """Blocks of a name; names in no common block aren't compared.
+#: Names in one side of a tile, and survivors of its bounds that are scored at a time.
+TILE = 1024
+SCORED = 100_000
 
-    A token of up to eight letters gives its first three. A longer one gives its first five with its last two, and all but
-    its last two: a slip in its last letters keeps the second, one in its middle the first.
-    """
-    stem = lambda t: F.substring(t, F.lit(1), F.length(t) - 2)
-    keys = lambda t: F.when(F.length(t) <= 8, F.array(F.substring(t, 1, 3))).otherwise(F.array(F.concat(F.substring(t, 1, 5), F.lit("~"), F.right(t, F.lit(2))), F.concat(stem(t), F.lit("*"))))
-    return F.array_distinct(F.flatten(F.transform(T.tokens(norm), keys)))
+
+def _tiled(names: DataFrame, n: DataFrame, side: str) -> DataFrame:
+    """Distinct names (kind, name) of one side, each dealt to the tiles of its row or column."""
+    own, other = ("i", "j") if side == "a" else ("j", "i")
+    tiles = lambda x: F.ceil(F.col(x) / TILE).cast("int")
+    dealt = names.join(F.broadcast(n), "kind")  # a row a kind
+    dealt = dealt.withColumn(own, F.pmod(F.xxhash64("name"), tiles(f"n_{side}")).cast("int"))
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), tiles("n_b" if side == "a" else "n_a") - 1))).select("kind", "i", "j", F.lit(side).alias("side"), "name")
 
 
-def blocked_pairs(mentions: DataFrame, registry: DataFrame) -> DataFrame:
-    """Mention and candidate pairs of one type that share a block; most pairs share several, so pairs are made distinct by key."""
-    m = mentions.select("mention_id", T.normalize_entity_text(F.col("name")).alias("norm"), "entity_type").withColumn("block", F.explode(block_keys(F.col("norm"))))
-    r = registry.select("uri", F.col("normalized_text").alias("cand"), "entity_type", "occurrence_count").withColumn("block", F.explode(block_keys(F.col("cand"))))
+def similar_names(left: DataFrame, right: DataFrame, least: Mapping[str, float], default: float, *, persons_only: bool = False, once: bool = False) -> DataFrame:
+    """kind, a, b, score: all pairs of distinct names (kind, name) of one kind that are alike to the kind's least similarity;
+    with once, for two equal sides, most pairs in one direction only.
+
+    Jaro-Winkler, or with persons_only for persons, and sorted tokens for others. Every name of one side meets every name of
+    the other, tile by tile; within a tile a bound on the similarity, from the letters that both names have, leaves few pairs
+    to be scored, and no pair at the limit is lost.
+    """
+    counts = lambda df, name: df.groupBy("kind").agg(F.count(F.lit(1)).alias(name))
+    left, right = cut(left.select("kind", "name").where("name IS NOT NULL").distinct()), cut(right.select("kind", "name").where("name IS NOT NULL").distinct())
+    n = cut(counts(left, "n_a").join(counts(right, "n_b"), "kind"))
+    both = _tiled(left, n, "a").unionByName(_tiled(right, n, "b"))
+    if once:
+        both = both.where("i <= j")
+
+    def framed(kind: str, found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        a, b, score = (np.concatenate([np.zeros(0, object if k < 2 else float), *[x[k] for x in found]]) for k in range(3))
+        return pd.DataFrame({"kind": pd.Series([kind] * len(a), dtype=object), "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "score": score})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind = pdf["kind"].iloc[0]
+        jaro = kind == "Person" or not persons_only
+        limit = least.get(kind, default)
+        x, y = (np.array(sorted(pdf["name"][pdf["side"] == side]), object) for side in "ab")
+        if not len(x) or not len(y):
+            return framed(kind, [])
+        letters = sorted(set("".join(x)) | set("".join(y)))
+        bag = lambda names: np.array([[z.count(ch) for ch in letters] for z in names], np.int16).reshape(len(names), len(letters))
+        bx, by = bag(x), bag(y)
+        shared = np.zeros((len(x), len(y)), np.int32)
+        for k in range(len(letters)):
+            shared += np.minimum(bx[:, k][:, None], by[:, k][None])
+        lx, ly = (np.maximum([len(z) for z in names], 1) for names in (x, y))
+        if jaro:
+            same, begun = np.ones(shared.shape, bool), np.zeros(shared.shape, np.int32)
+            for k in range(4):
+                cx, cy = (np.array([z[k : k + 1] for z in names]) for names in (x, y))
+                same &= (cx[:, None] == cy[None]) & (cx != "")[:, None]
+                begun += same
+            best = np.where(shared > 0, (shared / lx[:, None] + shared / ly[None] + 1) / 3, 0)
+            best = best + 0.1 * begun * (1 - best)
+        else:  # sorted tokens are joined by single spaces, so white space that isn't one may not be there: it is left out of the bound
+            solid = [k for k, ch in enumerate(letters) if not ch.isspace()]
+            nx, ny = bx[:, solid].sum(axis=1), by[:, solid].sum(axis=1)
+            words = lambda names: np.array([max(0, len(z.split()) - 1) for z in names])
+            wx, wy = words(x), words(y)
+            common = sum((np.minimum(bx[:, k][:, None], by[:, k][None]) for k in solid), np.zeros(shared.shape, np.int32)) + np.minimum(wx[:, None], wy[None])
+            best = 2 * common / np.maximum((nx + wx)[:, None] + (ny + wy)[None], 1)
+        r, c = np.nonzero((best >= limit - 1e-9) | ((lx[:, None] <= 1) & (ly[None] <= 1)))
+        found = []
+        for at in range(0, len(r), SCORED):
+            p, q = x[r[at : at + SCORED]], y[c[at : at + SCORED]]
+            score = T._jaro_winkler(p, q) if jaro else np.array([T.token_sort_value(a, b) for a, b in zip(p, q, strict=True)])
+            keep = score >= limit
+            found.append((p[keep], q[keep], score[keep]))
+        return framed(kind, found)
+
+    return both.groupBy("kind", "i", "j").applyInPandas(compare, "kind string, a string, b string, score double")
+
+
+def candidate_pairs(mentions: DataFrame, registry: DataFrame, least: Mapping[str, float], default: float = 0.9, *, persons_only: bool = False) -> DataFrame:
+    """mention_id, norm, entity_type, uri, cand, occurrence_count, score: candidates of a mention's type at its least similarity."""
+    m = mentions.select("mention_id", T.normalize_entity_text(F.col("name")).alias("norm"), "entity_type")
+    r = registry.select("uri", F.col("normalized_text").alias("cand"), "entity_type", "occurrence_count")
+    pairs = similar_names(m.select(F.col("entity_type").alias("kind"), F.col("norm").alias("name")), r.select(F.col("entity_type").alias("kind"), F.col("cand").alias("name")), least, default, persons_only=persons_only)
+    pairs = cut(pairs).withColumnsRenamed({"kind": "entity_type", "a": "norm", "b": "cand"})
     near = (F.length("norm") <= 1.8 * F.length("cand")) & (F.length("cand") <= 1.8 * F.length("norm"))
-    return m.join(r, ["block", "entity_type"]).where(near).drop("block").dropDuplicates(["mention_id", "uri"])
+    return m.join(pairs.where(near), ["entity_type", "norm"]).join(r, ["entity_type", "cand"])
 
 
 def fuzzy(mentions: DataFrame, registry: DataFrame, *, vetoes: DataFrame | None = None, policy: bool = True) -> DataFrame:
     """By Jaro-Winkler at the type's threshold; names of very different length need 0.95; the strict token policy; a veto
     drops the winner without trying the runner-up."""
-    scored = blocked_pairs(mentions, registry).withColumn("score", T.jaro_winkler(F.col("norm"), F.col("cand")))
-    good = scored.where(F.col("score") >= _by_type(F.col("entity_type"), FUZZY, 0.9))
+    good = candidate_pairs(mentions, registry, FUZZY)
     if policy:
         good = good.where(T.strict_policy(F.col("norm"), F.col("cand"), F.col("entity_type")))
     best = Window.partitionBy("mention_id").orderBy(F.col("score").desc(), F.col("occurrence_count").desc(), "uri")
@@ -119,55 +181,110 @@ def semantic(mentions: DataFrame, registry: DataFrame, *, strict: bool = True, b
     return good.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("mention_id", "uri", "score", F.lit("semantic").alias("tier"))
 
 
-TIERS = {"exact": exact, "alias": alias, "cross_type": cross_type, "fuzzy": fuzzy, "semantic": semantic}
+def shared_documents(contexts: DataFrame, links: DataFrame) -> DataFrame:
+    """mention_id, uri, docs: entities linked to a mention's context documents. contexts: mention_id, rid; links: rid, uri."""
+    return contexts.distinct().join(links.select("rid", "uri").distinct(), "rid").groupBy("mention_id", "uri").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def contextual_score(norm: Column, cand: Column, docs: Column) -> tuple[Column, Column]:
+    """(score, whether the names sound alike): half by name, a fifth by sound, the rest by up to three shared documents."""
+    sounds = F.coalesce(T.phonetic(norm) == T.phonetic(cand), F.lit(False))
+    return F.least(0.5 * T.jaro_winkler(norm, cand) + 0.2 * sounds.cast("double") + 0.3 * F.least(docs / 3, F.lit(1.0)), F.lit(1.0)), sounds
+
+
+def contextual(mentions: DataFrame, registry: DataFrame, near: DataFrame, *, vetoes: DataFrame | None = None) -> DataFrame:
+    """By the best candidate of the mention's type among entities of its context (mention_id, uri, docs): 0.6 for one that
+    sounds alike, 0.75 for others; names must share a token, or sound alike, and persons pass the guard. The best candidate
+    alone is judged."""
+    m = mentions.select("mention_id", "entity_type", T.normalize_entity_text(F.col("name")).alias("norm"))
+    r = registry.select("uri", "entity_type", F.col("normalized_text").alias("cand"), "occurrence_count")
+    score, sounds = contextual_score(F.col("norm"), F.col("cand"), F.col("docs"))
+    scored = near.join(m, "mention_id").join(r, ["uri", "entity_type"]).withColumns({"score": score, "sounds": sounds})
+    best = Window.partitionBy("mention_id").orderBy(F.col("score").desc(), F.col("occurrence_count").desc(), "uri")
+    won = cut(scored.withColumn("_rn", F.row_number().over(best)).where("_rn = 1"))
+    shares = T.token_overlap(F.col("norm"), F.col("cand"))[1] > 0
+    guard = (F.col("entity_type") != "Person") | T.person_guard(F.col("norm"), F.col("cand"))
+    good = won.where((F.col("score") >= F.when(F.col("sounds"), 0.6).otherwise(0.75)) & (shares | F.col("sounds"))).where(guard)
+    if vetoes is not None:
+        good = without_vetoed(good.withColumn("mention_uri", F.col("mention_id").cast("string")), vetoes, "mention_uri", "uri")
+    return good.select("mention_id", "uri", "score", F.lit("contextual").alias("tier"))
+
+
+TIERS = {"exact": exact, "alias": alias, "cross_type": cross_type, "contextual": contextual, "fuzzy": fuzzy, "semantic": semantic}
+
+
+def created(mentions: DataFrame) -> DataFrame:
+    """A new entity for each mention; mentions of one normal form and type get the same one."""
+    return mentions.select("mention_id", T.deterministic_uri(F.col("name"), F.col("entity_type")).alias("uri"), F.lit(1.0).alias("score"), F.lit("created").alias("tier"))
 
 
-def resolve(mentions: DataFrame, registry: DataFrame, tiers: Sequence[str] = ("exact", "alias", "cross_type", "fuzzy"), *, vetoes: DataFrame | None = None, follow_merges: bool = False) -> DataFrame:
+def resolve(mentions: DataFrame, registry: DataFrame, tiers: Sequence[str] = tuple(TIERS), *, near: DataFrame | None = None, vetoes: DataFrame | None = None, follow_merges: bool = False, create: bool = False) -> DataFrame:
     """mention_id, uri, score, tier, relation: each tier sees what the tiers before left unresolved.
 
-    Live entities only, or with follow_merges all of them, whose merge chains are then followed.
+    near: mention_id, uri, docs, the entities of a mention's context (see shared_documents); without it there is no contextual
+    tier. Live entities only, or with follow_merges all of them, whose merge chains are then followed. create: what no tier
+    resolves becomes a new entity.
     """
     known = registry if follow_merges else live(registry)
     left, found = mentions, None
+    run = {**TIERS, "contextual": lambda m, r: contextual(m, r, near, vetoes=vetoes), "fuzzy": lambda m, r: fuzzy(m, r, vetoes=vetoes)}
     for name in tiers:
+        if name == "contextual" and near is None:
+            continue
         # Written, as each tier is read twice: as result, and to take its mentions out.
-        hit = cut(TIERS[name](left, known) if name != "fuzzy" else fuzzy(left, known, vetoes=vetoes))
+        hit = cut(run[name](left, known))
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit.select("mention_id"), "mention_id", "left_anti")
     assert found is not None
     if follow_merges:
         found = found.join(resolve_live(registry), "uri", "left").withColumn("uri", F.coalesce("live_uri", "uri")).drop("live_uri")
-    rest = left.select("mention_id", F.lit(None).cast("string").alias("uri"), F.lit(0.0).alias("score"), F.lit("none").alias("tier"))
-    relation = F.when(F.col("tier").isin("exact", "alias"), "same_as").when(F.col("tier") == "none", "unresolved").otherwise("related_to")
+    rest = created(left) if create else left.select("mention_id", F.lit(None).cast("string").alias("uri"), F.lit(0.0).alias("score"), F.lit("none").alias("tier"))
+    relation = F.when(F.col("tier").isin("exact", "alias"), "same_as").when(F.col("tier") == "created", "new").when(F.col("tier") == "none", "unresolved").otherwise("related_to")
     return found.unionByName(rest).withColumn("relation", relation)
 
 
 def registry_fuzzy(mentions: DataFrame, registry: DataFrame, threshold: float = 0.9) -> DataFrame:
     """The registry's own fuzzy step: same type, length within half to one and a half times plus five; persons by
     Jaro-Winkler, others by sorted tokens; persons of one token are skipped."""
-    pairs = blocked_pairs(mentions, registry)
+    pairs = candidate_pairs(mentions, registry, {}, threshold, persons_only=True)
     length = F.length("norm")
     pairs = pairs.where(F.length("cand").between(length * 0.5, length * 1.5 + 5)).where(~((F.col("entity_type") == "Person") & (F.size(T.tokens(F.col("norm"))) == 1)))
-    person = F.col("entity_type") == "Person"
-    scored = pairs.where(person).withColumn("score", T.jaro_winkler(F.col("norm"), F.col("cand"))).unionByName(pairs.where(~person).withColumn("score", T.token_sort_ratio(F.col("norm"), F.col("cand"))))
     best = Window.partitionBy("mention_id").orderBy(F.col("score").desc(), F.col("occurrence_count").desc(), "uri")
-    return scored.where(F.col("score") >= threshold).withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("mention_id", "uri", "score")
+    return pairs.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("mention_id", "uri", "score")
 
 
 def dedup_proposals(registry: DataFrame, threshold: float = 0.93) -> DataFrame:
-    """winner, loser, score within types: blocked pairs at the threshold; of two, the more frequent wins, then the lesser uri.
+    """winner, loser, entity_type, score within types: in order of occurrences, then of uri, an entity that hasn't lost wins
+    over all entities behind it that are alike and haven't lost. So a loser never wins, and has one winner.
 
-    A loser is proposed once, to its best winner.
+    Entities of one name follow its first one. Rounds settle a name as soon as all names before it that are like it are.
     """
-    r = live(registry).select("uri", F.col("normalized_text").alias("norm"), "entity_type", "occurrence_count").withColumn("block", F.explode(block_keys(F.col("norm"))))
-    a, b = (r.select("block", "entity_type", *[F.col(c).alias(f"{c}_{x}") for c in ("uri", "norm", "occurrence_count")]) for x in "ab")
-    near = (F.length("norm_a") <= 1.8 * F.length("norm_b")) & (F.length("norm_b") <= 1.8 * F.length("norm_a"))
-    pairs = a.join(b, ["block", "entity_type"]).where((F.col("uri_a") < F.col("uri_b")) & near).drop("block").dropDuplicates(["uri_a", "uri_b"])
-    scored = pairs.withColumn("score", T.jaro_winkler(F.col("norm_a"), F.col("norm_b"))).where(F.col("score") >= threshold)
-    first = F.col("occurrence_count_a") >= F.col("occurrence_count_b")
-    named = scored.select(F.when(first, F.col("uri_a")).otherwise(F.col("uri_b")).alias("winner"), F.when(first, F.col("uri_b")).otherwise(F.col("uri_a")).alias("loser"), "entity_type", "score")
-    best = Window.partitionBy("loser").orderBy(F.col("score").desc(), "winner")
-    return named.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
+    r = live(registry).select("uri", F.col("normalized_text").alias("name"), F.col("entity_type").alias("kind"), "occurrence_count")
+    order = Window.partitionBy("kind", "name").orderBy(F.col("occurrence_count").desc(), "uri")
+    r = cut(r.withColumn("_rn", F.row_number().over(order)))
+    heads = cut(r.where("_rn = 1").select("kind", "name", F.struct((-F.col("occurrence_count")).alias("o"), F.col("uri").alias("u")).alias("rank")))
+    pairs = cut(similar_names(heads, heads, {}, threshold, once=True).where("a != b"))
+    pairs = pairs.unionByName(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "score")).distinct()
+    side = lambda x: heads.select("kind", F.col("name").alias(x), F.col("rank").alias(f"rank_{x}"))
+    # a stands before b.
+    pairs = cut(pairs.join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"]).where("rank_a < rank_b"))
+    lost, open_ = None, pairs
+    while not open_.isEmpty():
+        # Names that no open pair has as the one behind have won; their pairs are settled.
+        winners = open_.select("kind", F.col("a").alias("b")).distinct().join(open_.select("kind", "b").distinct(), ["kind", "b"], "left_anti").withColumnRenamed("b", "a")
+        settled = open_.join(winners, ["kind", "a"], "left_semi")
+        first = Window.partitionBy("kind", "b").orderBy("rank_a")
+        now = cut(settled.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select("kind", "b", F.col("a").alias("by"), "score"))
+        lost = now if lost is None else lost.unionByName(now)
+        gone = now.select("kind", "b")
+        open_ = open_.join(winners, ["kind", "a"], "left_anti").join(gone, ["kind", "b"], "left_anti").join(gone.withColumnRenamed("b", "a"), ["kind", "a"], "left_anti")
+        open_ = cut(open_)
+    same = F.lit(1.0)
+    if lost is None:
+        lost = pairs.select("kind", "b", F.col("a").alias("by"), "score")
+    named = r.join(lost.withColumnRenamed("b", "name"), ["kind", "name"], "left").withColumn("by", F.coalesce("by", "name")).withColumn("score", F.coalesce("score", same))
+    won = heads.select("kind", F.col("name").alias("by"), F.col("rank.u").alias("winner"))
+    return named.join(won, ["kind", "by"]).where("uri != winner").select("winner", F.col("uri").alias("loser"), F.col("kind").alias("entity_type"), "score")
 
 
 def cross_type_collisions(registry: DataFrame) -> DataFrame:

@@ -66,25 +66,60 @@ def reduce_versions(events: DataFrame) -> DataFrame:
     return e.select("rid", F.row_number().over(order).cast("long").alias("version"), "content_hash", F.col("ts").alias("valid_from"), F.col("next_ts").alias("superseded_at"))
 
 
+def append_log(log: DataFrame, acts: DataFrame, keys: Sequence[str], at: str, order: Sequence[str | Column]) -> DataFrame:
+    """The log with the acts that it doesn't hold yet, as columns of the log and appended (whether a row is new).
+
+    An act with the keys of an entry, or of an act before it in order, is left out; one without a target state (the last key) is
+    no act; one without a time (at) can't be told from others and is always appended.
+    """
+    whole = [*keys, at]
+    known = acts.where(F.col(keys[-1]).isNotNull())
+    timed = known.where(F.col(at).isNotNull())
+    first = timed.withColumn("_rn", F.row_number().over(Window.partitionBy(*whole).orderBy(*order))).where("_rn = 1").select(*log.columns)
+    held = log.select(*whole).distinct()
+    fresh = first.join(held, whole, "left_anti").select(*log.columns).unionByName(known.where(F.col(at).isNull()).select(*log.columns))
+    return log.withColumn("appended", F.lit(False)).unionByName(fresh.withColumn("appended", F.lit(True)))
+
+
 def fixed_window_counts(requests: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Requests a key and window, where a window starts at the first request after the last window's end (anchored)."""
+    """Requests a key and window, where a window starts at the first request after the last window's end (anchored).
+
+    A key's requests are read in order as a stream, of which only the open window is held; rows without a key or time count for
+    nothing.
+    """
+    import numpy as np
+    import pandas as pd
     from pyspark.sql import types as T
 
     kind = next(f.dataType for f in requests.schema if f.name == key)
     schema = T.StructType([T.StructField(key, kind), T.StructField("window_start", T.TimestampType()), T.StructField("requests", T.LongType())])
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        starts, counts, end = [], [], None
-        for t in pdf[ts].sort_values():
-            if end is None or t >= end:
-                starts.append(t), counts.append(0)
-                end = t + pd.Timedelta(seconds=seconds)
-            counts[-1] += 1
-        return pd.DataFrame({key: pdf[key].iloc[0], "window_start": starts, "requests": counts})
-
-    return requests.select(key, ts).groupBy(key).applyInPandas(run, schema)
+    width = np.int64(seconds) * 1_000_000
+
+    def run(batches):  # noqa: ANN001, ANN202
+        held, start, n = None, 0, 0
+        for pdf in batches:
+            at = pdf["_us"].to_numpy()
+            edges = np.flatnonzero((pdf[key] != pdf[key].shift()).to_numpy())
+            out: list[tuple] = []
+            for a, b in zip(edges, [*edges[1:], len(pdf)], strict=True):
+                own, i = pdf[key].iloc[a], a
+                if held is None or own != held:
+                    if n:
+                        out.append((held, start, n))
+                    held, start, n = own, at[a], 0
+                while i < b:
+                    to = a + int(np.searchsorted(at[a:b], start + width))
+                    n += max(0, to - i)
+                    i = max(i, to)
+                    if i < b:
+                        out.append((held, start, n))
+                        start, n = at[i], 0
+            yield pd.DataFrame({key: [x[0] for x in out], "window_start": pd.to_datetime([x[1] for x in out], unit="us"), "requests": [x[2] for x in out]})
+        if n:
+            yield pd.DataFrame({key: [held], "window_start": pd.to_datetime([start], unit="us"), "requests": [n]})
+
+    rows = requests.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")).dropna()
+    return rows.repartition(key).sortWithinPartitions(key, "_us").mapInPandas(run, schema)
 
 
 def trailing_counts(requests: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:

@@ -25,11 +25,6 @@ def top_k_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str |
     return numbered(df, keys, order, name).where(F.col(name) <= k)
 
 
-def dedup_by_hash(df: DataFrame, text: str, order: Sequence[str | Column]) -> DataFrame:
-    """One row for each distinct text, told by its MD5."""
-    return first_per(df, [F.md5(text)], order)
-
-
 def ranked(df: DataFrame, order: Sequence[str | Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows overall with their rank. The limit comes first, so the one partition of the rank holds k rows."""
     return df.orderBy(*order).limit(k).withColumn(name, F.row_number().over(Window.orderBy(*order)))

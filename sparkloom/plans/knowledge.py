@@ -9,6 +9,7 @@ from sparkloom.functions import chunks as K
 from sparkloom.functions import text as T
 from sparkloom.operators import graph, quality, resolve, temporal, windows
 from sparkloom.plans.registry import query
+from sparkloom.session import cut
 from sparkloom.sources import tables as t
 from sparkloom.sources.tables import with_
 from sparkloom.streaming import events as X
@@ -16,36 +17,46 @@ from sparkloom.streaming import events as X
 c = F.col
 
 
-def _geo(s: SparkSession, d: str) -> DataFrame:
-    """Places and who is in them: a shallow graph."""
-    return t.edges(s, d).where(c("predicate").isin("located_in", "part_of"))
+def _graph(s: SparkSession, d: str) -> DataFrame:
+    """The whole graph, written once: a loop reads it again each round."""
+    return cut(t.edges(s, d), "edges")
 
 
 def _nodes(s: SparkSession, *names: str) -> DataFrame:
     return s.createDataFrame([(n,) for n in names], "node string")
 
 
-GEO = "g AS (SELECT * FROM edges WHERE predicate IN ('located_in', 'part_of'))"
+GRAPH = "g AS (SELECT * FROM edges)"
 
 # ---- graph ------------------------------------------------------------------------------------------------------
 
 
-@query("G1_neighborhood", with_("recursive edges", f", {GEO}, st AS (SELECT subject AS a, object AS b FROM g UNION ALL SELECT object, subject FROM g), r(node, depth) AS (SELECT 'region:1', 0 UNION SELECT b, depth + 1 FROM r JOIN st ON a = node WHERE depth < 2) SELECT node, min(depth) AS depth FROM r GROUP BY 1 ORDER BY 2, 1 LIMIT 500"))
+@query("G1_neighborhood", with_("recursive edges", f", {GRAPH}, st AS (SELECT subject AS a, object AS b FROM g UNION ALL SELECT object, subject FROM g), r(node, depth) AS (SELECT 'region:1', 0 UNION SELECT b, depth + 1 FROM r JOIN st ON a = node WHERE depth < 2) SELECT node, min(depth) AS depth FROM r GROUP BY 1 ORDER BY 2, 1 LIMIT 500"))
 def neighborhood(s: SparkSession, d: str) -> DataFrame:
-    return graph.neighborhood(_geo(s, d), _nodes(s, "region:1"), 2)
+    return graph.neighborhood(_graph(s, d), _nodes(s, "region:1"), 2)
 
 
-@query("G2_induced", with_("edges", f", {GEO} SELECT subject, predicate, object FROM g WHERE subject IN (SELECT concat('nation:', n_nationkey) FROM nation) AND object IN (SELECT concat('region:', r_regionkey) FROM region)"))
+@query("G2_induced", with_("edges", f", {GRAPH} SELECT subject, predicate, object FROM g WHERE list_has_any(['nation', 'region', 'supplier', 'part'], [split_part(subject, ':', 1)]) AND list_has_any(['nation', 'region', 'supplier', 'part'], [split_part(object, ':', 1)])"))
 def induced(s: SparkSession, d: str) -> DataFrame:
-    nodes = t.entities(s, d).where("entity_type = 'Location'").select(c("uri").alias("node"))
-    return graph.induced(_geo(s, d), nodes).select("subject", "predicate", "object")
+    nodes = t.entities(s, d).where("entity_type != 'Person'").select(c("uri").alias("node"))
+    return graph.induced(_graph(s, d), nodes).select("subject", "predicate", "object")
 
 
-@query("G3_shortest_path", with_("edges", f", {GEO} SELECT concat('customer:', c_custkey) AS source, concat('region:', n_regionkey) AS target, 2 AS length, concat('customer:', c_custkey, '>nation:', n_nationkey, '>region:', n_regionkey) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING'"))
+def _paths_sql() -> str:
+    """Four rounds of the search, each with one path a node and source, as the operator chooses it."""
+    out = """, st AS (SELECT subject AS src, object AS dst, confidence, predicate FROM edges QUALIFY row_number() OVER (PARTITION BY subject, object ORDER BY confidence DESC, predicate) = 1),
+        s0 AS (SELECT concat('customer:', c_custkey) AS source, concat('customer:', c_custkey) AS node, 0 AS length, concat('customer:', c_custkey) AS path FROM customer WHERE c_mktsegment = 'BUILDING'), seen0 AS (SELECT source, node FROM s0)"""
+    for k in range(1, 5):
+        out += f""", s{k} AS (SELECT f.source, dst AS node, {k} AS length, concat(path, '>', dst) AS path FROM s{k - 1} f JOIN st ON src = f.node ANTI JOIN seen{k - 1} x ON x.source = f.source AND x.node = dst
+            QUALIFY row_number() OVER (PARTITION BY f.source, dst ORDER BY confidence DESC, predicate, f.node) = 1), seen{k} AS (SELECT source, node FROM seen{k - 1} UNION ALL SELECT source, node FROM s{k})"""
+    return out + " SELECT source, node AS target, length, path FROM (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, 5)) + ") WHERE node LIKE 'region:%'"
+
+
+@query("G3_shortest_path", with_("edges", _paths_sql()))
 def shortest_path(s: SparkSession, d: str) -> DataFrame:
     u = t.table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("customer:"), c("c_custkey").cast("string")).alias("source"))
     pairs = u.withColumn("target", F.explode(F.array(*[F.lit(f"region:{k}") for k in range(5)])))
-    return graph.shortest_paths(_geo(s, d), pairs, 4).select("source", "target", "length", F.array_join("path", ">").alias("path"))
+    return graph.shortest_paths(_graph(s, d), pairs, 4).select("source", "target", "length", F.array_join("path", ">").alias("path"))
 
 
 @query("G4_relationships", with_("edges", "SELECT predicate, object, confidence FROM edges WHERE subject = 'part:7' ORDER BY confidence DESC, object"))
@@ -54,10 +65,10 @@ def relationships(s: SparkSession, d: str) -> DataFrame:
     return out.orderBy(c("confidence").desc(), "object").select("predicate", "object", "confidence")
 
 
-@query("G5_triple_closure", with_("recursive edges", f""", {GEO}, st AS (SELECT subject AS a, object AS b FROM g UNION ALL SELECT object, subject FROM g), r(node, depth) AS (SELECT 'nation:3', 0 UNION SELECT b, depth + 1 FROM r JOIN st ON a = node WHERE depth < 1),
+@query("G5_triple_closure", with_("recursive edges", f""", {GRAPH}, st AS (SELECT subject AS a, object AS b FROM g UNION ALL SELECT object, subject FROM g), r(node, depth) AS (SELECT 'nation:3', 0 UNION SELECT b, depth + 1 FROM r JOIN st ON a = node WHERE depth < 1),
     n AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1) SELECT subject, predicate, object, min(depth) + 1 AS depth FROM g JOIN n ON node = subject OR node = object GROUP BY ALL"""))
 def closure(s: SparkSession, d: str) -> DataFrame:
-    return graph.triple_closure(_geo(s, d), _nodes(s, "nation:3"), 2).select("subject", "predicate", "object", "depth")
+    return graph.triple_closure(_graph(s, d), _nodes(s, "nation:3"), 2).select("subject", "predicate", "object", "depth")
 
 
 def _chain(s: SparkSession, d: str) -> DataFrame:
@@ -82,9 +93,9 @@ def redirects(s: SparkSession, d: str) -> DataFrame:
     return graph.follow(_chain(s, d).select(c("id").alias("node"), c("supersedes").alias("next")), 5).select("node", "final")
 
 
-@query("G8_provenance", with_("recursive edges", f", {GEO}, r(node, depth) AS (SELECT 'supplier:5', 0 UNION SELECT object, depth + 1 FROM r JOIN g ON subject = node WHERE depth < 8) SELECT node, min(depth) AS depth FROM r GROUP BY 1"))
+@query("G8_provenance", with_("recursive edges", f", {GRAPH}, r(node, depth) AS (SELECT 'customer:7', 0 UNION SELECT object, depth + 1 FROM r JOIN g ON subject = node WHERE depth < 8) SELECT node, min(depth) AS depth FROM r GROUP BY 1"))
 def provenance(s: SparkSession, d: str) -> DataFrame:
-    return graph.bfs(graph.directed(_geo(s, d), "out"), _nodes(s, "supplier:5"), 8)
+    return graph.bfs(graph.directed(_graph(s, d), "out"), _nodes(s, "customer:7"), 8)
 
 
 @query("G9_recall_walk", with_("edges", "SELECT DISTINCT b.object AS fact FROM edges a JOIN edges b ON b.subject = a.object WHERE a.subject = 'customer:7' AND a.predicate = 'bought' AND b.predicate = 'supplied_by'"))
@@ -94,22 +105,20 @@ def recall_walk(s: SparkSession, d: str) -> DataFrame:
     return e.where("predicate = 'supplied_by'").join(near, c("subject") == c("node"), "left_semi").select(c("object").alias("fact")).distinct()
 
 
-@query("G10_supersession", f"WITH {CHAIN} SELECT id, coalesce(lag(id, 32) OVER w, first_value(id) OVER w) AS origin, coalesce(lead(id, 32) OVER w, last_value(id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS head FROM ch WINDOW w AS (PARTITION BY o_custkey ORDER BY n)")
+@query("G10_supersession", f"WITH {CHAIN} SELECT id, first_value(id) OVER w AS origin, last_value(id) OVER w AS head FROM ch WINDOW w AS (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def supersession(s: SparkSession, d: str) -> DataFrame:
     versions = _chain(s, d).select("id", "supersedes")
     return graph.chain_origin(versions).join(graph.chain_head(versions), "id")
 
 
 def _weighted(s: SparkSession, d: str) -> DataFrame:
-    """Suppliers that share parts: a weighted undirected graph."""
-    p = t.table(s, d, "lineitem").select("l_partkey", F.concat(F.lit("s"), c("l_suppkey").cast("string")).alias("x")).distinct()
-    pairs = p.withColumnRenamed("x", "a").join(p.withColumnRenamed("x", "b"), "l_partkey").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    """The whole graph, undirected, by strength."""
+    return graph.strengths(t.edges(s, d)).select("a", "b", "weight")
 
 
 @query("G11_communities")
 def communities(s: SparkSession, d: str) -> DataFrame:
-    return graph.label_propagation(_weighted(s, d).where("weight >= 3"), 10)
+    return graph.two_level_communities(_weighted(s, d))
 
 
 @query("G12_betweenness")
@@ -132,25 +141,39 @@ def strength(s: SparkSession, d: str) -> DataFrame:
 
 @query("G15_label_propagation")
 def label_propagation(s: SparkSession, d: str) -> DataFrame:
-    p = t.edges(s, d).select("subject", "predicate").distinct()
-    pairs = p.withColumnRenamed("predicate", "a").join(p.withColumnRenamed("predicate", "b"), "subject").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return graph.label_propagation(pairs, 20)
+    """Places and who is in them, by shared labels: every nation gathers its own."""
+    return graph.label_propagation(_weighted(s, d), 20)
+
+
+def _membership(s: SparkSession, d: str) -> DataFrame:
+    return cut(communities(s, d).select("node", F.col("community").alias("label")), "membership")
 
 
 @query("G16_cohesion")
 def cohesion(s: SparkSession, d: str) -> DataFrame:
-    w = _weighted(s, d).where("weight >= 3")
-    return graph.cohesion(w, graph.label_propagation(w, 6))
+    """Communities with the commonest kind of their members as name, and their density."""
+    m = _membership(s, d)
+    names = graph.community_names(m, m.select("node", F.concat(F.lit("graph/"), F.replace("node", F.lit(":"), F.lit("/"))).alias("path")))
+    dense = graph.cohesion(_weighted(s, d), m)
+    return names.join(dense.drop("nodes"), "label").select("label", "name", "nodes", "internal", F.round("cohesion", 4).alias("cohesion"))
 
 
-def _calls(s: SparkSession, d: str) -> DataFrame:
-    """Parts that call the next parts of their orders' lines: a directed graph with cycles."""
-    li = t.table(s, d, "lineitem").where("l_quantity >= 40")
+def _calls(s: SparkSession, d: str, least: int = 0) -> DataFrame:
+    """Parts that call the next parts of their orders' lines, of all lines or of large ones: a directed graph with cycles."""
+    li = t.table(s, d, "lineitem").where(c("l_quantity") >= least)
     a, b = li.select("l_orderkey", c("l_linenumber").alias("n"), F.concat(F.lit("p"), c("l_partkey").cast("string")).alias("source")), li.select("l_orderkey", (c("l_linenumber") - 1).alias("n"), F.concat(F.lit("p"), c("l_partkey").cast("string")).alias("target"))
     return a.join(b, ["l_orderkey", "n"]).where("source != target").select("source", "target").distinct()
 
 
-CALLS = "calls AS (SELECT DISTINCT concat('p', a.l_partkey) AS source, concat('p', b.l_partkey) AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 40 AND b.l_quantity >= 40 AND a.l_partkey <> b.l_partkey)"
+#: Large calls: with all lines every part calls and is called by many, so nothing is orphaned and no trace ends.
+LARGE = 40
+
+
+def _calls_sql(least: int = 0) -> str:
+    return f"calls AS (SELECT DISTINCT concat('p', a.l_partkey) AS source, concat('p', b.l_partkey) AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= {least} AND b.l_quantity >= {least} AND a.l_partkey <> b.l_partkey)"
+
+
+CALLS, LARGE_CALLS = _calls_sql(), _calls_sql(LARGE)
 
 
 @query("G17_entry_points", f"WITH {CALLS}, o AS (SELECT source AS node, count(*) AS callees FROM calls GROUP BY 1), i AS (SELECT target AS node, count(*) AS callers FROM calls GROUP BY 1) SELECT node, round(coalesce(callees, 0) / (coalesce(callers, 0) + 1) * CASE WHEN node LIKE 'p1%' THEN 1.5 WHEN node LIKE 'p9%' THEN 0.3 ELSE 1.0 END, 6) AS score FROM o FULL OUTER JOIN i USING (node)")
@@ -163,9 +186,10 @@ def entry_points(s: SparkSession, d: str) -> DataFrame:
 
 @query("G18_flows")
 def flows(s: SparkSession, d: str) -> DataFrame:
-    """With the reference's limits: 200 entries, ten nodes a trace, four calls a node."""
-    entries = _calls(s, d).groupBy(c("source").alias("entry")).agg(F.count(F.lit(1)).alias("n")).orderBy(c("n").desc(), "entry").limit(200).select("entry")
-    return graph.flows(_calls(s, d), entries, depth=10, branch=4).select("entry", F.array_join("path", ">").alias("path"))
+    """With the reference's limits: 200 entries, ten nodes a trace, four calls a node, 2,000 steps an entry."""
+    calls = cut(_calls(s, d, LARGE), "calls")
+    entries = calls.groupBy(c("source").alias("entry")).agg(F.count(F.lit(1)).alias("n")).orderBy(c("n").desc(), "entry").limit(200).select("entry")
+    return graph.flows(calls, entries, depth=10, branch=4, steps=2000).select("entry", F.array_join("path", ">").alias("path"))
 
 
 @query("G19_impact", f"WITH RECURSIVE {CALLS}, r(node, depth) AS (SELECT 'p7', 0 UNION SELECT source, depth + 1 FROM r JOIN calls ON target = node WHERE depth < 2) SELECT node, min(depth) AS depth, CASE WHEN min(depth) = 1 THEN 'high' ELSE 'medium' END AS risk FROM r GROUP BY 1 HAVING min(depth) > 0")
@@ -178,9 +202,9 @@ def call_chain(s: SparkSession, d: str) -> DataFrame:
     return graph.bfs(_calls(s, d).select(c("source").alias("src"), c("target").alias("dst")), _nodes(s, "p7"), 3)
 
 
-@query("G21_orphaned", f"WITH {CALLS} SELECT concat('p', p_partkey) AS node FROM part WHERE concat('p', p_partkey) NOT IN (SELECT source FROM calls UNION SELECT target FROM calls)")
+@query("G21_orphaned", f"WITH {LARGE_CALLS} SELECT concat('p', p_partkey) AS node FROM part WHERE concat('p', p_partkey) NOT IN (SELECT source FROM calls UNION SELECT target FROM calls)")
 def orphaned(s: SparkSession, d: str) -> DataFrame:
-    calls = _calls(s, d)
+    calls = cut(_calls(s, d, LARGE), "calls")
     p = t.table(s, d, "part").select(F.concat(F.lit("p"), c("p_partkey").cast("string")).alias("node"))
     return p.join(calls, c("node") == c("source"), "left_anti").join(calls, c("node") == c("target"), "left_anti")
 
@@ -193,8 +217,7 @@ def callers(s: SparkSession, d: str) -> DataFrame:
 
 @query("G23_community_members")
 def community_members(s: SparkSession, d: str) -> DataFrame:
-    m = communities(s, d)
-    return m.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first"))
+    return _membership(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first"))
 
 
 @query("G24_history", with_("facts", "SELECT fact_id, valid_from, object FROM facts WHERE subject = 'customer:7' ORDER BY valid_from, fact_id"))
@@ -202,24 +225,22 @@ def assertion_history(s: SparkSession, d: str) -> DataFrame:
     return t.facts(s, d).where("subject = 'customer:7'").orderBy("valid_from", "fact_id").select("fact_id", "valid_from", "object")
 
 
-@query("G25_implements", "WITH m AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS k FROM lineitem), i AS (SELECT o, count(*) AS n FROM m WHERE o IN (1, 2, 3, 4, 5) GROUP BY 1) SELECT i.o AS interface, m2.o AS implementer FROM m m1 JOIN i ON i.o = m1.o JOIN m m2 ON m2.k = m1.k AND m2.o <> m1.o GROUP BY 1, 2, i.n HAVING count(*) = i.n")
+@query("G25_implements", """WITH m AS (SELECT l_orderkey AS o, list(DISTINCT l_suppkey) AS ks FROM lineitem GROUP BY 1), u AS (SELECT o, ks, unnest(ks) AS k FROM m), f AS (SELECT k, count(*) AS n FROM u GROUP BY 1),
+    i AS (SELECT o, ks, arg_min(k, struct_pack(n := n, k := k)) AS k FROM u JOIN f USING (k) GROUP BY 1, 2) SELECT i.o AS interface, u.o AS implementer FROM i JOIN u USING (k) WHERE u.o <> i.o AND list_has_all(u.ks, i.ks)""")
 def implements(s: SparkSession, d: str) -> DataFrame:
-    """An order implements another if it has all of its suppliers: set containment by counting shared members."""
+    """An order implements another if it has all of its suppliers."""
     m = t.table(s, d, "lineitem").select(c("l_orderkey").alias("o"), c("l_suppkey").alias("k")).distinct()
-    i = m.where(c("o").isin(1, 2, 3, 4, 5))
-    n = i.groupBy("o").agg(F.count(F.lit(1)).alias("n"))
-    shared = i.select(c("o").alias("interface"), "k").join(m.select(c("o").alias("implementer"), "k"), "k").where("interface != implementer").groupBy("interface", "implementer").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.join(n, c("interface") == c("o")).where("shared = n").select("interface", "implementer")
+    return graph.containments(m, "o", "k").select(c("inner").alias("interface"), c("outer").alias("implementer"))
 
 
-@query("G26_symmetric", with_("edges", f", {GEO} SELECT subject, predicate, object FROM g UNION SELECT object, predicate, subject FROM g WHERE predicate = 'part_of'"))
+@query("G26_symmetric", with_("edges", f", {GRAPH} SELECT subject, predicate, object FROM g UNION SELECT object, predicate, subject FROM g WHERE predicate = 'part_of'"))
 def symmetric(s: SparkSession, d: str) -> DataFrame:
-    return graph.symmetric(_geo(s, d).select("subject", "predicate", "object"), ["part_of"])
+    return graph.symmetric(_graph(s, d).select("subject", "predicate", "object"), ["part_of"])
 
 
-@query("G27_hierarchy_walk", with_("recursive edges", f", {GEO}, r(node, depth) AS (SELECT 'region:2', 0 UNION SELECT subject, depth + 1 FROM r JOIN g ON object = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1"))
+@query("G27_hierarchy_walk", with_("recursive edges", f", {GRAPH}, r(node, depth) AS (SELECT 'region:2', 0 UNION SELECT subject, depth + 1 FROM r JOIN g ON object = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1"))
 def hierarchy_walk(s: SparkSession, d: str) -> DataFrame:
-    return graph.bfs(graph.directed(_geo(s, d), "in"), _nodes(s, "region:2"), 3)
+    return graph.bfs(graph.directed(_graph(s, d), "in"), _nodes(s, "region:2"), 3)
 
 
 @query("G28_sparql", with_("edges", "SELECT a.subject AS x, b.object AS r FROM edges a JOIN edges b ON b.subject = a.object WHERE a.predicate = 'located_in' AND b.predicate = 'part_of' AND b.object <> 'region:0'"))
@@ -245,7 +266,10 @@ def _mentions(s: SparkSession, d: str) -> DataFrame:
 
 @query("E1_tiered_resolver")
 def tiered(s: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve(_mentions(s, d), _registry(s, d)).select("mention_id", "uri", F.round("score", 6).alias("score"), "tier", "relation")
+    """All tiers; a mention's context are the orders of its supplier, whose other suppliers are its candidates."""
+    links = t.table(s, d, "lineitem").select(F.concat(F.lit("order:"), c("l_orderkey").cast("string")).alias("rid"), F.concat(F.lit("supplier:"), c("l_suppkey").cast("string")).alias("uri"))
+    near = resolve.shared_documents(links.select(c("uri").alias("mention_id"), "rid"), links)
+    return resolve.resolve(_mentions(s, d), _registry(s, d), near=near, create=True).select("mention_id", "uri", F.round("score", 6).alias("score"), "tier", "relation")
 
 
 @query("E2_fuzzy")
@@ -287,10 +311,10 @@ def collisions(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("E9_apply_merges", with_("edges", """SELECT subject, predicate, object, max(confidence) AS confidence, sum(occurrence_count)::BIGINT AS occurrence_count FROM (SELECT CASE WHEN subject IN ('nation:2', 'nation:3') THEN 'nation:1' ELSE subject END AS subject, predicate,
-    CASE WHEN object IN ('nation:2', 'nation:3') THEN 'nation:1' ELSE object END AS object, confidence, occurrence_count FROM edges WHERE predicate <> 'bought') WHERE subject <> object GROUP BY 1, 2, 3"""))
+    CASE WHEN object IN ('nation:2', 'nation:3') THEN 'nation:1' ELSE object END AS object, confidence, occurrence_count FROM edges) WHERE subject <> object GROUP BY 1, 2, 3"""))
 def apply_merges(s: SparkSession, d: str) -> DataFrame:
     merges = s.createDataFrame([("nation:3", "nation:2"), ("nation:2", "nation:1")], "loser string, winner string")
-    return resolve.apply_merges(t.edges(s, d).where("predicate != 'bought'"), merges)
+    return resolve.apply_merges(t.edges(s, d), merges)
 
 
 @query("E10_reversal", "SELECT o_orderkey, 'update' AS action FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
@@ -317,10 +341,10 @@ def _vector_facts(s: SparkSession, d: str) -> DataFrame:
     return t.vectors(s, d).select(c("vec_id").alias("id"), c("label").cast("string").alias("subject"), F.lit("is").alias("predicate"), c("vec_id").cast("string").alias("object"), "embedding")
 
 
-@query("E13_supersession", with_("vecs", "SELECT DISTINCT b.vec_id AS old_id FROM vecs a JOIN vecs b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.label = 1 AND list_cosine_similarity(a.embedding, b.embedding) > 0.2"))
+@query("E13_supersession", with_("vecs", "SELECT DISTINCT b.vec_id AS old_id FROM vecs a JOIN vecs b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) > 0.2"))
 def fact_supersession(s: SparkSession, d: str) -> DataFrame:
     f = _vector_facts(s, d)
-    return resolve.superseded_facts(f.where("subject = '1'"), f, ["is"], 0.2)
+    return resolve.superseded_facts(f, f, ["is"], 0.2)
 
 
 @query("E14_global_hash_dedup", "SELECT sha256(text) AS hash, count(*) - 1 AS skipped FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -345,9 +369,15 @@ def transitions(s: SparkSession, d: str) -> DataFrame:
     return temporal.invalid_transitions(moves, ALLOWED).select("o_orderkey", "from_state", "to_state")
 
 
-@query("N2_state_log", "SELECT DISTINCT l_orderkey, l_linestatus, l_shipdate FROM lineitem")
+@query("N2_state_log", """WITH a AS (SELECT l_orderkey AS rid, CASE WHEN l_quantity < 2 THEN NULL ELSE l_linestatus END AS to_state, CASE WHEN l_returnflag <> 'A' THEN l_shipdate END AS created_at, l_linenumber FROM lineitem),
+    g AS (SELECT rid, to_state, created_at FROM a WHERE l_linenumber <= 3 AND to_state IS NOT NULL AND created_at IS NOT NULL)
+    SELECT rid, to_state, created_at, false AS appended FROM g UNION ALL SELECT rid, to_state, created_at, true FROM a WHERE to_state IS NOT NULL AND created_at IS NULL
+    UNION ALL SELECT DISTINCT rid, to_state, created_at, true FROM a WHERE to_state IS NOT NULL AND created_at IS NOT NULL AND (rid, to_state, created_at) NOT IN (SELECT (rid, to_state, created_at) FROM g)""")
 def state_log(s: SparkSession, d: str) -> DataFrame:
-    return t.table(s, d, "lineitem").select("l_orderkey", "l_linestatus", "l_shipdate").distinct()
+    """Lines' states as acts, delivered again to a log that holds the first lines."""
+    acts = t.table(s, d, "lineitem").select(c("l_orderkey").alias("rid"), F.when(c("l_quantity") >= 2, c("l_linestatus")).alias("to_state"), F.when(c("l_returnflag") != "A", c("l_shipdate")).alias("created_at"), "l_linenumber")
+    log = acts.where("l_linenumber <= 3 AND to_state IS NOT NULL AND created_at IS NOT NULL").drop("l_linenumber")
+    return temporal.append_log(log, acts, ["rid", "to_state"], "created_at", ["l_linenumber"])
 
 
 @query("N3_latest_act", "SELECT l_partkey, l_linestatus AS status FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) WHERE rn = 1 AND l_linestatus <> 'O'")
@@ -463,9 +493,23 @@ def confidence_filter(s: SparkSession, d: str) -> DataFrame:
     return t.documents(s, d).where(F.coalesce("confidence", F.lit(0.0)) >= 0.7).select("rid")
 
 
-@query("Q2_entity_quality")
+#: Names that break rules, beside the tables' own.
+ODD_NAMES = [("Ann", "Person"), ("x", "Concept"), ("TBD", "Concept"), ("they", "Concept"), ("12.5 %", "Concept"), ("Location", "Location"), ("user 7", "Person"), ("community", "Organization"), ("ERC-20", "Concept"), ("ABC-12", "Concept"), ("the privacy policy here", "Concept"), ("many things", "Concept"), ("It is done. now go", "Concept"), ("foo::bar", "Concept"), ("fix(ui): colour", "Concept"), ("Helper Bot", "Person"), ("meeting", "Event"), ("platform", "Concept"), ("Ada Foundation", "Person"), ("Testnet", "Location"), ("run.py", "Process"), ("hardness", "Material"), ("Ada Lovelace", "Person")]
+
+
+@query("Q2_entity_quality", with_("entities", f""", n AS (SELECT uri, entity_text AS x, entity_type AS k FROM entities UNION ALL SELECT concat('odd:', i), v[1], v[2] FROM (SELECT unnest([{', '.join(f"['{a}', '{b}']" for a, b in ODD_NAMES)}]) AS v, unnest(range({len(ODD_NAMES)})) AS i)),
+    w AS (SELECT *, lower(trim(x)) AS l, len(list_filter(regexp_split_to_array(lower(x), '\\s+'), lambda z: z <> '')) AS n FROM n),
+    r AS (SELECT uri, list_filter([CASE WHEN k = 'Person' AND n = 1 THEN 'single_token_person' END, CASE WHEN length(l) < 2 THEN 'too_short' END, CASE WHEN l IN ({', '.join(repr(x) for x in quality.PLACEHOLDERS)}) THEN 'placeholder' END, CASE WHEN l IN ({', '.join(repr(x) for x in quality.STOP_NAMES)}) THEN 'stop_word' END,
+    CASE WHEN regexp_matches(l, '^[\\d\\s.,%$#-]+$') THEN 'numeric_only' END, CASE WHEN l = lower(k) THEN 'tautological' END, CASE WHEN k = 'Person' AND x = lower(x) THEN 'lowercase_person' END, CASE WHEN k = 'Person' AND regexp_matches(l, '^(user|speaker|person|customer|client)\\s*#?\\d*$') THEN 'placeholder_person' END,
+    CASE WHEN l IN ({', '.join(repr(x) for x in quality.GENERIC_GROUPS)}) THEN 'generic_group' END, CASE WHEN regexp_matches(l, '^erc-?\\d+$') THEN 'erc_standard' END, CASE WHEN regexp_matches(x, '^[A-Z]{{2,10}}-\\d+$') THEN 'jira_issue_id' END,
+    CASE WHEN regexp_matches(l, '(cookie policy|privacy policy|terms of service|all rights reserved|subscribe)') THEN 'boilerplate' END, CASE WHEN regexp_matches(l, '^(some|any|many|various|several|other) ') THEN 'generic_pattern' END, CASE WHEN n > 8 OR regexp_matches(l, '[.!?]\\s+\\w') THEN 'sentence_like' END,
+    CASE WHEN length(x) > 120 THEN 'too_long' END, CASE WHEN regexp_matches(l, '(::|->|\\(\\)|[{{}}<>]|^0x[0-9a-f]+$|^/[\\w/.-]+$)') THEN 'technical_pattern' END, CASE WHEN regexp_matches(l, '^(feat|fix|chore|docs|refactor|merge)(\\(.*\\))?:') THEN 'git_changelog' END,
+    CASE WHEN k = 'Person' AND regexp_matches(l, '\\b(gpt|chatbot|assistant|llm|bot)\\b') THEN 'ai_as_person' END, CASE WHEN k = 'Event' AND l IN ('meeting', 'call', 'event', 'session', 'workshop') THEN 'generic_event' END, CASE WHEN l IN ('project', 'system', 'platform', 'process', 'product', 'service') THEN 'generic_domain_type' END,
+    CASE WHEN k = 'Person' AND regexp_matches(l, '\\b(inc|llc|ltd|foundation|network)$') THEN 'firstname_orgname_artifact' END, CASE WHEN k = 'Location' AND regexp_matches(l, '(chain|mainnet|testnet)$') THEN 'blockchain_as_location' END, CASE WHEN k = 'Process' AND regexp_matches(l, '(\\.py|\\.ts|\\.go|_module)$') THEN 'code_module_as_process' END,
+    CASE WHEN k = 'Material' AND regexp_matches(l, '(ness|ity|ism|tion)$') THEN 'abstract_concept_as_material' END], lambda z: z IS NOT NULL) AS rs FROM w) SELECT uri, array_to_string(rs, ',') AS reasons, len(rs) = 0 AS valid FROM r"""))
 def entity_quality(s: SparkSession, d: str) -> DataFrame:
-    e = t.entities(s, d)
+    odd = s.createDataFrame([(f"odd:{k}", *x) for k, x in enumerate(ODD_NAMES)], "uri string, entity_text string, entity_type string")
+    e = t.entities(s, d).select("uri", "entity_text", "entity_type").unionByName(odd)
     return quality.gate(e, quality.entity_rules(c("entity_text"), c("entity_type"))).select("uri", F.array_join("reasons", ",").alias("reasons"), "valid")
 
 
@@ -480,10 +524,15 @@ def list_splitter(s: SparkSession, d: str) -> DataFrame:
     return quality.split_lists(n, "name", "confidence").select("n_regionkey", "name")
 
 
-@query("Q5_ontology", with_("edges", "SELECT CASE predicate WHEN 'bought' THEN 'purchased' ELSE predicate END AS predicate, count(*) AS n FROM edges GROUP BY 1"))
+@query("Q5_ontology", with_("entities edges", """SELECT subject_type, predicate, object_type, count(*) AS n FROM (SELECT CASE WHEN a.entity_type = 'Person' THEN 'AGENT' ELSE upper(a.entity_type) END AS subject_type, CASE e.predicate WHEN 'bought' THEN 'purchased' ELSE e.predicate END AS predicate,
+    CASE WHEN b.entity_type = 'Person' THEN 'AGENT' ELSE upper(b.entity_type) END AS object_type FROM edges e JOIN entities a ON a.uri = e.subject JOIN entities b ON b.uri = e.object) GROUP BY ALL"""))
 def ontology(s: SparkSession, d: str) -> DataFrame:
-    named = F.coalesce(F.create_map(F.lit("bought"), F.lit("purchased"))[c("predicate")], c("predicate"))
-    return t.edges(s, d).groupBy(named.alias("predicate")).agg(F.count(F.lit(1)).alias("n"))
+    """Edges by canonical types and predicate: types come with namespaces, predicates with spaces and capitals."""
+    e = t.entities(s, d).select("uri", F.concat(F.when(c("occurrence_count") % 2 == 0, F.lit(" schema:")).otherwise(F.lit("https://schema.org/")), "entity_type").alias("kind"))
+    named = t.edges(s, d).join(e.select(c("uri").alias("subject"), c("kind").alias("subject_kind")), "subject").join(e.select(c("uri").alias("object"), c("kind").alias("object_kind")), "object")
+    types = {"PERSON": "AGENT"}
+    predicate = quality.ontology_predicate(F.concat(F.lit("ns:"), F.upper(F.replace("predicate", F.lit("_"), F.lit(" ")))), {"bought": "purchased"})
+    return named.groupBy(quality.ontology_type(c("subject_kind"), types).alias("subject_type"), predicate.alias("predicate"), quality.ontology_type(c("object_kind"), types).alias("object_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("Q6_canonical", with_("entities", "SELECT uri, CASE WHEN normalized_text = 'nation_1' AND entity_type = 'Location' THEN 'First Nation' ELSE entity_text END AS name FROM entities"))
@@ -579,15 +628,27 @@ def evidence_recall(s: SparkSession, d: str) -> DataFrame:
     return hits.where(T.evidence_found("snippet", "text")).select("item_id", "doc_id")
 
 
-@query("Q19_routing")
+@query("Q19_routing", """WITH d AS (SELECT o_orderkey AS draft, concat('nation:', c_nationkey) AS region, [o_orderpriority, o_orderstatus] AS tags, o_orderdate::DATE AS s, o_orderdate::DATE + 30 AS e, o_totalprice AS v, concat('region:', n_regionkey) AS wide FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 50 = 0),
+    p AS (SELECT concat('pool:n', n_nationkey) AS pool, concat('nation:', n_nationkey) AS region, CASE n_nationkey % 3 WHEN 0 THEN ['1-URGENT', 'O'] WHEN 1 THEN ['F', '2-HIGH', 'P'] ELSE [] END AS tags, CASE WHEN n_nationkey % 4 > 0 THEN make_date(1992 + n_nationkey % 8, 1, 1) END AS s, CASE WHEN n_nationkey % 4 > 0 THEN make_date(1995 + n_nationkey % 8, 6, 30) END AS e, CASE WHEN n_nationkey % 2 = 0 THEN 400000.0 END AS threshold, n_nationkey * 20000.0 AS remaining FROM nation
+        UNION ALL SELECT concat('pool:r', r_regionkey), concat('region:', r_regionkey), ['O'], NULL, NULL, NULL, 1000000.0 FROM region),
+    x AS (SELECT draft, pool, CASE WHEN d.region = p.region THEN 30 WHEN d.wide = p.region THEN 15 ELSE 0 END AS region_score, CASE WHEN len(p.tags) = 0 THEN 0 ELSE round_even(25.0 * len(list_intersect(d.tags, p.tags)) / greatest(len(d.tags), len(p.tags)), 0)::BIGINT END AS tag_score,
+        CASE WHEN p.s IS NULL THEN 15 WHEN least(d.e, p.e) > greatest(d.s, p.s) THEN round_even(15.0::DOUBLE * (least(d.e, p.e) - greatest(d.s, p.s)) / 30, 0)::BIGINT ELSE 0 END AS time_score, p.s IS NOT NULL AND least(d.e, p.e) <= greatest(d.s, p.s) AS apart,
+        CASE WHEN v > 0 AND remaining > 0 AND v <= remaining THEN round_even(20 * CASE WHEN threshold > 0 THEN least(least(v / threshold, 1) + 0.5, 1) ELSE greatest(1 - v / remaining, 0.3) END, 0)::BIGINT ELSE 0 END AS capacity_score, v, remaining FROM d, p)
+    SELECT draft, pool, region_score::BIGINT AS region_score, tag_score, time_score::BIGINT AS time_score, capacity_score, array_to_string(list_filter([CASE WHEN apart THEN 'outside_timeframe' END, CASE WHEN v > 0 AND remaining > 0 AND v > remaining THEN 'exceeds_capacity' END, CASE WHEN v > 0 AND remaining <= 0 THEN 'no_capacity' END], lambda z: z IS NOT NULL), ',') AS excludes,
+        region_score + tag_score + time_score + capacity_score AS total, region_score + tag_score + time_score + capacity_score >= 60 AND NOT apart AND NOT (v > 0 AND v > remaining) AS recommended FROM x""")
 def routing(s: SparkSession, d: str) -> DataFrame:
-    """Orders of suppliers' regions scored against pools of regions: shared region, days, capacity."""
-    pools = s.createDataFrame([("p0", 0, "1995-01-01", "1995-06-30"), ("p1", 1, "1996-01-01", "1996-12-31")], "pool string, region int, a string, b string").select("pool", "region", c("a").cast("date").alias("a"), c("b").cast("date").alias("b"))
-    o = t.table(s, d, "orders").join(t.table(s, d, "customer"), c("o_custkey") == c("c_custkey")).join(F.broadcast(t.table(s, d, "nation")), c("c_nationkey") == c("n_nationkey"))
+    """Every fiftieth order as a draft of its customer's nation, against pools of all nations and regions."""
+    n = t.table(s, d, "nation")
+    o = t.table(s, d, "orders").where("o_orderkey % 50 = 0").join(t.table(s, d, "customer"), c("o_custkey") == c("c_custkey"))
     day = c("o_orderdate").cast("date")
-    days = temporal.overlap_days(day, F.date_add(day, 30), c("a"), c("b"))
-    scored = o.join(F.broadcast(pools), (day <= c("b")) & (F.date_add(day, 30) >= c("a"))).select("o_orderkey", "pool", (F.when(c("n_regionkey") == c("region"), 30).otherwise(0) + F.bround(15 * days / 31)).cast("long").alias("score"))
-    return scored
+    drafts = o.select(c("o_orderkey").alias("draft"), F.concat(F.lit("nation:"), c("c_nationkey").cast("string")).alias("region"), F.array("o_orderpriority", "o_orderstatus").alias("tags"), day.alias("start"), F.date_add(day, 30).alias("end"), c("o_totalprice").alias("value"))
+    k = c("n_nationkey")
+    tags = F.when(k % 3 == 0, F.array(F.lit("1-URGENT"), F.lit("O"))).when(k % 3 == 1, F.array(F.lit("F"), F.lit("2-HIGH"), F.lit("P"))).otherwise(F.array().cast("array<string>"))
+    dated = lambda year, rest: F.when(k % 4 > 0, F.to_date(F.concat((year + k % 8).cast("string"), F.lit(rest))))
+    pools = n.select(F.concat(F.lit("pool:n"), k.cast("string")).alias("pool"), F.concat(F.lit("nation:"), k.cast("string")).alias("region"), tags.alias("tags"), dated(F.lit(1992), "-01-01").alias("start"), dated(F.lit(1995), "-06-30").alias("end"), F.when(k % 2 == 0, 400000.0).alias("threshold"), (k * 20000.0).alias("remaining"))
+    wide = t.table(s, d, "region").select(F.concat(F.lit("pool:r"), c("r_regionkey").cast("string")).alias("pool"), F.concat(F.lit("region:"), c("r_regionkey").cast("string")).alias("region"), F.array(F.lit("O")).alias("tags"), F.lit(1000000.0).alias("remaining"))
+    broader = n.select(F.concat(F.lit("nation:"), k.cast("string")).alias("narrow"), F.concat(F.lit("region:"), c("n_regionkey").cast("string")).alias("wide"))
+    return quality.routing(drafts, pools.unionByName(wide, allowMissingColumns=True), broader).withColumn("excludes", F.array_join("excludes", ","))
 
 
 @query("Q20_convergence", "SELECT l_partkey, count(DISTINCT l_suppkey) AS sources, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS stances, count(DISTINCT l_suppkey) >= 2 AS cross_project FROM lineitem GROUP BY 1")
@@ -710,10 +771,11 @@ def dispatch(s: SparkSession, d: str) -> DataFrame:
     return windows.first_per(counts, ["event_type"], [c("batch").desc()]).drop("batch")
 
 
-@query("X9_coalesced")
+@query("X9_coalesced", """WITH g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS events FROM g GROUP BY user_id, k""")
 def coalesced(s: SparkSession, d: str) -> DataFrame:
     e = t.table(s, d, "events").withColumn("ts", c("ts").cast("timestamp"))
-    return X.coalesced(e, "user_id", "ts", "6 hours")
+    return X.coalesced(e, "user_id", "ts", "6 hours").select("user_id", *[c(x).cast("timestamp_ntz").alias(x) for x in ("start", "end")], "events")
 
 
 @query("X12_hourly", "SELECT date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1")
@@ -728,10 +790,11 @@ def incremental(s: SparkSession, d: str) -> DataFrame:
     return X.latest_revisions(e.select("user_id", "event_type", "rev"), "user_id", "rev").select("user_id", "event_type")
 
 
-@query("X14_limiter")
+@query("X14_limiter", """WITH RECURSIVE w(user_id, window_start) AS (SELECT user_id, min(ts) FROM events GROUP BY 1 UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.window_start + INTERVAL 1 HOUR GROUP BY w.user_id)
+    SELECT w.user_id, window_start, count(*) AS requests FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= window_start AND e.ts < window_start + INTERVAL 1 HOUR GROUP BY 1, 2""")
 def limiter(s: SparkSession, d: str) -> DataFrame:
     e = t.table(s, d, "events").withColumn("ts", c("ts").cast("timestamp"))
-    return temporal.fixed_window_counts(e, "user_id", "ts", 3600)
+    return temporal.fixed_window_counts(e, "user_id", "ts", 3600).withColumn("window_start", c("window_start").cast("timestamp_ntz"))
 
 
 @query("X15_trailing_hour", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS trailing FROM events")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import temporal, windows
 from sparkloom.plans.registry import query
+from sparkloom.session import shared_folder
+from sparkloom.sources import sinks
 from sparkloom.sources import tables as t
 from sparkloom.sources.tables import with_
 
@@ -43,10 +45,23 @@ def public_documents(s: SparkSession, d: str) -> DataFrame:
     return t.documents(s, d).where(~F.coalesce("is_private", F.lit(False))).select("rid", "source")
 
 
-@query("S14_subgraph_jsonld", with_("edges", "SELECT subject, predicate, list_sort(list(object)) AS objects FROM edges WHERE predicate <> 'bought' GROUP BY ALL").replace("list_sort(list(object)) AS objects", "array_to_string(list_sort(list(object)), ',') AS objects"))
+@query("S14_subgraph_jsonld", with_("edges", """SELECT subject, concat('{"@context":"https://schema.org/","@id":"', subject, '","links":{', string_agg(concat('"', predicate, '":[', objects, ']'), ',' ORDER BY predicate), '}}') AS document
+    FROM (SELECT subject, predicate, string_agg(concat('"', object, '"'), ',' ORDER BY object) AS objects FROM edges GROUP BY 1, 2) GROUP BY 1"""))
 def subgraph(s: SparkSession, d: str) -> DataFrame:
-    """A subject's edges by predicate, ready for JSON-LD."""
-    return t.edges(s, d).where("predicate != 'bought'").groupBy("subject", "predicate").agg(F.array_join(F.sort_array(F.collect_list("object")), ",").alias("objects"))
+    """A JSON-LD document of each subject's edges."""
+    return sinks.json_ld(t.edges(s, d))
+
+
+@query("S14_document_jsonld", with_("mentions facts entities", """, e AS (SELECT rid, string_agg(concat('{"@id":"', uri, '","@type":"', entity_type, '","name":"', entity_text, '"}'), ',' ORDER BY uri) AS x FROM mentions JOIN entities USING (uri) GROUP BY 1),
+    f AS (SELECT rid, string_agg(concat('{"subject":"', subject, '","predicate":"', predicate, '","object":"', object, '"}'), ',' ORDER BY subject, predicate, object) AS x FROM (SELECT DISTINCT concat('order:', split_part(fact_id, '-', 1)) AS rid, subject, predicate, object FROM facts) GROUP BY 1),
+    m AS (SELECT concat('order:', l_orderkey) AS rid, string_agg(concat('{"kind":"', l_linestatus, '","target":"', l_linenumber, '"}'), ',' ORDER BY l_linestatus, l_linenumber::VARCHAR) AS x FROM (SELECT DISTINCT l_orderkey, l_linestatus, l_linenumber FROM lineitem) GROUP BY 1)
+    SELECT rid, concat('{"@context":"https://schema.org/","@id":"', rid, '","@type":"Document","mentions":[', e.x, '],"facts":[', coalesce(f.x, ''), '],"moves":[', coalesce(m.x, ''), ']}') AS document FROM e LEFT JOIN f USING (rid) LEFT JOIN m USING (rid)"""))
+def document_subgraph(s: SparkSession, d: str) -> DataFrame:
+    """A document's entities, facts and moves as one JSON-LD document: orders, their parts, and their lines' states."""
+    e = t.mentions(s, d).join(t.entities(s, d).select("uri", "entity_type", "entity_text"), "uri")
+    f = t.facts(s, d).select(F.concat(F.lit("order:"), F.substring_index("fact_id", "-", 1)).alias("rid"), "subject", "predicate", "object")
+    m = t.table(s, d, "lineitem").select(F.concat(F.lit("order:"), c("l_orderkey").cast("string")).alias("rid"), c("l_linestatus").alias("kind"), c("l_linenumber").cast("string").alias("target"))
+    return sinks.document_ld(e, f, m)
 
 
 @query("S15_hierarchy_export", with_("edges", """SELECT e.object AS region, count(DISTINCT e.subject) AS nations, count(DISTINCT f.subject) AS members
@@ -59,7 +74,10 @@ def hierarchy(s: SparkSession, d: str) -> DataFrame:
 
 @query("S16_ntriples", with_("edges", "SELECT concat('<urn:', subject, '> <urn:p:', predicate, '> <urn:', object, '> .') AS line FROM edges"))
 def ntriples(s: SparkSession, d: str) -> DataFrame:
-    return t.edges(s, d).select(F.concat(F.lit("<urn:"), "subject", F.lit("> <urn:p:"), "predicate", F.lit("> <urn:"), "object", F.lit("> .")).alias("line"))
+    """Written as N-Triples, read again, and regenerated from what was read."""
+    at = shared_folder(s, "sink")
+    sinks.write_n_triples(t.edges(s, d), at)
+    return sinks.n_triples(sinks.read_n_triples(s, at)).withColumnRenamed("value", "line")
 
 
 @query("S17_upsert", """SELECT key, value FROM (SELECT p_partkey AS key, p_retailprice AS value, 0 AS new FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
@@ -248,14 +266,14 @@ def lateral_top1(s: SparkSession, d: str) -> DataFrame:
     return t.table(s, d, "customer").join(last, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "latest")
 
 
-@query("J8_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("J8_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def not_exists(s: SparkSession, d: str) -> DataFrame:
-    return t.table(s, d, "customer").join(t.table(s, d, "orders"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
+    return t.table(s, d, "customer").join(t.table(s, d, "orders").where("o_orderpriority = '1-URGENT'"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("J9_left_is_null", "SELECT p_partkey FROM part LEFT JOIN lineitem ON p_partkey = l_partkey WHERE l_partkey IS NULL")
+@query("J9_left_is_null", "SELECT p_partkey FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_quantity >= 48 WHERE l_partkey IS NULL")
 def left_is_null(s: SparkSession, d: str) -> DataFrame:
-    return t.table(s, d, "part").join(t.table(s, d, "lineitem"), c("p_partkey") == c("l_partkey"), "left_anti").select("p_partkey")
+    return t.table(s, d, "part").join(t.table(s, d, "lineitem").where("l_quantity >= 48"), c("p_partkey") == c("l_partkey"), "left_anti").select("p_partkey")
 
 
 @query("J10_not_in_list", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (1, 2, 3)")
@@ -268,10 +286,10 @@ def exists(s: SparkSession, d: str) -> DataFrame:
     return t.table(s, d, "supplier").join(t.table(s, d, "lineitem").where("l_returnflag = 'R'"), c("l_suppkey") == c("s_suppkey"), "left_semi").select("s_suppkey")
 
 
-@query("J12_two_hops", with_("edges", "SELECT DISTINCT a.subject AS person, b.object AS supplier FROM edges a JOIN edges b ON b.subject = a.object WHERE a.predicate = 'bought' AND b.predicate = 'supplied_by' AND a.confidence >= 0.99"))
+@query("J12_two_hops", with_("edges", "SELECT DISTINCT a.subject AS person, b.object AS supplier FROM edges a JOIN edges b ON b.subject = a.object WHERE a.predicate = 'bought' AND b.predicate = 'supplied_by'"))
 def two_hops(s: SparkSession, d: str) -> DataFrame:
     e = t.edges(s, d)
-    a = e.where("predicate = 'bought' AND confidence >= 0.99").select(c("subject").alias("person"), c("object").alias("mid"))
+    a = e.where("predicate = 'bought'").select(c("subject").alias("person"), c("object").alias("mid"))
     b = e.where("predicate = 'supplied_by'").select(c("subject").alias("mid"), c("object").alias("supplier"))
     return a.join(b, "mid").select("person", "supplier").distinct()
 
@@ -284,12 +302,12 @@ def cooccurrence(s: SparkSession, d: str) -> DataFrame:
     return pairs.where("n >= 2").select("a", "b", F.least(0.05 * c("n"), F.lit(0.15)).alias("score"))
 
 
-@query("J14_matching", """WITH want AS (SELECT o_custkey AS who, l_partkey AS asset, min(o_orderpriority) AS priority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N' AND l_quantity >= 48 GROUP BY 1, 2),
-    offer AS (SELECT o_custkey AS who, l_partkey AS asset, min(o_orderpriority) AS priority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 48 GROUP BY 1, 2)
+@query("J14_matching", """WITH want AS (SELECT o_custkey AS who, l_partkey AS asset, min(o_orderpriority) AS priority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N' GROUP BY 1, 2),
+    offer AS (SELECT o_custkey AS who, l_partkey AS asset, min(o_orderpriority) AS priority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1, 2)
     SELECT w.who AS wanter, o.who AS offerer, w.asset, least(w.priority, o.priority) AS score FROM want w JOIN offer o ON w.asset = o.asset AND w.who <> o.who""")
 def matching(s: SparkSession, d: str) -> DataFrame:
     """Offers and wants of one asset: an equi-join instead of a loop over pairs."""
-    j = t.table(s, d, "lineitem").join(t.table(s, d, "orders"), c("l_orderkey") == c("o_orderkey")).where("l_quantity >= 48")
+    j = t.table(s, d, "lineitem").join(t.table(s, d, "orders"), c("l_orderkey") == c("o_orderkey"))
     side = lambda flag, who: j.where(c("l_returnflag") == flag).groupBy(c("o_custkey").alias(who), c("l_partkey").alias("asset")).agg(F.min("o_orderpriority").alias(f"p_{who}"))
     return side("N", "wanter").join(side("R", "offerer"), "asset").where("wanter != offerer").select("wanter", "offerer", "asset", F.least("p_wanter", "p_offerer").alias("score"))
 
@@ -646,9 +664,9 @@ def sparql_union(s: SparkSession, d: str) -> DataFrame:
     return sparql(e, [("?s", "located_in", "?o")]).select("s").unionByName(sparql(e, [("?s", "part_of", "?o")]).select("s")).distinct()
 
 
-@query("U4_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem")
+@query("U4_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount >= 0.1")
 def difference(s: SparkSession, d: str) -> DataFrame:
-    return t.table(s, d, "part").select("p_partkey").join(t.table(s, d, "lineitem"), c("p_partkey") == c("l_partkey"), "left_anti").distinct()
+    return t.table(s, d, "part").select("p_partkey").join(t.table(s, d, "lineitem").where("l_discount >= 0.1"), c("p_partkey") == c("l_partkey"), "left_anti").distinct()
 
 
 @query("U5_overlap", "SELECT p_partkey, len(list_intersect(string_split(p_name, ' '), ['part', 'green', 'red'])) AS n FROM part")

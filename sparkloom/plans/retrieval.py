@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
 from sparkloom.operators import fts, fusion, graph, resolve, windows
 from sparkloom.plans.registry import query
+from sparkloom.session import cut
 from sparkloom.sources import tables as t
 from sparkloom.sources.tables import with_
 
@@ -36,10 +40,16 @@ def entity_name(s: SparkSession, d: str) -> DataFrame:
     return t.entities(s, d).where("entity_type = 'Person'").select("uri", T.normalize_entity_name(F.concat(F.lit("@The "), F.replace("entity_text", F.lit("#"), F.lit(" ")), F.lit(", Inc. | RND"))).alias("name"))
 
 
-@query("C4_jaro_winkler")
+def _jw(a: str, b: str) -> str:
+    """SQL of Jaro-Winkler with the prefix boost always applied."""
+    same = f"CASE WHEN left({a}, 4) = left({b}, 4) THEN least(4, length({a}), length({b})) WHEN left({a}, 3) = left({b}, 3) THEN 3 WHEN left({a}, 2) = left({b}, 2) THEN 2 WHEN left({a}, 1) = left({b}, 1) THEN 1 ELSE 0 END"
+    return f"(jaro_similarity({a}, {b}) + 0.1 * ({same}) * (1 - jaro_similarity({a}, {b})))"
+
+
+@query("C4_jaro_winkler", f"SELECT n_name, round({_jw('lower(n_name)', repr('united states'))}, 9) AS score FROM nation")
 def jaro_winkler(s: SparkSession, d: str) -> DataFrame:
     n = t.table(s, d, "nation")
-    return n.select("n_name", T.jaro_winkler(F.lower("n_name"), F.lit("united states")).alias("score"))
+    return n.select("n_name", F.round(T.jaro_winkler(F.lower("n_name"), F.lit("united states")), 9).alias("score"))
 
 
 @query("C5_token_sort_ratio")
@@ -53,35 +63,83 @@ def token_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def _nation_pairs(s: SparkSession, d: str) -> DataFrame:
-    """Nations of one region, as pairs of names: five a region."""
-    n = t.table(s, d, "nation").select("n_regionkey", F.lower("n_name").alias("a"))
-    return n.join(n.withColumnRenamed("a", "b"), "n_regionkey").where("a < b")
+    """Nations of one region, as pairs of names of several shapes: five a region."""
+    n = t.table(s, d, "nation").select(c("n_regionkey").alias("r"), F.lower("n_name").alias("a"))
+    return n.join(n.withColumnRenamed("a", "b"), "r").where("a < b")
+
+
+PAIRS = "pairs AS (SELECT m.n_regionkey AS r, lower(m.n_name) AS a, lower(n.n_name) AS b FROM nation m JOIN nation n ON m.n_regionkey = n.n_regionkey AND lower(m.n_name) < lower(n.n_name))"
+GENERIC = "[" + ", ".join(repr(x) for x in T.GENERIC_TOKENS) + "]"
+
+
+def _sql_words(x: str) -> str:
+    return f"list_filter(string_split(lower({x}), ' '), lambda z: z <> '')"
+
+
+def _sql_distinctive(x: str, y: str) -> str:
+    """SQL of distinctive_check."""
+    dx, dy = (f"list_filter(list_distinct({_sql_words(z)}), lambda z: NOT list_contains({GENERIC}, z))" for z in (x, y))
+    shared = f"len(list_intersect({dx}, {dy}))"
+    return f"(CASE WHEN len({dx}) = 0 OR len({dy}) = 0 THEN true WHEN {shared} = 0 THEN false WHEN len({dx}) <> len({dy}) AND {shared} = least(len({dx}), len({dy})) THEN {_jw(f'lower({x})', f'lower({y})')} >= 0.97 ELSE true END)"
+
+
+def _sql_guard(x: str, y: str) -> str:
+    """SQL of person_guard."""
+    wx, wy = _sql_words(x), _sql_words(y)
+    return f"(CASE WHEN len({wx}) = 0 OR len({wy}) = 0 THEN false WHEN (len({wx}) >= 2) <> (len({wy}) >= 2) THEN false WHEN len({wx}) < 2 THEN true ELSE {_jw(f'{wx}[1]', f'{wy}[1]')} >= 0.85 AND {_jw(f'{wx}[-1]', f'{wy}[-1]')} >= 0.85 END)"
+
+
+def _sql_policy(x: str, y: str, kind: str) -> str:
+    """SQL of strict_policy; no name starts with a date."""
+    wx, wy = _sql_words(x), _sql_words(y)
+    longer, shorter = (f"CASE WHEN length({x}) {op} length({y}) THEN lower({x}) ELSE lower({y}) END" for op in (">=", "<"))
+    single = f"({_jw(f'lower({x})', f'lower({y})')} >= 0.95 AND NOT (starts_with({longer}, {shorter}) AND abs(length({x}) - length({y})) >= 2))"
+    n, short = f"len(list_intersect({wx}, {wy}))", f"least(len(list_distinct({wx})), len(list_distinct({wy})))"
+    org = f"{kind} IN ('Organization', 'Project', 'Concept')"
+    many = f"CASE WHEN {org} AND NOT {_sql_distinctive(x, y)} THEN false WHEN {org} THEN {n} / {short} >= 0.5 AND {n} >= 2 WHEN {kind} = 'Person' THEN {_sql_guard(x, y)} ELSE NOT (len({wx}) = 2 AND len({wy}) = 2) OR {_jw(f'{wx}[-1]', f'{wy}[-1]')} >= 0.75 END"
+    return f"(CASE WHEN len({wx}) = 1 OR len({wy}) = 1 THEN {single} ELSE {many} END)"
+
+
+#: Shapes of the two names of a pair, by region: as (prefix, suffix) and the kind of name.
+SHAPES = [("university of ", " press", "institute ", " press", "Organization"), ("", "", "", "", "Location"), ("ana ", "", "anna ", "", "Person"), ("lab ", "", "lab ", " group north", "Project"), ("north ", "", "old ", "", "Location")]
 
 
-@query("C7_distinctive_check")
+def _shaped(s: SparkSession, d: str) -> DataFrame:
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in SHAPES]), c("r") + 1)
+    p = _nation_pairs(s, d)
+    return p.select(F.concat(pick(0), "a", pick(1)).alias("x"), F.concat(pick(2), F.when((c("r") == 0) & F.endswith("a", F.lit("0")), c("a")).otherwise(c("b")), pick(3)).alias("y"), pick(4).alias("kind"))
+
+
+def _shaped_sql(ok: str) -> str:
+    pick = lambda k: "([" + ", ".join(repr(x[k]) for x in SHAPES) + "])[r + 1]"
+    return f"WITH {PAIRS}, shaped AS (SELECT concat({pick(0)}, a, {pick(1)}) AS x, concat({pick(2)}, CASE WHEN r = 0 AND ends_with(a, '0') THEN a ELSE b END, {pick(3)}) AS y, {pick(4)} AS kind FROM pairs) SELECT x, y, kind, {ok} AS ok FROM shaped"
+
+
+@query("C7_distinctive_check", _shaped_sql(_sql_distinctive("x", "y")))
 def distinctive_check(s: SparkSession, d: str) -> DataFrame:
-    return _nation_pairs(s, d).select("a", "b", T.distinctive_check(F.concat(F.lit("university of "), "a"), F.concat(F.lit("university of "), "b")).alias("ok"))
+    return _shaped(s, d).withColumn("ok", T.distinctive_check(c("x"), c("y")))
 
 
-@query("C8_person_guard")
+@query("C8_person_guard", _shaped_sql(_sql_guard("x", "y")))
 def person_guard(s: SparkSession, d: str) -> DataFrame:
-    return _nation_pairs(s, d).select("a", "b", T.person_guard(F.concat(F.lit("ana "), "a"), F.concat(F.lit("ana "), "b")).alias("ok"))
+    return _shaped(s, d).withColumn("ok", T.person_guard(c("x"), c("y")))
 
 
-@query("C9_strict_policy")
+@query("C9_strict_policy", _shaped_sql(_sql_policy("x", "y", "kind")))
 def strict_policy(s: SparkSession, d: str) -> DataFrame:
-    return _nation_pairs(s, d).select("a", "b", T.strict_policy(c("a"), c("b"), F.lit("Location")).alias("ok"))
+    return _shaped(s, d).withColumn("ok", T.strict_policy(c("x"), c("y"), c("kind")))
 
 
-@query("C10_semantic_guard")
+@query("C10_semantic_guard", _shaped_sql(f"(CASE WHEN kind = 'Person' THEN {_sql_guard('x', 'y')} ELSE true END) AND (CASE WHEN len({_sql_words('x')}) >= 2 AND len({_sql_words('y')}) >= 2 THEN {_sql_policy('x', 'y', 'kind')} ELSE true END) AND (CASE WHEN len({_sql_words('x')}) <= 2 OR length(x) < 12 THEN length(y) / 20.0 >= 0.95 ELSE length(y) / 20.0 >= 0.92 END)"))
 def semantic_guard(s: SparkSession, d: str) -> DataFrame:
-    policy = T.strict_policy(c("a"), c("b"), F.lit("Person"))
-    return _nation_pairs(s, d).select("a", "b", T.semantic_guard(c("a"), c("b"), F.lit("Person"), F.lit(0.95), F.lit(0.92), policy).alias("ok"))
+    """The similarity is made up from the second name's length, so that both margins matter."""
+    p = _shaped(s, d)
+    return p.withColumn("ok", T.semantic_guard(c("x"), c("y"), c("kind"), F.length("y") / 20.0, F.lit(0.92), T.strict_policy(c("x"), c("y"), c("kind"))))
 
 
 @query("C11_phonetic")
 def phonetic(s: SparkSession, d: str) -> DataFrame:
-    return t.table(s, d, "nation").select("n_name", T.phonetic(c("n_name")).alias("code"))
+    return t.table(s, d, "part").select("p_partkey", "p_name", T.phonetic(c("p_name")).alias("code"))
 
 
 @query("C12_leading_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
@@ -94,10 +152,10 @@ def query_variants(s: SparkSession, d: str) -> DataFrame:
     return t.entities(s, d).where("entity_type = 'Organization'").select("uri", F.array_join(T.query_variants(F.concat(F.lit("The $"), "entity_text", F.lit(" token"))), "|").alias("variants"))
 
 
-@query("C14_ngram_patterns", "SELECT p_partkey, len(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9_ ]', ' ', 'g'), ' '), lambda x: length(x) >= 3))::INTEGER AS words FROM part")
+@query("C14_ngram_patterns", """WITH w AS (SELECT p_partkey, list_filter(string_split(regexp_replace(lower(concat(p_name, ' ', p_type)), '[^a-z0-9_ ]', ' ', 'g'), ' '), lambda x: length(x) >= 3) AS ws FROM part)
+    SELECT p_partkey, array_to_string(list_concat(ws, list_concat(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' ')), list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')))), '|') AS patterns FROM w""")
 def ngram_patterns(s: SparkSession, d: str) -> DataFrame:
-    grams = T.ngram_patterns(c("p_name"))
-    return t.table(s, d, "part").select("p_partkey", F.size(F.filter(grams, lambda g: ~F.contains(g, F.lit(" ")))).alias("words"))
+    return t.table(s, d, "part").select("p_partkey", F.array_join(T.ngram_patterns(F.concat_ws(" ", "p_name", "p_type")), "|").alias("patterns"))
 
 
 @query("C15_alias_expansion", "SELECT n_name, coalesce(canonical, n_name) AS canonical FROM nation LEFT JOIN (VALUES ('UNITED STATES', 'USA'), ('UNITED KINGDOM', 'UK')) v(a, canonical) ON a = n_name")
@@ -116,9 +174,12 @@ def base_rid(s: SparkSession, d: str) -> DataFrame:
     return t.documents(s, d).select("rid", T.base_rid(F.concat("rid", F.lit("#chunk12"))).alias("base"))
 
 
-@query("C18_rid_type", "SELECT p_partkey, 'TaskItem' AS kind FROM part")
+@query("C18_rid_type", with_("entities", "SELECT uri, CASE WHEN entity_type = 'Location' THEN NULL WHEN occurrence_count % 2 = 0 THEN entity_type ELSE concat(entity_type, 'CardFile') END AS kind FROM entities"))
 def rid_type(s: SparkSession, d: str) -> DataFrame:
-    return t.table(s, d, "part").select("p_partkey", T.rid_type(F.concat(F.lit("orn:koi.task-item:"), c("p_partkey").cast("string"))).alias("kind"))
+    """Plain and dotted namespaces, with parts to be capitalised, and identifiers without a namespace."""
+    kind, key = F.lower("entity_type"), F.substring_index("uri", ":", -1)
+    rid = F.when(c("entity_type") == "Location", F.concat(F.lit("no namespace "), key)).when(c("occurrence_count") % 2 == 0, F.concat(kind, F.lit(":"), key)).otherwise(F.concat(F.lit("orn:some.space."), kind, F.lit("-card_file:"), key))
+    return t.entities(s, d).select("uri", T.rid_type(rid).alias("kind"))
 
 
 @query("C19_canonical_predicate", with_("edges", "SELECT DISTINCT predicate, CASE predicate WHEN 'bought' THEN 'purchased' WHEN 'located_in' THEN 'located_in' ELSE 'related_to' END AS canonical FROM edges"))
@@ -143,9 +204,12 @@ def canonical_url(s: SparkSession, d: str) -> DataFrame:
     return t.table(s, d, "pages").select("page_id", T.canonical_url(c("url")).alias("url"))
 
 
-@query("C23_source_url", "SELECT page_id, url FROM pages")
+@query("C23_source_url", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('https://x.org/', page_id) WHEN 2 THEN concat('https://arxiv.org/abs/2401.', lpad((page_id % 100000)::VARCHAR, 5, '0')) END AS url FROM pages")
 def source_url(s: SparkSession, d: str) -> DataFrame:
-    return t.table(s, d, "pages").select("page_id", T.source_url(F.concat(F.lit("web:"), c("page_id").cast("string")), c("url")).alias("url"))
+    """A page's own URL, one that its identifier spells out, an archive's number, or nothing."""
+    key, kind = c("page_id").cast("string"), c("page_id") % 4
+    rid = F.when(kind == 1, F.concat(F.lit("web:https://x.org/"), key)).when(kind == 2, F.concat(F.lit("paper:arxiv:2401."), F.lpad((c("page_id") % 100000).cast("string"), 5, "0"))).otherwise(F.concat(F.lit("note:"), key))
+    return t.table(s, d, "pages").select("page_id", T.source_url(rid, F.when(kind == 0, c("url")).otherwise(F.lit("urn:none"))).alias("url"))
 
 
 @query("C24_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
@@ -233,7 +297,7 @@ def match_and(s: SparkSession, d: str) -> DataFrame:
 
 @query("FT3_prefix", f"WITH {TOKENS} SELECT doc_id, sum(tf)::BIGINT AS score FROM p WHERE (t LIKE 'thing%' OR t LIKE 'ered%') AND t NOT IN ({', '.join(repr(w) for w in fts.STOP)}) GROUP BY 1 HAVING max(t LIKE 'thing%') AND max(t LIKE 'ered%')")
 def match_prefix(s: SparkSession, d: str) -> DataFrame:
-    return fts.match_prefixes(fts.build_index(_docs(s, d), "doc_id", c("text")), TERMS)
+    return fts.match_prefixes(fts.scan(_docs(s, d), "doc_id", c("text"), TERMS, prefixes=True), TERMS)
 
 
 @query("FT4_or", f"WITH {TOKENS} SELECT doc_id, sum(tf)::BIGINT AS score FROM p WHERE t IN ('thing', 'ered') GROUP BY 1")
@@ -241,9 +305,11 @@ def match_or(s: SparkSession, d: str) -> DataFrame:
     return fts.match_any(fts.scan(_docs(s, d), "doc_id", c("text"), TERMS), TERMS)
 
 
-@query("FT5_cover_density")
+@query("FT5_cover_density", """WITH o AS (SELECT doc_id, unnest(ts) AS t, unnest(range(len(ts))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ts FROM documents)),
+    l AS (SELECT doc_id, pos, max(CASE WHEN t = 'ered' THEN pos END) OVER w AS a, max(CASE WHEN t = 'thing' THEN pos END) OVER w AS b FROM o WHERE t IN ('thing', 'ered') WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+    SELECT doc_id, round(sum(1.0::DOUBLE / (e - f + 1)), 9) AS score FROM (SELECT doc_id, least(a, b) AS f, min(pos) AS e FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2) GROUP BY 1""")
 def cover_density(s: SparkSession, d: str) -> DataFrame:
-    return fts.cover_density(fts.scan(_docs(s, d), "doc_id", c("text"), TERMS), TERMS)
+    return fts.cover_density(fts.scan(_docs(s, d), "doc_id", c("text"), TERMS), TERMS).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query("FT5_bm25", f"""WITH {TOKENS}, st AS (SELECT count(*) AS n, avg(len(ts)) AS m FROM tok), df AS (SELECT t, count(*) AS df FROM p WHERE t IN ('thing', 'ered') GROUP BY 1)
@@ -258,9 +324,11 @@ def frequency_rank(s: SparkSession, d: str) -> DataFrame:
     return fts.match_any(fts.scan(_docs(s, d), "doc_id", c("text"), ["thing"]), ["thing"]).select("doc_id", F.round(F.log1p("score"), 6).alias("score"))
 
 
-@query("FT7_strict_relaxed")
+@query("FT7_strict_relaxed", f"""WITH {TOKENS}, hit AS (SELECT doc_id, sum(tf) FILTER (WHERE t IN ('thing', 'ered'))::BIGINT AS score, count(*) FILTER (WHERE t IN ('thing', 'ered')) AS n, max(starts_with(t, 'thing')) AND max(starts_with(t, 'ered')) AS each_one
+    FROM p WHERE (starts_with(t, 'thing') OR starts_with(t, 'ered')) AND t NOT IN ({', '.join(repr(w) for w in fts.STOP)}) GROUP BY 1), m AS (SELECT doc_id, score, CASE WHEN n = 2 THEN 'strict' ELSE 'relaxed' END AS match_type FROM hit WHERE n = 2 OR (n > 0 AND each_one))
+    SELECT * FROM (SELECT doc_id, score, match_type, row_number() OVER (ORDER BY match_type DESC, score DESC, doc_id) AS rank FROM m) WHERE rank <= 50""")
 def strict_relaxed(s: SparkSession, d: str) -> DataFrame:
-    return fts.strict_and_relaxed(fts.build_index(_docs(s, d), "doc_id", c("text")), TERMS, 50)
+    return fts.strict_and_relaxed(fts.scan(_docs(s, d), "doc_id", c("text"), TERMS, prefixes=True), TERMS, 50)
 
 
 @query("FT8_ilike_fallback", "SELECT doc_id, 0.5::DOUBLE AS score FROM documents WHERE contains(lower(text), 'thing the') ORDER BY doc_id LIMIT 20")
@@ -298,11 +366,12 @@ def top_k(s: SparkSession, d: str) -> DataFrame:
     return vector_leg(s, d).select(c("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
-@query("L2_batch_top_k", with_("vecs", """SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding, q.embedding) DESC, v.vec_id) AS rank FROM vecs v, vecs q WHERE q.label = 1) WHERE rank <= 1"""))
+@query("L2_batch_top_k", with_("vecs", """SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding, q.embedding), 9) DESC, v.vec_id) AS rank FROM vecs v JOIN vecs q ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10"""))
 def batch_top_k(s: SparkSession, d: str) -> DataFrame:
-    """All vectors of one label as queries, against all vectors. The nearest is the query itself."""
+    """Every fiftieth vector as a query, against all vectors but itself."""
     v = t.vectors(s, d)
-    return V.batch_top_k(v, v.where("label = 1").select("vec_id", "embedding"), 1).select("query_id", "id", "rank")
+    near = V.batch_top_k(v, v.where("vec_id % 50 = 0").select("vec_id", "embedding"), 11).where("query_id != id")
+    return windows.top_k_per(near, ["query_id"], [F.round("score", 9).desc(), c("id")], 10, "rank").select("query_id", "id", "rank")
 
 
 @query("L3_overfetch_dedup", with_("vecs", f"SELECT label, arg_max(id, struct_pack(s := score, i := -id)) AS id FROM (WITH {VECTOR_LEG} SELECT * FROM v) JOIN vecs ON vec_id = id GROUP BY 1"))
@@ -521,32 +590,109 @@ def structured_sql(s: SparkSession, d: str) -> DataFrame:
     return t.table(s, d, "orders").where("o_orderstatus = 'O' AND o_orderpriority = '2-HIGH'").orderBy(c("o_totalprice").desc(), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
-DEPTHS = {"shallow": ("entity_lookup",), "standard": ("entity_lookup", "text_search"), "deep": ("entity_lookup", "text_search", "graph")}
+@dataclass(frozen=True)
+class Step:
+    """One retrieval step: an operation, its budget of rows and its parameters."""
 
+    op: str
+    budget: int
+    params: tuple[tuple[str, object], ...] = ()
 
-def plan_steps(kind: str) -> tuple[str, ...]:
-    """Steps of a retrieval plan by the kind of question."""
-    return DEPTHS["deep" if kind == "multi_entity" else "standard" if kind == "question" else "shallow"]
+    def param(self, name: str, default: object) -> object:
+        return dict(self.params).get(name, default)
+
+
+#: Steps by kind of question, with budgets and parameters.
+MATRIX: dict[str, tuple[Step, ...]] = {
+    "entity_definition": (Step("entity_lookup", 5), Step("text_search", 20, (("top_k", 8),))),
+    "relationship_path": (Step("entity_lookup", 3), Step("text_search", 20, (("multi_query", True), ("top_k", 8)))),
+    "governance_policy": (Step("text_search", 20, (("multi_query", True), ("top_k", 12))), Step("entity_lookup", 8), Step("relationship_traverse", 30, (("max_hops", 1),))),
+    "roadmap_status": (Step("entity_lookup", 5), Step("structured_sql", 15), Step("text_search", 15, (("top_k", 6),))),
+    "commitment_claim": (Step("entity_lookup", 3), Step("text_search", 20, (("multi_query", True), ("top_k", 8)))),
+    "out_of_domain": (),
+}
 
 
-def execute_plan(s: SparkSession, d: str, steps: tuple[str, ...], budget: int = 20) -> DataFrame:
-    """retrieval_op, id, score: the evidence of each step, at most budget rows a step."""
-    run: dict[str, Callable[[], DataFrame]] = {
-        "entity_lookup": lambda: entity_lookup(s, d).select(c("uri").alias("id"), F.lit(1.0).alias("score")),
-        "text_search": lambda: text_leg(s, d, budget).select(c("id").cast("string").alias("id"), c("score").cast("double").alias("score")),
-        "graph": lambda: graph_context(s, d).select(F.concat_ws(" ", "subject", "predicate", "object").alias("id"), F.lit(0.5).alias("score")),
+def plan_steps(kind: str, depth: str = "standard") -> tuple[Step, ...]:
+    """Steps of a retrieval plan by the kind of question; a shallow one only looks entities up, a deep one searches with
+    variants of the query and has half as much budget again. An unknown kind has no steps: no answer is given."""
+    steps = MATRIX.get(kind, ())
+    if depth == "shallow":
+        return tuple(x for x in steps if x.op == "entity_lookup")
+    if depth == "deep":
+        return tuple(replace(x, budget=math.ceil(x.budget * 1.5), params=(*x.params, ("multi_query", True)) if x.op == "text_search" else x.params) for x in steps)
+    return steps
+
+
+Evidence = Callable[[Step, list[str]], DataFrame]
+
+
+def execute_plan(spark: SparkSession, steps: Sequence[Step], run: dict[str, Evidence], *, max_steps: int = 10, timeout_s: float = 600.0, clock: Callable[[], float] = time.monotonic) -> tuple[DataFrame, list[dict[str, object]]]:
+    """(evidence, traces): step, retrieval_op, id, score of each step, at most its budget of rows; and for each step that ran its
+    index, op, number of results and error.
+
+    A plan halts before the step beyond max_steps or behind the time limit. A step that fails leaves an error in its trace and
+    no evidence. Entities that look-ups find (as many as their budgets) are given to the steps behind.
+    """
+    evidence, traces, entities = spark.createDataFrame([], "step int, retrieval_op string, id string, score double"), [], []
+    begun = clock()
+    for k, step in enumerate(steps):
+        if k >= max_steps or clock() - begun >= timeout_s:
+            break
+        n, error = 0, None
+        try:
+            if step.op not in run:
+                raise ValueError(f"no way to run {step.op}")
+            found = run[step.op](step, entities).orderBy(c("score").desc(), "id").limit(step.budget)
+            found = cut(found.select(F.lit(k).alias("step"), F.lit(step.op).alias("retrieval_op"), c("id").cast("string").alias("id"), c("score").cast("double").alias("score")), "evidence")
+            n = found.count()
+            if step.op == "entity_lookup":
+                entities = [*entities, *[r["id"] for r in found.select("id").orderBy("id").collect()]]  # the step's budget bounds them
+            evidence = evidence.unionByName(found)
+        except Exception as e:  # noqa: BLE001
+            error = str(e).split("\n")[0]
+        traces.append({"step": k, "op": step.op, "results": n, "error": error})
+    return evidence, traces
+
+
+def _evidence(s: SparkSession, d: str) -> dict[str, Evidence]:
+    def traverse(step: Step, uris: list[str]) -> DataFrame:
+        e = t.edges(s, d).where(c("subject").isin(uris) | c("object").isin(uris))
+        return e.select(F.concat_ws(" ", "subject", "predicate", "object").alias("id"), c("confidence").alias("score"))
+
+    def text(step: Step, uris: list[str]) -> DataFrame:
+        legs = {"q": text_leg(s, d, int(step.param("top_k", 8)))}
+        if step.param("multi_query", False):
+            one = fts.match_all(fts.scan(_docs(s, d), "doc_id", c("text"), ["thing"]), ["thing"]).withColumnRenamed("doc_id", "id")
+            legs["variant"] = windows.ranked(one, [c("score").desc(), c("id")], int(step.param("top_k", 8)))
+        return fusion.fuse_rrf(legs).select(c("id").cast("string").alias("id"), F.round("score", 9).alias("score"))
+
+    return {
+        "entity_lookup": lambda step, uris: entity_lookup(s, d).select(c("uri").alias("id"), F.lit(1.0).alias("score")),
+        "text_search": text,
+        "relationship_traverse": traverse,
+        "structured_sql": lambda step, uris: structured_sql(s, d).select(c("o_orderkey").cast("string").alias("id"), c("o_totalprice").alias("score")),
     }
-    out = None
-    for step in steps:
-        part = run[step]().limit(budget).withColumn("retrieval_op", F.lit(step))
-        out = part if out is None else out.unionByName(part)
-    assert out is not None
-    return out
 
 
-@query("R27_plan")
+PLAN_SQL = with_("entities edges", f"""SELECT * FROM (WITH {TOKENS}, b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY sum(tf) DESC, doc_id) AS rank FROM p WHERE t IN ('thing', 'ered') GROUP BY 1 HAVING count(*) = 2 QUALIFY rank <= 12),
+    b2 AS (SELECT doc_id AS id, row_number() OVER (ORDER BY sum(tf) DESC, doc_id) AS rank FROM p WHERE t = 'thing' GROUP BY 1 QUALIFY rank <= 12),
+    s0 AS (SELECT id::VARCHAR AS id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM b2) GROUP BY id ORDER BY score DESC, id LIMIT 20),
+    look AS (SELECT uri FROM entities WHERE entity_type <> 'Product' AND NOT node_private AND contains(normalized_text, 'nation_1') ORDER BY occurrence_count DESC, uri LIMIT 25),
+    s1 AS (SELECT uri AS id, 1.0::DOUBLE AS score FROM look ORDER BY id LIMIT 8),
+    s2 AS (SELECT concat(subject, ' ', predicate, ' ', object) AS id, confidence::DOUBLE AS score FROM edges WHERE subject IN (SELECT id FROM s1) OR object IN (SELECT id FROM s1) ORDER BY score DESC, id LIMIT 30)
+    SELECT 0 AS step, 'text_search' AS retrieval_op, id, score FROM s0 UNION ALL SELECT 1, 'entity_lookup', id, score FROM s1 UNION ALL SELECT 2, 'relationship_traverse', id, score FROM s2)""")
+
+
+@query("R27_plan", PLAN_SQL)
 def plan(s: SparkSession, d: str) -> DataFrame:
-    return execute_plan(s, d, plan_steps("multi_entity"))
+    return execute_plan(s, plan_steps("governance_policy"), _evidence(s, d))[0]
+
+
+@query("R27_traces", PLAN_SQL.replace("SELECT * FROM (WITH", "SELECT step, retrieval_op AS op, count(*) AS results FROM (WITH", 1) + " GROUP BY 1, 2")
+def plan_traces(s: SparkSession, d: str) -> DataFrame:
+    traces = execute_plan(s, plan_steps("governance_policy"), _evidence(s, d))[1]
+    return s.createDataFrame([(x["step"], x["op"], x["results"]) for x in traces], "step int, op string, results long")
 
 
 @query("R28_session_search", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND text ILIKE '%the%' ORDER BY conv_id, turn LIMIT 40")
@@ -571,12 +717,11 @@ def contextual(s: SparkSession, d: str) -> DataFrame:
     """Parts beside one part in orders, scored by name, sound and shared orders."""
     m = t.mentions(s, d)
     near = m.where("uri = 'part:11'").select("rid").join(m, "rid").where("uri != 'part:11'").groupBy("uri").agg(F.countDistinct("rid").alias("docs"))
-    named = near.join(t.entities(s, d).select("uri", "normalized_text"), "uri").withColumn("q", F.lit("part 11"))
-    score = 0.5 * T.jaro_winkler(c("q"), c("normalized_text")) + 0.2 * F.when(T.phonetic(c("q")) == T.phonetic(c("normalized_text")), 1.0).otherwise(0.0) + 0.3 * F.least(c("docs") / 3, F.lit(1.0))
-    return named.select("uri", F.least(score, F.lit(1.0)).alias("score"))
+    named = near.join(t.entities(s, d).select("uri", "normalized_text"), "uri").withColumn("q", F.lit("red widget"))
+    return named.select("uri", resolve.contextual_score(c("q"), c("normalized_text"), c("docs"))[0].alias("score"))
 
 
-@query("R32_discourse_candidates")
+@query("R32_discourse_candidates", with_("vecs", f"SELECT * FROM (WITH {TOKENS}, {VECTOR_LEG}, {TEXT_LEG}, f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT id, rank FROM v UNION ALL SELECT id, rank FROM b) GROUP BY 1), n AS (SELECT id, source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rn FROM f JOIN documents ON doc_id = id) SELECT id, source, round(score, 8) AS score FROM n WHERE rn <= 2 ORDER BY n.score DESC, id LIMIT 20)"))
 def discourse_candidates(s: SparkSession, d: str) -> DataFrame:
     both = fusion.fuse_rrf({"semantic": vector_leg(s, d), "lexical": text_leg(s, d)})
     named = both.join(t.table(s, d, "documents").select(c("doc_id").alias("id"), "source"), "id")
@@ -591,7 +736,9 @@ def vector_pairs(s: SparkSession, d: str) -> DataFrame:
 
     v = t.vectors(s, d)
     block = 512
-    dealt = v.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    # As many tiles a side as keep one to some 4,096 vectors, whatever a label's size; labels are counted, a row each.
+    n = v.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / 2048).cast("int").alias("n_tiles"))
+    dealt = v.join(F.broadcast(n), "label").withColumn("own", F.pmod(F.xxhash64("vec_id"), c("n_tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), c("n_tiles") - 1))).drop("n_tiles")
     tiles = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:

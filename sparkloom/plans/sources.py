@@ -21,13 +21,16 @@ def feed(s: SparkSession, d: str) -> DataFrame:
     return readers.feed_items(t.table(s, d, "part").select("p_partkey", xml.alias("xml")), "xml", ("p_partkey",)).select("p_partkey", "link", "title")
 
 
-@query("S7_code_files", "SELECT n_nationkey, 'python' AS language FROM nation")
+@query("S7_code_files", "SELECT p_partkey, (['python', 'sql', 'go'])[p_partkey % 3 + 1] AS language FROM part")
 def code(s: SparkSession, d: str) -> DataFrame:
-    """Nations' keys as code files, written and read again as a tree."""
+    """Parts' keys as a tree of code files in three languages, read, hashed and cut into chunks: the keys found in these."""
     at = shared_folder(s, "sink")
-    t.table(s, d, "nation").select(F.concat(F.lit("x = "), c("n_nationkey").cast("string")).alias("value")).write.text(at)
-    files = s.read.text(at).select(F.regexp_extract("value", r"x = (\d+)", 1).cast("int").alias("n_nationkey"))
-    return files.withColumn("language", F.lit(readers.LANGUAGES["py"]))
+    line = F.concat(F.lit("part_"), c("p_partkey").cast("string"), F.lit(" = "), c("p_size").cast("string"), F.lit(";"))
+    for k, suffix in enumerate(("py", "sql", "go")):
+        t.table(s, d, "part").where(c("p_partkey") % 3 == k).select(line.alias("value")).write.option("extension", suffix).option("quoteAll", "false").csv(f"{at}/{suffix}")
+    chunks = readers.code_chunks(readers.code_files(s, at))
+    keys = F.explode(F.transform(F.regexp_extract_all("chunk", F.lit(r"part_(\d+) = \d+;"), F.lit(1)), lambda x: x.cast("long")))
+    return chunks.select(keys.alias("p_partkey"), "language").distinct()
 
 
 @query("S8_wiki", "SELECT n_nationkey, concat('In ', r_name, '.') AS plain, NULL::VARCHAR AS redirect FROM nation JOIN region ON n_regionkey = r_regionkey")

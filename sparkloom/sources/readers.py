@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions import chunks as K
 from sparkloom.functions import text as T
 
 #: Suffixes of code files and their languages.
@@ -22,12 +23,18 @@ def feed_items(feeds: DataFrame, xml: str, carry: tuple[str, ...] = ()) -> DataF
 
 def code_files(spark: SparkSession, path: str) -> DataFrame:
     """path, language, text, hash of the code files below a folder."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).withColumn("path", F.input_file_name())
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[suffix]
     return files.select("path", language.alias("language"), F.col("value").alias("text"), F.sha2("value", 256).alias("hash")).where("language IS NOT NULL")
 
 
+def code_chunks(files: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """path, language, hash, index, chunk of code files: overlapping runs of characters; files of equal contents once."""
+    first = files.groupBy("hash").agg(F.min_by(F.struct("path", "language", "text"), "path").alias("f")).select("hash", "f.*")
+    return first.select("path", "language", "hash", F.posexplode(K.chunk_chars(F.col("text"), size, overlap)).alias("index", "chunk"))
+
+
 def wiki_pages(pages: DataFrame, title: Column, markup: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """title, redirect (its target, if it is one), sections, links, categories, plain text."""
     target = F.nullif(F.regexp_extract(markup, r"(?i)^\s*#redirect\s*\[\[([^\]|#]+)", 1), F.lit(""))

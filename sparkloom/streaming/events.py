@@ -105,12 +105,6 @@ def coalesced(events: DataFrame, key: str, ts: str, gap: str = "30 seconds", wat
     return e.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def sliding_counts(events: DataFrame, ts: str, width: str = "1 hour", step: str = "5 minutes", key: str | None = None, watermark: str = "1 hour") -> DataFrame:
-    e = events.withWatermark(ts, watermark) if events.isStreaming else events
-    keys = [F.window(ts, width, step).alias("w"), *([F.col(key)] if key else [])]
-    return e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *([key] if key else []), "n")
-
-
 def latest_revisions(changes: DataFrame, page: str, revision: str) -> DataFrame:
     """The last revision of each page: what an incremental poll with an overlap keeps."""
     rest = [c for c in changes.columns if c != page]

@@ -39,7 +39,7 @@ def test_names(spark):  # noqa: ANN001
     assert one(spark, "HTTPS://Ex.org:443?q=1#f", text.canonical_url(c)) == ("https://ex.org/?q=1",)
     assert one(spark, "ftp://ex.org", text.canonical_url(c)) == (None,)
     assert one(spark, "doc:1#chunk14", text.base_rid(c)) == ("doc:1",)
-    assert one(spark, "orn:koi.task-item:7", text.rid_type(c)) == ("TaskItem",)
+    assert one(spark, "orn:some.task-item:7", text.rid_type(c)) == ("TaskItem",)
     assert one(spark, "'''[[a b#x|Shown]]''' {{t}}<ref>y</ref>", text.strip_wiki_markup(c)) == ("Shown",)
 
 
