@@ -4,7 +4,8 @@ Sampled splitters (Spark's range exchange) deal the normalised texts out in orde
 side by side, and each text is compared in full with its neighbour. The sort key starts with the first characters and
 the SHA-256 of the text and ends with the identifier, so splitters stay short whatever the texts' length and a text that
 a third of all rows repeat spans as many partitions as it needs. Runs that meet at a partition's edge are joined by
-comparing the edge texts of neighbouring partitions: two texts a partition, whatever the number of rows.
+comparing the edges of neighbouring partitions: two rows a partition, whatever the number of rows, by hash first, and in
+full where hashes are equal.
 
 Defined results: a null text counts as empty; rows equal in identifier and text are copies, of which exactly one stays;
 a null identifier is smaller than any other; an empty table gives an empty result; further columns are ignored.
@@ -93,15 +94,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with batches_of(docs.sparkSession, 1000):
         runs = cut(ordered.mapInArrow(_scan(keep == "smallest"), RUNS), "runs")
 
-    # Two rows a partition: its first and its last run, with their texts.
-    first = runs.where(F.col("first_text").isNotNull()).select("pid", "first_text", F.col("n").alias("first_n"), F.col("keep").alias("first_keep"))
-    last = runs.where(F.col("last_text").isNotNull()).select(F.col("pid").alias("last_pid"), "last_text", F.col("run").alias("last_run"), F.col("n").alias("last_n"), F.col("keep").alias("last_keep"))
+    # Two rows a partition: its first and its last run. Neighbours are told by their hashes; texts are compared where these are equal.
+    first = runs.where(F.col("first_text").isNotNull()).select("pid", F.col("sha").alias("first_sha"), F.col("n").alias("first_n"), F.col("keep").alias("first_keep"))
+    last = runs.where(F.col("last_text").isNotNull()).select(F.col("pid").alias("last_pid"), F.col("sha").alias("last_sha"), F.col("run").alias("last_run"), F.col("n").alias("last_n"), F.col("keep").alias("last_keep"))
     edges = first.join(last, F.col("pid") == F.col("last_pid")).drop("last_pid")
     order = Window.orderBy("pid")
-    edges = edges.withColumns({"before": F.lag("last_text").over(order), "before_pid": F.lag("pid").over(order), "before_run": F.lag("last_run").over(order)})
-    linked = F.coalesce(F.col("first_text") == F.col("before"), F.lit(False))
-    head = F.when(~linked, F.struct(F.col("pid").alias("p"), F.lit(0).cast("long").alias("r"))).when(F.col("before_run") > 0, F.struct(F.col("before_pid").alias("p"), F.col("before_run").alias("r")))
-    edges = edges.withColumn("linked", linked).withColumn("head", F.last(head, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("first_text", "last_text", "before")
+    edges = edges.withColumns({"before": F.lag("last_sha").over(order), "before_pid": F.lag("pid").over(order), "before_run": F.lag("last_run").over(order)})
+    edges = cut(edges, "neighbours")
+    alike = edges.where(F.col("first_sha") == F.col("before")).select("pid", "before_pid")
+    ours = runs.where(F.col("first_text").isNotNull()).select("pid", "first_text")
+    theirs = runs.where(F.col("last_text").isNotNull()).select(F.col("pid").alias("before_pid"), "last_text")
+    same = cut(alike.join(ours, "pid").join(theirs, "before_pid").where("first_text = last_text").select("pid", F.lit(True).alias("linked")), "same")
+    edges = edges.join(same, "pid", "left").withColumn("linked", F.coalesce("linked", F.lit(False))).drop("first_sha", "last_sha", "before")
+    head = F.when(~F.col("linked"), F.struct(F.col("pid").alias("p"), F.lit(0).cast("long").alias("r"))).when(F.col("before_run") > 0, F.struct(F.col("before_pid").alias("p"), F.col("before_run").alias("r")))
+    edges = edges.withColumn("head", F.last(head, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     edges = cut(edges, "edges")
     members = edges.where("linked").select("head", F.col("pid").alias("m_pid"), F.lit(0).cast("long").alias("m_run"), F.col("first_n").alias("m_n"), F.col("first_keep").alias("m_keep"))
     heads = members.select("head").distinct().join(edges.select("pid", "last_run", "last_n", "last_keep"), F.col("head.p") == F.col("pid"))
