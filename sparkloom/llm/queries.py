@@ -31,7 +31,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("fitting_pieces") < F.col("n_pieces")).alias("over_limit"), "n_pieces", "fitting_pieces")
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_pieces", "fitting_pieces")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,8 +315,11 @@ def test_disclosing_terms_go(spark):  # noqa: ANN001
     assert not got[601]["spans"] and got[601]["sanitised"] == "nothing and nothing" and sum(bool(got[k]["spans"]) for k in range(400)) < 40
 
 
-def test_term_spans_by_brute_force(spark):  # noqa: ANN001
+@pytest.mark.parametrize("bound", [None, 0])
+def test_term_spans_by_brute_force(spark, monkeypatch, bound):  # noqa: ANN001
     """All pairs of entities and terms counted, over random texts with copies, shared entities and terms in several documents."""
+    if bound is not None:  # tables are joined by shuffles
+        monkeypatch.setattr("sparkloom.llm.common.BROADCAST_BYTES", bound)
     r = random.Random(8)
     vocab, people = [f"{a}{b}{c}" for a in ("lor", "mip", "sud") for b in ("aka", "olo", "ine") for c in ("ter", "vum", "x", "zéd")], [f"p{k}@mail.org" for k in range(12)]
     texts = []
@@ -399,18 +402,32 @@ def test_token_counts(docs, texts, none):  # noqa: ANN001
     assert vocab.prefix_counts(words) == [[count(w[:k]) for k in range(1, len(w) + 1)] for w in words]
 
 
-def test_truncation_needs_no_encoding(texts):  # noqa: ANN001
+def test_truncation_needs_no_encoding(spark, docs, texts):  # noqa: ANN001
+    """What the table of prefixes says fits a budget does, and one word more doesn't."""
     from tokenizers import Tokenizer
 
     path = tokenizer("word_bpe_49k.json")
     lib, vocab = Tokenizer.from_file(path), token_counts.vocabulary(path)[0]
-    text = texts[9][1] or ""
-    ws = vocab.words(text)
-    p = token_counts.Prefixes(token_counts.count_words(path, [ws])[0])
-    for budget in (0, 1, 50, 2048, 10**6):
-        n = p.words_within(budget)
-        assert len(lib.encode(" ".join(ws[:n]), add_special_tokens=False).ids) <= budget
-        assert n == len(ws) or len(lib.encode(" ".join(ws[: n + 1]), add_special_tokens=False).ids) > budget
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    table = token_counts.prefix_table(docs.where("doc_id IN (5, 9, 11, 60)"), path).select("doc_id", "tokens", *[token_counts.within(F.col("tokens"), b).alias(f"w{b}") for b in (0, 1, 50, 2048, 10**6)])
+    known = dict(texts)
+    for r in table.collect():
+        ws = vocab.words(known[r["doc_id"]])
+        assert len(ws) == len(r["tokens"]) and all(r["tokens"][k - 1] == count(" ".join(ws[:k])) for k in (1, 2, len(ws) // 2, len(ws)) if k and r["doc_id"] != 60)
+        for budget in (0, 1, 50, 2048, 10**6):
+            n = r[f"w{budget}"]
+            assert n == sum(x <= budget for x in r["tokens"])
+
+
+def test_prefixes_within_words():  # noqa: ANN201
+    from tokenizers import Tokenizer
+
+    path, r = tokenizer("word_bpe_49k.json"), random.Random(3)
+    lib, vocab = Tokenizer.from_file(path), token_counts.vocabulary(path)[0]
+    words = ["".join(r.choices("abcdeinorstéß日本", k=r.randint(1, 20))) for _ in range(300)] + ["understanding", "internationalisation", "z" * 70]
+    got = vocab.prefix_counts(words)
+    want = [[len(e.ids) for e in lib.encode_batch([w[:k] for k in range(1, len(w) + 1)], add_special_tokens=False)] for w in words]
+    assert got == want
 
 
 def test_pieces(spark, docs, texts, none):  # noqa: ANN001
