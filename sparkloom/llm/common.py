@@ -57,8 +57,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch takes room in the executor and in its Python worker.
+BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH rows, for plans that are executed later; they are never raised, and no operator
+    asks for another size but within `batches_of`."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+def batches_of(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
     """Arrow batches of so many rows for what is executed within; the session's own setting holds again behind it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)

@@ -91,7 +91,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = normalise(text) if normalise else text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("sha", F.sha2("text", 256)).withColumn("head", F.substring("text", 1, PREFIX))
     ordered = rows.repartitionByRange("head", "sha", "id").sortWithinPartitions("head", "sha", "text", "id").select("id", "text", "sha")
-    with batches_of(docs.sparkSession, 1000):
+    with batches_of(docs.sparkSession):
         runs = cut(ordered.mapInArrow(_scan(keep == "smallest"), RUNS), "runs")
 
     # Two rows a partition: its first and its last run. Neighbours are told by their hashes; texts are compared where these are equal.

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import small_batches
 from sparkloom.llm.wordhash import Words, pieces
 
 PATH, WORDS, NUMBERS = 256, 64, 8
@@ -239,6 +240,7 @@ def _extractor(model: dict[str, np.ndarray]) -> Callable[[Iterator[pa.RecordBatc
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:
     """A row a page: id_col, the carried columns, text."""
+    small_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
     rows = pages.select(id_col, *carry, F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *carry))

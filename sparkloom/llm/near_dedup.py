@@ -262,7 +262,7 @@ class _Search:
         extra, kinds = [f"c{k}" for k in range(len(carry))], dict(docs.dtypes)
         read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, extra, strict=True)])
         schema = ", ".join([NODES, *[f"{k} {kinds[c]}" for c, k in zip(carry, extra, strict=True)]])
-        with batches_of(self.spark, 1000):
+        with batches_of(self.spark):
             signed_rows = cut(read.mapInArrow(_signer(width, bands_for(percent / 100, miss), len(carry)), schema), "signatures")
         v = F.when(F.col("s1").isNotNull(), F.struct("s1", "s2")).alias("v")
         self.documents = signed_rows.select("id", "n", v, *extra)
@@ -292,17 +292,17 @@ class _Search:
         cell = F.pmod(F.xxhash64(F.col("least_id")), F.lit(1 << wide))
         wanted = self.spark.sparkContext.broadcast(bits.bitmap(ids.select(cell.alias("cell")).distinct(), F.col("cell"), wide))
         rows = self.rows.select(F.pmod(F.xxhash64("id"), F.lit(1 << wide)).alias("cell"), "text")
-        with batches_of(self.spark, 1000):
+        with batches_of(self.spark):
             return cut(rows.mapInArrow(_texts_of(self.width, wanted, wide), TEXTS).groupBy(F.struct("s1", "s2").alias("v")).agg(F.first("text").alias("text")), "texts")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs (a, b) that are links by their full sets."""
-        with batches_of(self.spark, 1000):
+        with batches_of(self.spark):
             pairs = cut(pairs, "survivors")
         texts = self.texts(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
         both = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
         node = "struct<s1:bigint,s2:bigint>"
-        with batches_of(self.spark, 1000):
+        with batches_of(self.spark):
             return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.width, self.percent), f"a {node}, b {node}"), "links")
 
     def tested(self, pairs: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ class _Search:
         blocks = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("v", "label", "own", "sig", "bands", "text")).alias("members"))
         node = "struct<s1:bigint,s2:bigint>"
         compared = blocks.where(F.size("members") > 1).select("key", "members").mapInArrow(_across(self.width, self.percent, self.miss), f"a {node}, b {node}")
-        with batches_of(self.spark, 16):
+        with batches_of(self.spark, 2):
             return cut(compared, "across")
 
 

@@ -220,10 +220,10 @@ def _without(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def sketched(rows: DataFrame, width: int, wide: int, as_bits: bool) -> tuple[DataFrame, DataFrame]:
     """(documents, pages): what is known of each document, and the merged sketch."""
-    with batches_of(rows.sparkSession, 1000):
+    with batches_of(rows.sparkSession):
         first = cut(rows.mapInArrow(_sketch(width, wide), _ddl(FIRST)), "sketch")
     dealt = first.where(F.col("page").isNotNull()).select("row", "page", "cells").repartition("row", "page").sortWithinPartitions("row", "page")
-    with batches_of(rows.sparkSession, 100):
+    with batches_of(rows.sparkSession, 16):
         pages = cut(dealt.mapInArrow(_merge(as_bits), "row int, page long, hot binary"), "pages")
     return first.where(F.col("t1").isNotNull()).drop("row", "page", "cells"), pages
 
@@ -237,7 +237,7 @@ def suspects(rows: DataFrame, pages: DataFrame, width: int, wide: int, as_bits:
             at = p["page"] << PAGE >> 3
             merged[p["row"]][at : at + (1 << PAGE >> 3)] = np.frombuffer(p["hot"], np.uint8)
         maps = spark.sparkContext.broadcast(merged)
-    with batches_of(spark, 1000):
+    with batches_of(spark):
         second = cut(rows.select("text").mapInArrow(_suspects(width, wide, maps), _ddl(SECOND)), "suspects")
     found, texts = second.where(F.col("packed").isNull()).drop("packed"), second.where(F.col("packed").isNotNull())
     if not as_bits:
@@ -269,7 +269,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     beside = alike.where("n >= 2").join(alone.select("seed").distinct(), "seed", "left_semi")
     work = alone.select("place.*", F.lit(True).alias("open")).unionByName(beside.select("place.*", F.lit(False).alias("open")))
     work = work.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "m", "open")).alias("spans"))
-    windows = cut(texts.join(work, ["t1", "t2"]).mapInArrow(_windows(width), _ddl(OPEN)), "windows")
+    with batches_of(docs.sparkSession):
+        windows = cut(texts.join(work, ["t1", "t2"]).mapInArrow(_windows(width), _ddl(OPEN)), "windows")
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).where("n >= 2 AND any_open")
     singles = windows.where("open").join(again.select("w1", "w2"), ["w1", "w2"], "left_semi").select("t1", "t2", F.col("p").alias("a"), F.lit(1).alias("m"))
     runs = repeated.unionByName(singles)
@@ -283,6 +284,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
     cleaned = texts.join(own, ["t1", "t2"]).mapInArrow(_without(width), "t1 long, t2 long, n_removed long, kept_sha string")
     nothing = hashlib.sha256(b"").hexdigest()
     whole = copied.where(F.col("n_words") >= width).select("t1", "t2", F.col("n_words").alias("n_removed"), F.lit(nothing).alias("kept_sha"))
-    verdicts = cut(cleaned.unionByName(whole), "verdicts")
+    with batches_of(docs.sparkSession):
+        verdicts = cut(cleaned.unionByName(whole), "verdicts")
     joined = documents.join(verdicts, ["t1", "t2"], "left")
     return joined.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))

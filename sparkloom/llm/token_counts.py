@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import _BASE, _INVERSE, LONGEST, Vocabulary, _mix, _powers
-from sparkloom.llm.common import text_or_empty
+from sparkloom.llm.common import small_batches, text_or_empty
 from sparkloom.llm.wordhash import pieces
 
 #: Words whose counts a worker keeps (about 50 MB).
@@ -178,7 +178,7 @@ def _tables(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         vocab = vocabulary(path)[0]
         for batch in batches:
             keep = [i for i, f in enumerate(batch.schema) if f.name != "text"]
-            for part, texts in pieces(batch, "text", 1 << 21):  # so much text at a time that a worker's memory stays bounded
+            for part, texts in pieces(batch, "text", 1 << 20):  # so much text at a time that a worker's memory stays bounded
                 counts = count_words(path, [vocab.words(t) for t in texts.to_pylist()])
                 first = np.concatenate(([0], np.cumsum([len(x) for x in counts]))).astype(np.int64)
                 sums = np.concatenate(([0], np.cumsum(np.fromiter(chain.from_iterable(counts), np.int64, int(first[-1])))))
@@ -191,6 +191,7 @@ def _tables(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id_col, n_bytes, tokens (the count of each prefix that ends behind a word, in order)."""
+    small_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import inner, text_or_empty
+from sparkloom.llm.common import inner, small_batches, text_or_empty
 from sparkloom.llm.wordhash import Words, mix, pieces
 
 BINS = 1 << 20
@@ -208,6 +208,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", *, max_rows: int = 6_000) -> Chain:
     """A chain over categories, each a Column over labels that is 0, 1 or null."""
+    small_batches(docs.sparkSession)
     flag = [f"y{k}" for k in range(len(categories))]
     flags = labels.select(F.col(id_col).alias("id"), *[c.cast("int").alias(k) for k, c in zip(flag, categories.values(), strict=True)]).dropna()
     sample = flags.groupBy("id").agg(*[F.max(k).alias(k) for k in flag]).orderBy(F.xxhash64("id"), "id").limit(max_rows)
@@ -223,6 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id_col, p_<category> for each, is_<category> for each."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((chain.names, chain.models, chain.limits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +242,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 def without(docs: DataFrame, chain: Chain, category: str, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text the chain doesn't put into a category."""
+    small_batches(docs.sparkSession)
     held, which = docs.sparkSession.sparkContext.broadcast((chain.names, chain.models, chain.limits)), chain.names.index(category)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
