@@ -16,6 +16,9 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Longest word, in symbols, that goes through the table; longer ones are merged one by one.
 LONGEST = 64
+#: Pairs whose stability a worker keeps (about 100 MB), and symbols of words that go through the table at a time.
+PAIRS = 1_000_000
+CHUNK = 1 << 17
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,10 +51,11 @@ class Vocabulary:
         sizes = np.array([len(tokens[i]) for i in ids])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         keys = self._sums(flat)
-        self._slots = 1 << 21
-        self._keys, self._ids = np.zeros(self._slots, _U), np.full(self._slots, -1, np.int64)
+        bits = (4 * len(ids)).bit_length()
+        self._slots, self._shift = 1 << bits, _U(64 - bits)
+        self._keys, self._ids = np.zeros(self._slots, _U), np.full(self._slots, -1, np.int32)
         for key, token in zip(self._key(keys, starts, sizes), ids, strict=True):
-            at = int(key >> _U(43))
+            at = int(key >> self._shift)
             while self._ids[at] >= 0:
                 at = (at + 1) % self._slots
             self._keys[at], self._ids[at] = key, token
@@ -67,8 +71,8 @@ class Vocabulary:
         return _mix((sums[starts + sizes] - sums[starts]) * _powers(_INVERSE, len(sums))[starts] + np.asarray(sizes).astype(_U))
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys >> _U(43)).astype(np.int64)
-        found, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        at = (keys >> self._shift).astype(np.int64)
+        found, left = np.full(len(keys), -1, np.int32), np.arange(len(keys))
         while len(left):
             ids = self._ids[at[left]]
             hit = (ids >= 0) & (self._keys[at[left]] == keys[left])
@@ -99,9 +103,9 @@ class Vocabulary:
                 limit, b = rb + 0.5, self.split(b)[0]
 
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        pairs, at = np.unique((a << 32) | b, return_inverse=True)
+        pairs, at = np.unique((a.astype(np.int64) << 32) | b, return_inverse=True)
         known, out = self._stable, np.zeros(len(pairs), bool)
-        if len(known) > 2_000_000:
+        if len(known) > PAIRS:
             known.clear()
         for i, pair in enumerate(pairs.tolist()):
             ok = known.get(pair)
@@ -118,12 +122,12 @@ class Vocabulary:
         has is the token `unknown` + symbol. Words are to be of LONGEST symbols at most.
         """
         n, sizes = len(flat), np.diff(offsets)
-        last, back = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        last, back = np.full(n, -1, np.int32), np.zeros(n, np.int32)
         if not n:
             return last, back
         sums, inverse = self._sums(flat), _powers(_INVERSE, n + 1)
         room = np.repeat(offsets[1:], sizes) - np.arange(n)  # symbols up to the word's end
-        token = np.full((min(self.longest, int(sizes.max())), n), -1, np.int64)
+        token = np.full((min(self.longest, int(sizes.max())), n), -1, np.int32)
         for k in range(1, len(token) + 1):
             at = np.flatnonzero(room >= k)
             token[k - 1, at] = self._find(_mix((sums[at + k] - sums[at]) * inverse[at] + _U(k)))

@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.bpe import LONGEST, Vocabulary
-from sparkloom.llm.common import text_or_empty
+from sparkloom.llm.bpe import CHUNK, LONGEST, Vocabulary
+from sparkloom.llm.common import small_batches, text_or_empty
 from sparkloom.llm.wordhash import pieces
 
 MARK = "▁"
-KEPT = 1_000_000
+#: Bytes of words and ids that a worker keeps.
+KEPT = 160 << 20
 #: A newline is in no piece, so it is a word of its own. Within this module a space stands for the mark.
 WORD = re.compile(" *[^ \n]+| +|\n")
 
@@ -132,17 +133,29 @@ class PieceVocabulary(Vocabulary):
 
 
 class Known:
-    """Ids of words met so far, in one array: word w's are flat[first[w]:first[w + 1]]."""
+    """Ids of words met so far, in one array: word w's are flat[first[w]:first[w + 1]]. `bytes` estimates what they take."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.first, self.n, self.bytes = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
 
     def add(self, words: list[str], ids: list[np.ndarray]) -> None:
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.index.update(zip(words, range(self.n, self.n + len(words)), strict=True))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        end = int(self.first[self.n]) + int(sizes.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(end, np.int32)])
+        if self.n + len(words) >= len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(self.n + len(words) + 1, np.int64)])
+        if words:
+            np.concatenate(ids, out=self.flat[int(self.first[self.n]) : end], casting="unsafe")
+        self.first[self.n + 1 : self.n + len(words) + 1] = self.first[self.n] + np.cumsum(sizes)
+        self.n += len(words)
+        # A string, its place in the dictionary and its offset; a code point of most scripts takes two bytes at most.
+        self.bytes += 180 * len(words) + 2 * sum(map(len, words)) + 8 * int(sizes.sum())
 
 
 @cache
@@ -152,20 +165,32 @@ def vocabulary(path: str) -> tuple[PieceVocabulary, Known, pa.Array]:
     return v, Known(), pa.array(v.raw, pa.binary())
 
 
+def _chunks(words: list[str]) -> Iterator[list[str]]:
+    """Words in lists of CHUNK symbols or one word."""
+    at = size = 0
+    for i, w in enumerate(words):
+        if i > at and size + len(w) > CHUNK:
+            yield words[at:i]
+            at, size = i, 0
+        size += len(w)
+    if words:
+        yield words[at:]
+
+
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first): text t's ids are ids[first[t]:first[t + 1]]."""
     vocab, known, _ = vocabulary(path)
-    if len(known.index) > KEPT:
-        known.__init__()
+    if known.bytes > KEPT:
+        known.clear()
     cut = [WORD.findall(" " + (t.replace(MARK, " ") if MARK in t else t)) if t else [] for t in texts]
     flat = list(chain.from_iterable(cut))
-    new = list(set(flat).difference(known.index))
-    if new:
+    for new in _chunks(list(set(flat).difference(known.index))):
         known.add(new, vocab.encode_words(new))
     word = np.fromiter(map(known.index.__getitem__, flat), np.int64, len(flat))
-    sizes = (known.first[1:] - known.first[:-1])[word]
+    begin = known.first[word]
+    sizes = known.first[word + 1] - begin
     before = np.concatenate([[0], np.cumsum(sizes)])
-    ids = known.flat[np.repeat(known.first[word] - before[:-1], sizes) + np.arange(before[-1])]
+    ids = known.flat[np.repeat(begin - before[:-1], sizes) + np.arange(before[-1])]
     return ids, before[np.concatenate([[0], np.cumsum([len(ws) for ws in cut])]).astype(np.int64)]
 
 
@@ -181,7 +206,7 @@ def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [i for i, f in enumerate(batch.schema) if f.name != "text"]
-            for part, own in pieces(batch, "text", 1 << 21):  # so much text at a time that a worker's memory stays bounded
+            for part, own in pieces(batch, "text", 1 << 20):  # so much text at a time that a worker's memory stays bounded
                 texts = own.to_pylist()
                 ids, first = encode_texts(path, texts)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
@@ -192,6 +217,7 @@ def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id_col, ids, round_trip (whether decoding the ids gives the text back)."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(_encoder(path), f"`{id_col}` {kind}, ids array<int>, round_trip boolean")
@@ -206,6 +232,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             texts = [vocab.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
+    small_batches(encoded.sparkSession)
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {dict(encoded.dtypes)[id_col]}, text string")
 
 
