@@ -85,6 +85,66 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     return found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
+#: Vectors that an index's cells are fitted on, at most, and their bytes.
+FIT_ROWS = 20_000
+FIT_BYTES = 256 << 20
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def fit_cells(vectors: DataFrame, cells: int | None = None, *, id_col: str = "vec_id", vec_col: str = "embedding", rounds: int = 12) -> np.ndarray:
+    """Centres of an inverted file's cells, by spherical k-means on the vectors with the least hashes of their identifiers: a
+    sample of FIT_ROWS rows or FIT_BYTES at most. About the square root of all rows, unless given, and 4,096 at most."""
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
+    if not n:
+        return np.zeros((0, 1))
+    rows = max(1, min(FIT_ROWS, FIT_BYTES // (8 * max(dim, 1))))
+    sample = vectors.where(F.size(vec_col) == dim).select(vec_col, F.xxhash64(id_col).alias("h"), id_col).orderBy("h", id_col).limit(rows).toPandas()
+    x = _unit(np.stack([np.asarray(v, np.float64) for v in sample[vec_col]]))
+    k = min(len(x), cells or min(4096, int(np.ceil(np.sqrt(n)))))
+    centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        filled = np.bincount(own, minlength=k) > 0
+        centres[filled] = _unit(sums[filled])
+    return centres
+
+
+def build_index(vectors: DataFrame, centres: np.ndarray, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """cell, id, vec: every vector with the cell of its nearest centre. To be written partitioned or bucketed by cell."""
+    held = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            m = np.stack([np.asarray(v, np.float64) for v in pdf["vec"]]) if len(pdf) else np.zeros((0, held.value.shape[1]))
+            yield pdf.assign(cell=(m @ held.value.T).argmax(axis=1).astype("int32") if len(pdf) else [])[["cell", "id", "vec"]]
+
+    return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).mapInPandas(run, f"cell int, id {dict(vectors.dtypes)[id_col]}, vec {dict(vectors.dtypes)[vec_col]}")
+
+
+def search_index(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
+    """query_id, id, score, rank: the k most similar of the vectors in the cells nearest to each query (query_id, query vec)."""
+    held = index.sparkSession.sparkContext.broadcast(centres)
+    qid, qvec = queries.columns[:2]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            if len(pdf):
+                m = np.stack([np.asarray(v, np.float64) for v in pdf["q"]])
+                near = np.argsort(-(m @ held.value.T), axis=1, kind="stable")[:, :probes]
+                at = np.repeat(np.arange(len(pdf)), near.shape[1])
+                yield pdf.iloc[at].assign(cell=near.ravel().astype("int32"))[["cell", "query_id", "q"]]
+
+    asked = queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("q")).mapInPandas(run, f"cell int, query_id {dict(queries.dtypes)[qid]}, q {dict(queries.dtypes)[qvec]}")
+    scored = asked.join(index, "cell").select("query_id", "id", cosine(F.col("q"), F.col("vec")).alias("score"))
+    own = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+
+
 def centroids(vectors: DataFrame, label: str, vec_col: str = "embedding") -> DataFrame:
     """label, centroid: element means. Elements are summed by position, so a label of any size is pre-aggregated."""
     each = vectors.select(label, F.posexplode(vec_col).alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("x"))

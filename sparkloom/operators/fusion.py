@@ -69,8 +69,3 @@ def gate(evidence: DataFrame, key: str, *, entity_ran: bool = True, text_ran: bo
     top, n = F.col("top"), F.col("texts")
     decision = F.when((n == 0) | ((top < least) & (n < enough)), "very_low").when((top < sure) | (n < enough) | (F.lit(entity_ran) & (F.col("entities") == 0) & (top < sure * 1.2)), "low").otherwise("confident")
     return s.withColumn("decision", decision)
-
-
-def with_rank(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
-    """The first k rows with their rank; the limit bounds the one partition that ranks them."""
-    return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -179,35 +179,33 @@ def label_propagation(weighted: DataFrame, rounds: int = 20) -> DataFrame:
     return labels
 
 
-def local_moves(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def local_moves(edges: DataFrame, rounds: int = 12, settled: int = 200) -> DataFrame:
     """node, label over undirected edges (part, a, b, weight; a self-loop once): communities by moves that raise modularity.
 
     Each round a node looks at its neighbours' communities and takes the one of greatest gain; half of the nodes, by a hash
-    that changes with the round, may move, so that neighbours don't swap for ever. Each part is a graph of its own.
+    that changes with the round, may move, so that neighbours don't swap for ever. It ends when less than one node in `settled`
+    would move. Each part is a graph of its own. A round writes two tables: communities' totals and nodes' labels.
     """
     both = cut(edges.select("part", "a", "b", "weight").unionByName(edges.select("part", F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     degree = both.groupBy("part", F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
-    two_m = degree.groupBy("part").agg(F.sum("k").alias("two_m"))
-    nodes = cut(degree.join(cut(two_m), "part"))
+    two_m = cut(degree.groupBy("part").agg(F.sum("k").alias("two_m")))
+    state = cut(degree.join(two_m, "part").select("node", "k", "two_m", F.col("node").alias("label"), F.lit(True).alias("would")))
     steps = cut(both.where("a != b").groupBy(F.col("a").alias("node"), F.col("b").alias("other")).agg(F.sum("weight").alias("weight")))
-    labels = nodes.select("node", F.col("node").alias("label"))
+    n = state.count()
     for r in range(rounds):
-        named = cut(nodes.join(labels, "node"))
-        totals = cut(named.groupBy("label").agg(F.sum("k").alias("total")))
-        near = steps.join(named.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        own = named.select("node", F.col("label").alias("own"), "k", "two_m")
-        near = cut(near.join(own, "node").join(totals, "label"))
-        gain = F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / F.col("two_m")
-        stay = own.join(totals.withColumnRenamed("label", "own"), "own").select("node", F.col("own").alias("label"), (-F.col("k") * (F.col("total") - F.col("k")) / F.col("two_m")).alias("gain"), "own")
-        rated = near.select("node", "label", gain.alias("gain"), "own").unionByName(stay).groupBy("node", "label", "own").agg(F.max("gain").alias("gain"))
-        here = F.max(F.when(F.col("label") == F.col("own"), F.col("gain")))
-        best = rated.groupBy("node", "own").agg(F.max_by("label", F.struct(F.round("gain", 9), F.col("label") == F.col("own"), -F.xxhash64("label"))).alias("best"), F.round(F.max("gain"), 9).alias("g"), F.round(here, 9).alias("h"))
-        may = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        moved = cut(best.select("node", "own", F.when(may & (F.col("g") > F.col("h")), F.col("best")).otherwise(F.col("own")).alias("label"), (F.col("g") > F.col("h")).alias("would")))
-        labels = moved.select("node", "label")
-        if moved.where("would").isEmpty():
+        totals = cut(state.groupBy("label").agg(F.sum("k").alias("total")))
+        near = steps.join(state.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        here = state.select("node", "label", F.lit(0.0).alias("w"))
+        near = near.unionByName(here).groupBy("node", "label").agg(F.sum("w").alias("w"))
+        rated = near.join(state.select("node", "k", "two_m", F.col("label").alias("own")), "node").join(totals, "label")
+        at_home = F.col("label") == F.col("own")
+        gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(at_home, F.col("k")).otherwise(0.0)) / F.col("two_m"), 9)
+        best = rated.groupBy("node", "k", "two_m", "own").agg(F.max_by("label", F.struct(gain, at_home, -F.xxhash64("label"))).alias("best"), F.max(gain).alias("g"), F.max(F.when(at_home, gain)).alias("h"))
+        may, would = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0, F.col("g") > F.col("h")
+        state = cut(best.select("node", "k", "two_m", F.when(may & would, F.col("best")).otherwise(F.col("own")).alias("label"), would.alias("would")))
+        if state.where("would").count() * settled < n or not n:
             break
-    return labels
+    return state.select("node", "label")
 
 
 def merged(edges: DataFrame, labels: DataFrame) -> DataFrame:

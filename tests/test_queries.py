@@ -36,7 +36,7 @@ def test_equals_sql(spark, sf, duck, name):  # noqa: ANN001
 
 
 #: Queries without SQL whose rows test_results.py compares; the others have tests below.
-ELSEWHERE = {"C5_token_sort_ratio", "C11_phonetic", "E1_tiered_resolver", "E2_fuzzy", "E4_registry_fuzzy", "E7_dedup_proposals", "G11_communities", "G15_label_propagation", "G16_cohesion", "G23_community_members", "H2_canonical_json", "K1_token_chunks", "K2_sentence_chunks", "K4_source_chunks", "Q13_dbscan", "Q18_evidence_recall", "R7_mmr", "R13_idds", "R31_contextual_candidates"}
+ELSEWHERE = {"C5_token_sort_ratio", "C11_phonetic", "E1_tiered_resolver", "E2_fuzzy", "E4_registry_fuzzy", "E7_dedup_proposals", "G11_communities", "G15_label_propagation", "G16_cohesion", "G23_community_members", "H2_canonical_json", "K1_token_chunks", "K2_sentence_chunks", "K4_source_chunks", "L2_indexed_top_k", "Q13_dbscan", "Q18_evidence_recall", "R7_mmr", "R13_idds", "R31_contextual_candidates"}
 
 
 def test_every_query_has_a_test():

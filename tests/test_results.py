@@ -306,6 +306,21 @@ def pool(spark, sf, k):  # noqa: ANN001, ANN201
     return [(s, i) for s, i in leg[:k]], lambda a, b: cos(rows[a], rows[b])
 
 
+def test_index_recall(spark):  # noqa: ANN001
+    """Nine in ten of the nearest are found, with every vector in the index and half of the cells looked at."""
+    sf = "/root/testdata/sf0.01"
+    exact = {(r["query_id"], r["id"]) for r in Q["L2_batch_top_k"](spark, sf).collect()}
+    found = {(r["query_id"], r["id"]) for r in Q["L2_indexed_top_k"](spark, sf).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and len(found) == len(exact)
+    from sparkloom.functions import vectors as V
+
+    v = t.vectors(spark, sf)
+    centres = V.fit_cells(v)
+    assert V.build_index(v, centres).select("id").distinct().count() == v.count()
+    whole = V.search_index(V.build_index(v, centres), v.where("vec_id % 50 = 0").select("vec_id", "embedding"), centres, 11, len(centres))
+    assert {(r["query_id"], r["id"]) for r in whole.collect() if r["query_id"] != r["id"]} >= exact
+
+
 def test_mmr(spark, sf):  # noqa: ANN001
     cands, cos = pool(spark, sf, 20)
     chosen: list[int] = []
