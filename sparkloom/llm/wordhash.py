@@ -127,7 +127,7 @@ class Words:
         return self.sums.of(self.first[:-1], self.first[1:], 0), self.sums.of(self.first[:-1], self.first[1:], 1)
 
 
-def pieces(batch: pa.RecordBatch, column: str | int, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def pieces(batch: pa.RecordBatch, column: str | int, size: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The batch in slices of so many bytes of text at most, or of one row; with the slice's texts."""
     texts = batch.column(column)
     if not len(texts):
