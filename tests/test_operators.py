@@ -238,3 +238,21 @@ def test_supersession_compares_in_tiles(spark, monkeypatch):  # noqa: ANN001
         want = {b[0] for a in facts for b in facts if a[1] and a[1] == b[1] and a[2] == b[2] == "is" and a[3] != b[3] and cosine(a[4], b[4]) > least}
         assert {x["old_id"] for x in resolve.superseded_facts(df, df, ["is"], least).collect()} == want
     assert "FlatMapGroupsInPandas" in resolve.superseded_facts(df, df, ["is"], 0.6)._jdf.queryExecution().optimizedPlan().toString()  # no join of all pairs
+
+
+def test_paths_from_targets_are_those_from_sources(spark, monkeypatch):  # noqa: ANN001
+    """Also among many equal paths, by parallel edges; the search goes from the side that has fewer nodes."""
+    r = random.Random(11)
+    rows = [(f"n{r.randrange(40)}", r.choice(["p", "q", "r"]), f"n{r.randrange(40)}", r.choice([None, 0.2, 0.5]), 1) for _ in range(170)]
+    es = spark.createDataFrame(rows, "subject string, predicate string, object string, confidence double, occurrence_count long")
+    pairs = spark.createDataFrame([(f"n{a}", f"n{b}") for a in range(40) for b in range(5)], "source string, target string")
+    rows_of = lambda df: sorted((x["source"], x["target"], x["length"], tuple(x["path"])) for x in df.collect())
+    called = []
+    back = graph._paths_from_targets
+    monkeypatch.setattr(graph, "_paths_from_targets", lambda *a: called.append(1) or back(*a))
+    got = rows_of(graph.shortest_paths(es, pairs, 4))
+    assert called
+    every = spark.createDataFrame([(f"n{a}", f"n{b}") for a in range(40) for b in range(60)], "source string, target string")
+    called.clear()
+    want = [x for x in rows_of(graph.shortest_paths(es, every, 4)) if x[1] in {f"n{b}" for b in range(5)}]
+    assert got == want and not called and len(got) > 100
