@@ -256,3 +256,11 @@ def test_paths_from_targets_are_those_from_sources(spark, monkeypatch):  # noqa:
     called.clear()
     want = [x for x in rows_of(graph.shortest_paths(es, every, 4)) if x[1] in {f"n{b}" for b in range(5)}]
     assert got == want and not called and len(got) > 100
+
+
+def test_betweenness_refuses_no_graph(spark):  # noqa: ANN001
+    """More than five million edges: a star, seen from one of its leaves."""
+    n = 5_000_001
+    star = spark.range(n).select(F.lit("hub").alias("a"), F.col("id").cast("string").alias("b"))
+    got = graph.betweenness(star, spark.createDataFrame([("7",)], "node string")).collect()
+    assert [(r["node"], r["betweenness"]) for r in got] == [("hub", float(n - 1))]
