@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph, resolve
+from sparkloom.operators import graph, numbered, resolve
 from sparkloom.plans import catalog, knowledge
 from sparkloom.sources import tables as t
 
@@ -164,6 +164,26 @@ def test_communities_within_communities(spark):  # noqa: ANN001
     assert {r["sub_community"] for r in got if r["node"] in "xy"} == {"x"}
 
 
+def test_numbered_graphs_give_the_rows_of_joins(spark, monkeypatch):  # noqa: ANN001
+    """Loops over arrays and loops of joins follow one rule, so a graph that isn't numbered has the same communities and labels."""
+    import random
+
+    r = random.Random(3)
+    pairs = [(a, a // 10 * 10 + r.randrange(10) if r.random() < 0.75 else r.randrange(60)) for a in (r.randrange(60) for _ in range(400))]
+    rows = {tuple(sorted((f"n{a}", f"é{b}"))): float(r.randint(1, 6)) for a, b in pairs} | {("x", "y"): 1.0, ("x", "x"): 2.0}
+    weighted = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()], "a string, b string, weight double")
+    searches = graph.two_level_communities, graph.label_propagation, graph.top_communities
+    numbers = [sorted(map(tuple, f(weighted).collect())) for f in searches]
+    monkeypatch.setattr(numbered, "NUMBERED", 5)
+    assert numbers[:2] == [sorted(map(tuple, f(weighted).collect())) for f in searches[:2]]
+    assert numbers[2] == [x[:2] for x in numbers[0]] and len({x[1] for x in numbers[2]}) > 2
+
+
+def test_no_edges_no_communities(spark):  # noqa: ANN001
+    none = spark.createDataFrame([], "a string, b string, weight double")
+    assert not any(f(none).collect() for f in (graph.two_level_communities, graph.label_propagation, graph.top_communities))
+
+
 def modularity(edges, label) -> float:  # noqa: ANN001
     m = sum(w for *_, w in edges)
     total, inside = Counter(), 0.0
