@@ -50,10 +50,13 @@ def _remove(spark: SparkSession, root: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and losing an executor loses nothing."""
+def cut(df: DataFrame, name: str, *, compressed: bool = True) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and losing an executor loses nothing.
+
+    Tables of hashes don't get smaller by compression, and its buffers lie outside the heap until this is collected.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    (df.write if compressed else df.write.option("compression", "uncompressed")).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,18 +20,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bits
-from sparkloom.llm.common import batches_of, cut, lookup, text_or_empty
+from sparkloom.llm import bits, common
+from sparkloom.llm.common import batches_of, lookup, text_or_empty
 from sparkloom.llm.wordhash import Words, mix, pieces, signed
 
 _U = np.uint64
+#: Nearly all that is written here is hashes.
+cut = partial(common.cut, compressed=False)
 #: Signature values in a band, and those that one step of the sequential test looks at.
 ROWS = 6
 STEP = 30

@@ -629,3 +629,13 @@ def test_html_on_unseen_layouts():  # noqa: ANN201
     pages, labels = html_training.samples(150, 12345)
     right = [((p >= 0.5) == (y > 0)).mean() for p, y in zip(html_extraction.label(pages, html_extraction.weights(str(html_extraction.WEIGHTS))), labels, strict=True) if len(y)]
     assert sum(right) / len(right) > 0.97
+
+
+def test_tables_of_hashes_are_not_compressed(spark):  # noqa: ANN001
+    """Near-duplicate search writes many tables of hashes; compressing them takes buffers outside the heap and saves nothing."""
+    import pyarrow.parquet as pq
+
+    from sparkloom.llm import near_dedup
+
+    written = near_dedup.cut(spark.range(10), "test").inputFiles()[0].removeprefix("file:")
+    assert pq.ParquetFile(written).metadata.row_group(0).column(0).compression == "UNCOMPRESSED"
