@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import fts, fusion, graph, quality, resolve, temporal, windows
+from sparkloom.operators import fts, fusion, graph, numbered, quality, resolve, temporal, windows
 
 EDGES = [("e:a", "knows", "e:b", 0.9), ("e:a", "affiliated_with", "e:o1", 1.0), ("e:a", "collaborates_with", "e:o2", 0.6), ("e:b", "affiliated_with", "e:o2", 0.8), ("e:o1", "has_project", "e:p", 1.0), ("e:p", "about", "e:c", 0.7), ("e:x", "knows", "e:y", 1.0), ("e:y", "knows", "e:z", 1.0), ("e:z", "knows", "e:x", None)]
 
@@ -264,3 +264,40 @@ def test_betweenness_refuses_no_graph(spark):  # noqa: ANN001
     star = spark.range(n).select(F.lit("hub").alias("a"), F.col("id").cast("string").alias("b"))
     got = graph.betweenness(star, spark.createDataFrame([("7",)], "node string")).collect()
     assert [(r["node"], r["betweenness"]) for r in got] == [("hub", float(n - 1))]
+
+
+def test_dependencies_of_sources_searched_side_by_side(monkeypatch):  # noqa: ANN001
+    """Batches of sources, cut segments and blocks, parts of a graph and a long path give what each source gives by itself."""
+    import numpy as np
+
+    r = random.Random(2)
+    pairs = {(a, b) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(150)) if a < b} | {(k, k + 1) for k in range(60, 260)} | {(300, k) for k in range(301, 340)}
+    near = collections.defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b), near[b].add(a)
+    n = 345
+    to = np.array([v for u in range(n) for v in sorted(near[u])], np.int32)
+    first = np.cumsum([0, *[len(near[u]) for u in range(n)]])
+    want = np.zeros(n)
+    for s in range(n):
+        dist, paths, order = {s: 0}, collections.Counter({s: 1}), [s]
+        for u in order:
+            for v in near[u]:
+                if v not in dist:
+                    dist[v] = dist[u] + 1
+                    order.append(v)
+                if dist[v] == dist[u] + 1:
+                    paths[v] += paths[u]
+        delta = collections.Counter()
+        for v in reversed(order):
+            for u in near[v]:
+                if dist[u] == dist[v] - 1:
+                    delta[u] += paths[u] / paths[v] * (1 + delta[v])
+            want[v] += delta[v] if v != s else 0
+    took, sums = [], numbered._sums_of_ends
+    monkeypatch.setattr(numbered, "_sums_of_ends", lambda values, *rest: took.append(values.shape[1]) or sums(values, *rest))
+    for segment, rows, cells in ((1024, 512, 1 << 22), (4, 7, 1 << 22), (3, 512, 5 * n)):
+        for name, value in (("SEGMENT", segment), ("ROWS", rows), ("CELLS", cells)):
+            monkeypatch.setattr(numbered, name, value)
+        assert numbered.dependencies(first, to, np.arange(n)) == pytest.approx(want)
+    assert max(took) == 64 and not numbered.dependencies(first, to, np.arange(0)).any()
